@@ -3,43 +3,44 @@
 import numpy as np
 
 
-def bounded_least_squares(model, start, low, high, x, y, steps=200, tol=1e-12):
+def bounded_least_squares(model, start, low, high, x, y, steps=50, tol=1e-7):
     """Damped Gauss-Newton with the parameters held inside a box.
 
-    Returns the parameters and the remaining sum of squares.
+    ``model(p, x)`` takes parameters with leading axes, so one call gives the
+    value and all difference quotients. Returns the parameters and the remaining
+    sum of squares.
     """
     low, high = np.asarray(low, float), np.asarray(high, float)
     p = np.clip(np.asarray(start, float), low, high)
-    rest = y - model(p, x)
-    sse, damping = float(rest @ rest), 1e-3
+    sse, damping, unit = np.inf, 1e-3, np.eye(p.size)
     for _ in range(steps):
         size = 1e-7 * np.maximum(np.abs(p), 1e-4)
         # step inwards at the upper wall, so the derivative is taken inside the box
         size = np.where(p + size > high, -size, size)
-        jac = np.stack([(model(p + np.eye(p.size)[i] * size[i], x) - (y - rest)) / size[i]
-                        for i in range(p.size)], axis=1)
+        curves = model(np.vstack([p, p + unit * size[:, None]]), x)
+        rest = y - curves[0]
+        sse = float(rest @ rest)
+        jac = ((curves[1:] - curves[0]) / size[:, None]).T
         slope = jac.T @ rest
         free = ~(((p <= low) & (slope < 0)) | ((p >= high) & (slope > 0)))
         if not free.any():
             break
         normal = jac[:, free].T @ jac[:, free]
-        better = False
-        while damping < 1e12:
-            scale = np.diag(np.maximum(np.diag(normal), 1e-30))
-            move = np.zeros_like(p)
-            move[free] = np.linalg.solve(normal + damping * scale, slope[free])
-            trial = np.clip(p + move, low, high)
+        scale = np.maximum(np.diag(normal), 1e-30)
+        gain = 0.0
+        while damping < 1e9:
+            trial = p.copy()
+            trial[free] += np.linalg.solve(normal + np.diag(damping * scale), slope[free])
+            trial = np.clip(trial, low, high)
             trial_rest = y - model(trial, x)
-            trial_sse = float(trial_rest @ trial_rest)
-            if trial_sse < sse:
-                better = True
+            gain = sse - float(trial_rest @ trial_rest)
+            if gain > 0:
                 break
-            damping *= 4.0
-        if not better:
+            damping *= 8.0
+        if gain <= 0:
             break
-        done = sse - trial_sse <= tol * sse and np.abs(trial - p).max() <= 1e-10
-        p, rest, sse, damping = trial, trial_rest, trial_sse, max(damping / 9.0, 1e-12)
-        if done:
+        p, sse, damping = trial, sse - gain, max(damping / 9.0, 1e-12)
+        if gain <= tol * sse or sse == 0:
             break
     return p, sse
 

@@ -35,18 +35,24 @@ def _segments(knots):
     )
 
 
-def _in_segment(points, segments):
-    """Each wavelength meets the one knot interval that holds it, upper end included."""
-    inside = ((F.col("wl") > F.col("nm")) & (F.col("wl") <= F.col("nm1"))) | (
-        F.col("first") & (F.col("wl") == F.col("nm")))
-    return points.join(segments, "cal_id").where(inside)
+def _in_segment(points, segments, value, strict):
+    """Value at each wavelength from the one knot interval that holds it, upper end included.
+
+    Wavelengths no interval holds are NULL, or stop the job when ``strict``.
+    """
+    p, k = points.select(*PIXEL, "wl").alias("p"), segments.alias("k")
+    nm, wl = F.col("nm"), F.col("wl")
+    inside = ((wl > nm) & (wl <= F.col("nm1"))) | (F.col("first") & (wl == nm))
+    outside = F.raise_error(F.lit("wavelength outside the lamp's irradiance table")).cast("double")
+    return p.join(k, (F.col("p.cal_id") == F.col("k.cal_id")) & inside, "left").select(
+        *[F.col(f"p.{c}") for c in PIXEL], "wl",
+        F.when(nm.isNotNull(), value).otherwise(outside if strict else F.lit(None)).alias("irradiance"))
 
 
-def irradiance_linear(points, knots):
-    """Lamp irradiance at each wavelength, linear between knots; points outside are absent."""
+def irradiance_linear(points, knots, strict=False):
+    """Lamp irradiance at each wavelength, linear between knots."""
     w = (F.col("wl") - F.col("nm")) / (F.col("nm1") - F.col("nm"))
-    return _in_segment(points, _segments(knots)).select(
-        *PIXEL, "wl", (F.col("mw") + w * (F.col("mw1") - F.col("mw"))).alias("irradiance"))
+    return _in_segment(points, _segments(knots), F.col("mw") + w * (F.col("mw1") - F.col("mw")), strict)
 
 
 def spline_segments(knots):
@@ -71,21 +77,12 @@ def spline_segments(knots):
     return source.groupBy("cal_id").applyInPandas(solve, schema)
 
 
-def irradiance_cubic(points, knots):
-    """Lamp irradiance at each wavelength by cubic spline; points outside are absent."""
+def irradiance_cubic(points, knots, strict=False):
+    """Lamp irradiance at each wavelength by cubic spline."""
     h = F.col("nm1") - F.col("nm")
     a, b = (F.col("nm1") - F.col("wl")) / h, (F.col("wl") - F.col("nm")) / h
     bent = ((a * a * a - a) * F.col("bend") + (b * b * b - b) * F.col("bend1")) * h * h / 6
-    return _in_segment(points, spline_segments(knots)).select(
-        *PIXEL, "wl", (a * F.col("mw") + b * F.col("mw1") + bent).alias("irradiance"))
-
-
-def outside_irradiance(points, knots):
-    """Wavelengths no lamp knot covers; the calibration plan stops on any."""
-    span = knots.groupBy("cal_id").agg((F.min("um") * 1000).alias("lo"), (F.max("um") * 1000).alias("hi"))
-    return points.join(span, "cal_id", "left").where(
-        F.col("lo").isNull() | (F.col("wl") < F.col("lo")) | (F.col("wl") > F.col("hi"))
-    ).select(*PIXEL, "wl")
+    return _in_segment(points, spline_segments(knots), a * F.col("mw") + b * F.col("mw1") + bent, strict)
 
 
 def sphere_net(sphere, dark):
@@ -134,17 +131,6 @@ def unpivot_units(spectra):
     )
 
 
-def order_by_wavelength(spectra, directions, pixels_per_set):
-    """Number the pixels by rising wavelength: flip ``seq`` where the direction is falling.
-
-    ``pixels_per_set`` is ``(cal_id, n)``, so no window over the spectra is needed.
-    """
-    turn = pixels_per_set.join(directions, "cal_id")
-    return spectra.join(turn, "cal_id").withColumn(
-        "pos", F.when(F.col("direction") < 0, F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq"))
-    ).drop("n", "direction")
-
-
 def subtract_spectrum(spectra, other, value="wm", keys=("shot", "frame", "ord", "x")):
     """Subtract the spectrum of a separate background file, in calibrated units."""
     o = other.select(*keys, F.col(value).alias("other"))

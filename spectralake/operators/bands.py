@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralake.functions import solver
+from spectralake.storage import attach, spread
 
 SLICE = ("shot", "frame", "band")
 
@@ -157,7 +158,8 @@ def subtract_als(slices, stiffness=1e7, weight=1e-5, rounds=5):
         level = float(solver.smooth_below(y, stiffness, weight, rounds).mean()) if len(y) > 2 else float(y.mean())
         return pdf.assign(y=y - level, baseline=level)[pdf["core"].to_numpy()].drop(columns="core")
 
-    return slices.select(*SLICE, "wl", "seq", "y", "core").groupBy(*SLICE).applyInPandas(
+    rows = slices.select(*SLICE, "wl", "seq", "y", "core")
+    return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
         fit, "shot long, frame long, band string, wl double, seq long, y double, baseline double")
 
 
@@ -252,17 +254,19 @@ def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
         key = pdf[list(SLICE)].iloc[:1]
         if len(x) < 3 or not top > 0:
             return key.assign(centre=np.nan, sigma=np.nan, delta=np.nan).iloc[:0]
-        model = lambda p, t: (solver.gaussian(t[:, None], p[2] * ratio, p[0] + offsets, p[1])).sum(axis=1)
+        model = lambda p, t: solver.gaussian(
+            t, (p[..., 2:] * ratio)[..., None], (p[..., :1] + offsets)[..., None], p[..., 1:2, None]).sum(axis=-2)
         wl0 = float(pdf["wl0"].iloc[0])
         start = [wl0, sigma_start, 1.0]
         # the amplitude is linear: start from its best value at the starting shape
-        m = model(start, x)
+        m = model(np.array(start), x)
         start[2] = max(float(m @ (y / top)) / max(float(m @ m), 1e-300), 1e-6)
         p, _ = solver.bounded_least_squares(
             model, start, [-np.inf, sigma[0], 0.0], [np.inf, sigma[1], np.inf], x, y / top)
         return key.assign(centre=p[0], sigma=p[1], delta=p[2] * top)
 
-    return slices.join(F.broadcast(pack_ratios(ratios)), "band").groupBy(*SLICE).applyInPandas(
+    rows = slices.join(F.broadcast(pack_ratios(ratios)), "band")
+    return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
         fit, "shot long, frame long, band string, centre double, sigma double, delta double")
 
 
@@ -302,8 +306,6 @@ def select_frames(intensities, shots, first=1):
 
     ``shots`` is ``(shot, n_frames)``, saved. Every frame of every band is present.
     """
-    from spectralake.storage import attach
-
     bands = intensities.select("shot", "band").distinct()
     frames = attach(bands, shots.select("shot", "n_frames"), ["shot"]).select(
         "shot", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame"))

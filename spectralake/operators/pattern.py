@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spectralake.functions import polyfit, solver
 from spectralake.operators.frames import column_slice
+from spectralake.storage import spread
 
 PROFILE = ("shot", "frame", "x")
 
@@ -71,8 +72,8 @@ def poly_baseline(profiles, degree=6, value="amplified", keys=PROFILE, order="y"
     source = profiles.select(*keys, F.col(order).cast("long").alias(order),
                              F.col(value).cast("double").alias("v"))
     kinds = "".join(f"{k} long, " for k in keys)
-    return source.select(*[F.col(k).cast("long").alias(k) for k in keys], order, "v").groupBy(
-        *keys).applyInPandas(fit, f"{kinds}{order} long, v double, base double")
+    rows = source.select(*[F.col(k).cast("long").alias(k) for k in keys], order, "v")
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}{order} long, v double, base double")
 
 
 def local_peaks(profiles, threshold, value="counts", keys=PROFILE, order="y"):
@@ -155,7 +156,7 @@ def eval_curve(fits, width, height, origin=0.0):
     """Row centre on every column, cut to whole rows; NULL outside ``[0, height]``."""
     y = polyfit.evaluate(F.col("x").cast("double"), origin=origin)
     return (
-        fits.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long"))
+        fits.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
         .withColumn("at", y)
         .withColumn("yc", F.when(F.col("at").between(0, height), F.col("at")).cast("long"))
         .drop("at", "n", "degree", "c0", "c1", "c2")
@@ -225,10 +226,10 @@ def fit_profile(profiles, extra=2):
     import pandas as pd
 
     def model(p, x):
-        centre, shift, distance = p[0], p[1], p[2]
-        middles = [centre, centre - distance, centre + distance,
-                   *[centre + shift * (k + 1) for k in range(extra)]]
-        return sum(solver.gaussian(x, p[3 + 2 * k], m, p[4 + 2 * k]) for k, m in enumerate(middles))
+        centre, shift, distance = p[..., :1], p[..., 1:2], p[..., 2:3]
+        middles = np.concatenate([centre, centre - distance, centre + distance,
+                                  *[centre + shift * (k + 1) for k in range(extra)]], axis=-1)
+        return solver.gaussian(x, p[..., 3::2, None], middles[..., None], p[..., 4::2, None]).sum(axis=-2)
 
     def fit(pdf):
         pdf = pdf.sort_values("dy").dropna(subset=["z"])
@@ -242,5 +243,6 @@ def fit_profile(profiles, extra=2):
         p, sse = solver.bounded_least_squares(model, start, low, high, x, z)
         return key.assign(centre=p[0], sigma=p[4], sse=np.float64(sse))
 
-    return profiles.groupBy("shot", "frame", "x", "ord").applyInPandas(
+    key = ["shot", "frame", "x", "ord"]
+    return spread(profiles, *key).groupBy(*key).applyInPandas(
         fit, "shot long, frame long, x long, ord long, centre double, sigma double, sse double")

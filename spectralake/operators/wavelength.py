@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralake.functions import polyfit, solver
+from spectralake.storage import spread
 
 ORDER = ("cal_id", "ord")
 
@@ -47,32 +48,32 @@ def flat_field(lamp, sphere):
 
 
 def line_windows(spectra, lines, half):
-    """Points of each expected line: ``[at - half, at + half)`` above the window's minimum.
+    """Points of each expected line: ``[px0 - half, px0 + half)`` above the window's minimum.
 
     Lines are unfolded to the columns they cover, so the range join is an equi-join.
     """
-    spread = F.explode(F.sequence(F.col("at") - half, F.col("at") + half - 1))
-    wanted = lines.select(*ORDER, "at", spread.alias("x"))
-    window = W.partitionBy(*ORDER, "at")
+    covered = F.explode(F.sequence(F.col("px0") - half, F.col("px0") + half - 1))
+    wanted = lines.select(*ORDER, "px0", covered.alias("x"))
+    window = W.partitionBy(*ORDER, "px0")
     return (
         spectra.join(wanted, [*ORDER, "x"])
         .withColumn("level", F.col("flat") - F.min("flat").over(window))
-        .select(*ORDER, "at", "x", "level")
+        .select(*ORDER, "px0", "x", "level")
     )
 
 
 def line_center_seed(windows):
     """Centre by a parabola through the logarithm of the three points at the top."""
-    line = W.partitionBy(*ORDER, "at").orderBy("x")
+    line = W.partitionBy(*ORDER, "px0").orderBy("x")
     near = (
         windows.withColumn("l", F.lag("level").over(line)).withColumn("r", F.lead("level").over(line))
         .where("level > 0 and l > 0 and r > 0")
     )
-    top = near.groupBy(*ORDER, "at").agg(
+    top = near.groupBy(*ORDER, "px0").agg(
         F.max(F.struct("level", (-F.col("x")).alias("nx"), "l", "r")).alias("t"))
     a, b, c = F.log(F.col("t.l")), F.log(F.col("t.level")), F.log(F.col("t.r"))
     bend = a - 2 * b + c
-    return top.select(*ORDER, "at", (
+    return top.select(*ORDER, "px0", (
         -F.col("t.nx") + F.when(bend < 0, (a - c) / 2 / bend).otherwise(0.0)).alias("centre"))
 
 
@@ -81,7 +82,7 @@ def fit_line_centers(windows):
     import numpy as np
     import pandas as pd
 
-    names = ["cal_id", "ord", "at", "centre", "sigma", "area"]
+    names = ["cal_id", "ord", "px0", "centre", "sigma", "area"]
 
     def fit(pdf):
         pdf = pdf.sort_values("x")
@@ -91,12 +92,12 @@ def fit_line_centers(windows):
         wide = x[-1] - x[0]
         start = [y.sum(), x[y.argmax()], max(wide / 8, 0.5)]
         p, _ = solver.bounded_least_squares(
-            lambda q, t: solver.gaussian(t, *q), start,
+            lambda q, t: solver.gaussian(t, q[..., :1], q[..., 1:2], q[..., 2:3]), start,
             [0.0, x[0] - wide, 0.05], [np.inf, x[-1] + wide, 4 * wide], x, y)
         return pdf[names[:3]].iloc[:1].assign(centre=p[1], sigma=p[2], area=p[0])
 
-    return windows.groupBy(*ORDER, "at").applyInPandas(
-        fit, "cal_id long, ord long, at long, centre double, sigma double, area double")
+    return spread(windows, *ORDER, "px0").groupBy(*ORDER, "px0").applyInPandas(
+        fit, "cal_id long, ord long, px0 long, centre double, sigma double, area double")
 
 
 def residuals(line_list, fits, origin=0.0):
@@ -117,60 +118,57 @@ def order_crossings(wavelengths, sphere):
 
     An equally spaced grid covers the overlap; both orders are interpolated on it
     linearly. Grid points and order points are sorted together by wavelength, so
-    the points around a grid point are the last and next order point in a window
-    of one pair of orders: no range join. A pair without overlap has NULL.
+    the points around a grid point are the nearest order points before and after
+    it: no range join. One shuffle by pair of orders serves every step. A pair
+    without overlap has NULL.
 
     Returns ``(cal_id, ord, cross)`` for the pair ``ord, ord + 1``.
     """
     points = wavelengths.join(
         sphere.select(*ORDER, "x", F.col("counts").cast("double").alias("s")), [*ORDER, "x"]
     ).where("wl is not null and s is not null")
+    orders = W.partitionBy("cal_id").orderBy("ord")
     ends = points.groupBy(*ORDER).agg(
-        F.count("*").alias("n"), F.min(F.struct("x", "wl")).alias("first"), F.max(F.struct("x", "wl")).alias("last"))
-    side = lambda p: ends.select(
-        "cal_id", (F.col("ord") - (0 if p == "a" else 1)).alias("ord"), F.col("n").alias(f"{p}_n"),
-        F.col("first.wl").alias(f"{p}0"), F.col("last.wl").alias(f"{p}1"))
-    corners = F.array_sort(F.array("a0", "a1", "b0", "b1"))
+        F.count("*").alias("n"), F.min_by("wl", "x").alias("w0"), F.max_by("wl", "x").alias("w1"))
+    nxt = lambda c: F.lead(c).over(orders)
+    corners = F.array_sort(F.array("w0", "w1", "v0", "v1"))
     i = F.col("i").cast("double")
     grid = (
-        side("a").join(side("b"), list(ORDER)).withColumn("c", corners)
-        .withColumn("lo", F.col("c")[1]).withColumn("hi", F.col("c")[2]).where("b_n > 1")
-        .select(*ORDER, "lo", "hi", "b_n",
-                F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_n") - 1)).alias("i"))
-        .withColumn("g", F.when(F.col("i") == F.col("b_n") - 1, F.col("hi")).otherwise(
-            i * ((F.col("hi") - F.col("lo")) / (F.col("b_n") - 1)) + F.col("lo")))
+        ends.withColumn("v0", nxt("w0")).withColumn("v1", nxt("w1"))
+        .withColumn("m", nxt("n")).withColumn("next_ord", nxt("ord"))
+        .where("next_ord = ord + 1 and m > 1")
+        .withColumn("c", corners)
+        .select(*ORDER, F.col("c")[1].alias("lo"), F.col("c")[2].alias("hi"), "m",
+                F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+        .withColumn("g", F.when(F.col("i") == F.col("m") - 1, F.col("hi")).otherwise(
+            i * ((F.col("hi") - F.col("lo")) / (F.col("m") - 1)) + F.col("lo")))
     )
 
     # the points of an order serve its pair as first and as second member
-    member = F.explode(F.array(F.struct(F.col("ord"), F.lit(0).alias("second")),
-                               F.struct((F.col("ord") - 1).alias("ord"), F.lit(1).alias("second"))))
-    order_points = points.select("cal_id", member.alias("m"), "wl", "s").select(
-        "cal_id", F.col("m.ord").alias("ord"), F.col("m.second").alias("second"), "wl", "s")
+    members = F.explode(F.array(F.struct(F.col("ord"), F.lit(0).alias("second")),
+                                F.struct((F.col("ord") - 1).alias("ord"), F.lit(1).alias("second"))))
+    order_points = points.select("cal_id", members.alias("m"), "wl", "s").select(
+        "cal_id", F.col("m.ord").alias("ord"), F.col("m.second").alias("second"), "wl", "s",
+        F.lit(None).cast("long").alias("i"))
     grid_points = grid.select(
-        *ORDER, F.explode(F.array(F.lit(0), F.lit(1))).alias("second"), F.col("g").alias("wl"), "i")
-    mixed = order_points.withColumn("i", F.lit(None).cast("long")).unionByName(
-        grid_points.withColumn("s", F.lit(None).cast("double")))
+        *ORDER, F.explode(F.array(F.lit(0), F.lit(1))).alias("second"), F.col("g").alias("wl"),
+        F.lit(None).cast("double").alias("s"), "i")
+    mixed = order_points.unionByName(grid_points).repartition(*ORDER).withColumn(
+        "here", F.when(F.col("i").isNull(), F.struct("wl", "s")))
     # at equal wavelength the grid point comes first, so the order point is its upper end
-    line = W.partitionBy(*ORDER, "second").orderBy("wl", F.col("i").isNull())
-    here = F.when(F.col("i").isNull(), F.struct("wl", "s"))
-    around = (
-        mixed.withColumn("p", F.last(here, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("q", F.first(here, ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)))
-        .where("i is not null and q is not null")
-    )
+    line = "ignore nulls over (partition by cal_id, ord, second order by wl, i is null)"
     slope = (F.col("q.s") - F.col("p.s")) / (F.col("q.wl") - F.col("p.wl"))
     value = F.when(F.col("q.wl") == F.col("wl"), F.col("q.s")).when(
-        F.col("p").isNotNull(), F.col("p.s") + slope * (F.col("wl") - F.col("p.wl")))
-    gap = (
-        around.withColumn("v", value)
-        .groupBy(*ORDER, "i", "wl")
-        .agg(F.max(F.when(F.col("second") == 0, F.col("v"))).alias("v0"),
-             F.max(F.when(F.col("second") == 1, F.col("v"))).alias("v1"))
+        F.col("p").isNotNull() & F.col("q").isNotNull(), F.col("p.s") + slope * (F.col("wl") - F.col("p.wl")))
+    of = lambda k: F.max(F.when(F.col("second") == k, F.col("v")))
+    gap = F.abs(F.col("v0") - F.col("v1"))
+    return (
+        mixed.withColumn("p", F.expr(f"lag(here) {line}")).withColumn("q", F.expr(f"lead(here) {line}"))
+        .where("i is not null").withColumn("v", value)
+        .groupBy(*ORDER, "i", "wl").agg(of(0).alias("v0"), of(1).alias("v1"))
+        .groupBy(*ORDER).agg(F.min(F.when(gap.isNotNull(), F.struct(gap.alias("d"), "i", "wl"))).alias("best"))
+        .select(*ORDER, F.col("best.wl").alias("cross"))
     )
-    best = gap.where("v0 is not null and v1 is not null").groupBy(*ORDER).agg(
-        F.min(F.struct(F.abs(F.col("v0") - F.col("v1")).alias("d"), "i", "wl")).alias("best"))
-    pairs = side("a").join(side("b"), list(ORDER)).select(*ORDER)
-    return pairs.join(best, list(ORDER), "left").select(*ORDER, F.col("best.wl").alias("cross"))
 
 
 def order_borders(wavelengths, crossings, directions, width):
@@ -180,28 +178,25 @@ def order_borders(wavelengths, crossings, directions, width):
     the first order starts at 0, the last one ends at ``width``. Without a crossing
     a side is not trimmed and ``trimmed`` is false.
     """
-    falling = F.col("direction") < 0
-    known = wavelengths.where("wl is not null").join(directions, "cal_id")
-    above, beyond = F.col("wl") > F.col("cross"), F.col("wl") <= F.col("cross")
-    ends = known.join(crossings, list(ORDER)).groupBy(*ORDER).agg(
-        F.max(F.when(falling & above, F.col("x"))).alias("f"),
-        F.min(F.when(~falling & above, F.col("x"))).alias("r"),
-    ).select(*ORDER, (F.coalesce("f", "r") + 1).alias("end"))
-    starts = known.join(
-        crossings.select("cal_id", (F.col("ord") + 1).alias("ord"), "cross"), list(ORDER)
-    ).groupBy(*ORDER).agg(
-        F.min(F.when(falling & beyond, F.col("x"))).alias("f"),
-        F.max(F.when(~falling & beyond, F.col("x"))).alias("r"),
-    ).select(*ORDER, F.coalesce("f", "r").alias("start"))
-    orders = known.groupBy("cal_id", "ord").agg(F.count("*").alias("points"))
-    span = orders.groupBy("cal_id").agg(F.min("ord").alias("lowest"), F.max("ord").alias("highest"))
+    x, wl, falling = F.col("x"), F.col("wl"), F.col("direction") < 0
+    own = crossings.select(*ORDER, F.col("cross").alias("upper"))
+    before = crossings.select("cal_id", (F.col("ord") + 1).alias("ord"), F.col("cross").alias("lower"))
+    last = F.when(F.first("falling"), F.max(F.when(wl > F.col("upper"), x))).otherwise(
+        F.min(F.when(wl > F.col("upper"), x))) + 1
+    first = F.when(F.first("falling"), F.min(F.when(wl <= F.col("lower"), x))).otherwise(
+        F.max(F.when(wl <= F.col("lower"), x)))
+    orders = W.partitionBy("cal_id")
     return (
-        orders.join(span, "cal_id").join(ends, list(ORDER), "left").join(starts, list(ORDER), "left")
+        wavelengths.where("wl is not null")
+        .join(own, list(ORDER), "left").join(before, list(ORDER), "left")
+        .join(directions, "cal_id").withColumn("falling", falling)
+        .groupBy(*ORDER).agg(first.alias("first"), last.alias("last"))
+        .withColumn("lowest", F.min("ord").over(orders)).withColumn("highest", F.max("ord").over(orders))
         .select(*ORDER,
-                F.coalesce("start", F.lit(0)).cast("long").alias("x_from"),
-                F.coalesce("end", F.lit(width)).cast("long").alias("x_to"),
-                ((F.col("start").isNotNull() | (F.col("ord") == F.col("lowest")))
-                 & (F.col("end").isNotNull() | (F.col("ord") == F.col("highest")))).alias("trimmed"))
+                F.coalesce("first", F.lit(0)).cast("long").alias("x_from"),
+                F.coalesce("last", F.lit(width)).cast("long").alias("x_to"),
+                ((F.col("first").isNotNull() | (F.col("ord") == F.col("lowest")))
+                 & (F.col("last").isNotNull() | (F.col("ord") == F.col("highest")))).alias("trimmed"))
     )
 
 
@@ -209,9 +204,21 @@ def segment_pixels(wavelengths, borders):
     """Calibrated columns that make the stitched spectrum, numbered along it.
 
     ``seq`` is the accumulated pixel number. It depends on the calibration only,
-    so it is found once per set here and never by a window over spectra.
+    so it is found once per set here and never by a window over spectra. A set has
+    no more columns than its sensor has order columns.
     """
     kept = wavelengths.join(borders, list(ORDER)).where(
         (F.col("x") >= F.col("x_from")) & (F.col("x") <= F.col("x_to")) & F.col("wl").isNotNull())
     line = W.partitionBy("cal_id").orderBy("ord", "x")
     return kept.select(*ORDER, "x", "wl").withColumn("seq", F.row_number().over(line).cast("long") - 1)
+
+
+def order_by_wavelength(pixels, directions):
+    """Position ``pos`` by rising wavelength: ``seq`` flipped where the direction is falling.
+
+    Done on the pixel table of a set, so spectra take it over with the pixel.
+    """
+    n = F.count("*").over(W.partitionBy("cal_id"))
+    return pixels.withColumn("n", n).join(directions, "cal_id").withColumn(
+        "pos", F.when(F.col("direction") < 0, F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq"))
+    ).drop("n", "direction")

@@ -48,9 +48,7 @@ def stitched_pixels(wl, sphere, dim_w):
     """Segments of the orders between their crossings, numbered along the spectrum."""
     turn = wavelength.direction(wl)
     borders = wavelength.order_borders(wl, wavelength.order_crossings(wl, sphere), turn, dim_w)
-    pixels = wavelength.segment_pixels(wl, borders)
-    sizes = pixels.groupBy("cal_id").agg(F.count("*").alias("n"))
-    return absolute.order_by_wavelength(pixels, turn, sizes)
+    return wavelength.order_by_wavelength(wavelength.segment_pixels(wl, borders), turn)
 
 
 def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposures=None, cubic=True):
@@ -65,9 +63,7 @@ def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposure
     pixels = save(stitched_pixels(wl, sphere, dim_w))
     if knots is None:
         return Calibration(runs, pixels)
-    if not absolute.outside_irradiance(pixels, knots).isEmpty():
-        raise ValueError("wavelengths outside the lamp's irradiance table")
     interpolate = absolute.irradiance_cubic if cubic else absolute.irradiance_linear
     net = absolute.sphere_net(sphere, image_spectra(images, "dark", runs))
-    factors = absolute.absolute_factors(net, interpolate(pixels, knots), exposures)
+    factors = absolute.absolute_factors(net, interpolate(pixels, knots, strict=True), exposures)
     return Calibration(runs, save(pixels.join(factors.drop("wl"), ["cal_id", "ord", "x"])))

@@ -1,5 +1,9 @@
 """Session settings the operators are tuned for."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # AQE re-plans joins from measured shuffle sizes and splits hot partitions;
@@ -22,3 +26,22 @@ def build_session(app="spectralake", master=None, **extra):
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark):
+    """Send the package to the Python workers, once per application.
+
+    Not needed where it is installed on the executors or given by ``--py-files``.
+    """
+    if spark.conf.get("spark.spectralake.shipped", None) == spark.sparkContext.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spectralake-"), "spectralake.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("spectralake", os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("spark.spectralake.shipped", spark.sparkContext.applicationId)

@@ -26,6 +26,10 @@ def pattern_lines(pattern):
         F.col("cal_id").alias("shot"), F.lit(1).alias("part"), F.col("x").alias("line"), "text")
 
 
+def _number(pattern, c):
+    return F.when(c.isNull(), F.lit("nan")).otherwise(F.format_string(pattern, c))
+
+
 def _header(rows, templates):
     """Header lines from format strings over columns of ``rows``, one row per shot."""
     lines = F.array(*[F.format_string(t, *cols) if cols else F.lit(t) for t, cols in templates])
@@ -42,7 +46,7 @@ def spectra_lines(spectra, shots, unit, name, date):
     """
     cells = F.transform(
         F.array_sort(F.collect_list(F.struct("frame", F.col(unit).cast("double").alias("v")))),
-        lambda c: F.coalesce(F.format_string("%.6e", c["v"]), F.lit("nan")))
+        lambda c: _number("%.6e", c["v"]))
     data = spectra.groupBy("shot", "pos", "wl").agg(cells.alias("cells")).select(
         "shot", F.lit(1).alias("part"), F.col("pos").alias("line"),
         F.concat_ws(", ", F.array(F.format_string("%.6f", "wl")), "cells").alias("text"))
@@ -65,7 +69,7 @@ def spectra_lines(spectra, shots, unit, name, date):
 
 def intensity_lines(table, bands, shots, name, date, comments=()):
     """Intensity table as text: time, then one column per band; frame 0 is not in it."""
-    cell = lambda b: F.coalesce(F.format_string("%.6e", F.col(f"`{b}`").cast("double")), F.lit("nan"))
+    cell = lambda b: _number("%.6e", F.col(f"`{b}`").cast("double"))
     data = table.select(
         "shot", F.lit(1).alias("part"), F.col("frame").alias("line"),
         F.concat_ws(", ", F.format_string("%.5f", "time_s"), *[cell(b) for b in bands]).alias("text"))

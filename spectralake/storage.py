@@ -40,3 +40,13 @@ def attach(fact, dim, on, how="inner", max_rows=BROADCAST_ROWS):
     """
     small = dim.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
     return fact.join(F.broadcast(dim) if small else dim, on, how)
+
+
+def spread(df, *keys):
+    """Partition by ``keys`` for a grouped solver job.
+
+    Solvers are bound by computing, not by bytes, so the number of partitions is
+    fixed and four times the usual: AQE would merge small ones into a few slow
+    tasks. The grouping that follows on the same keys needs no further shuffle.
+    """
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

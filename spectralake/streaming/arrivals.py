@@ -53,4 +53,4 @@ def _read_done(spark, path):
 
 def results(spark, folder, schema):
     """Everything processed so far."""
-    return spark.read.schema(schema).parquet(f"{folder}/results")
+    return spark.read.schema(schema).parquet(f"{folder}/results").drop("batch")

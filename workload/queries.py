@@ -252,7 +252,7 @@ def savgol(spark, d):
 
 def amplify(spark, d):
     curved = pattern.amplify(_smooth(spark, d), "arch", 1e-3, length=v.DIM_O).select(
-        "shot", "frame", "x", "y", r("amplified").alias("arch"))
+        "shot", "frame", "x", "y", r("amplified", 8).alias("arch"))
     return _amplified(spark, d).select("shot", "frame", "x", "y", r("amplified").alias("exp")).join(
         curved, ["shot", "frame", "x", "y"])
 
@@ -359,7 +359,8 @@ def _image_sums(spark, d):
 def dispersion_fit(spark, d):
     fits = wavelength.fit_dispersion(v.lamp_lines(spark, d), origin=32)
     at = lambda x: r(polyfit.evaluate(F.lit(float(x)), origin=32), 3)
-    return fits.select("cal_id", "ord", "n", "degree", at(0).alias("wl_0"), at(32).alias("wl_32"), at(63).alias("wl_63"))
+    return fits.select("cal_id", "ord", "n", "degree", at(0.1234567).alias("wl_a"),
+                       at(31.7654321).alias("wl_b"), at(62.9182736).alias("wl_c"))
 
 
 def wavelength_map(spark, d):
@@ -376,18 +377,16 @@ def direction(spark, d):
 
 
 def _windows(spark, d):
-    sphere, dark = _image_sums(spark, d)
-    flat = wavelength.flat_field(dark, sphere)
+    flat = wavelength.flat_field(v.lamp(spark, d), _image_sums(spark, d)[0])
     at = (F.col("l_orderkey") * 3 + F.col("l_partkey")) % 8 * 8 + 4
     lines = v.table(spark, d, "lineitem").select(
         F.col("l_suppkey").cast("long").alias("cal_id"), ((F.col("l_linenumber").cast("long") - 1) % 4).alias("ord"),
-        at.alias("at")).distinct()
+        at.alias("px0")).distinct()
     return wavelength.line_windows(flat, lines, 4)
 
 
 def flat_field(spark, d):
-    sphere, dark = _image_sums(spark, d)
-    return rounded(wavelength.flat_field(dark, sphere), 6)
+    return rounded(wavelength.flat_field(v.lamp(spark, d), _image_sums(spark, d)[0]), 12)
 
 
 def line_center_seed(spark, d):

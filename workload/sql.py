@@ -98,10 +98,10 @@ view("small_lines", "", "select * from (" + values([
     ("b650", 0, 650.0, 3.0, "2p-4d", "*-*"), ("b630", 0, 630.2, 1.0, "2p-4s", "1-0")])
     + ") t(band, line, wl, ak, config, j)")
 view("atomic", "", """
-select p_brand || '-' || p_type as band, p_partkey as line, 400e0 + (p_partkey * 37 % 4001) / 10e0 as wl,
+select p_brand || '-' || p_type as band, p_partkey as line, 400e0 + (p_partkey * 37 % 4001) / 9.97e0 as wl,
        '1s2.2p-1s2.' || (p_partkey % 7 + 2) || substr('spdfghik', cast(p_partkey // 3 % 8 + 1 as int), 1) as config,
        '1/2-' || (['1/2', '3/2', '5/2', '1 1/2', '2', '0', '*', '3'])[p_partkey % 8 + 1] as j,
-       p_size::double * 1e6 as ak, 20e0 + p_partkey % 100 / 8e0 as e_low, 22e0 + p_partkey % 100 / 4e0 as e_high
+       p_size::double * 1e6 + p_partkey * 1.7e0 as ak, 20e0 + p_partkey % 100 / 8e0 as e_low, 22e0 + p_partkey % 100 / 4.03e0 as e_high
 from part""")
 view("measured", "", """
 select l_suppkey as shot, l_linenumber::bigint as frame,
@@ -198,14 +198,20 @@ select cal_id, ord, x, case when x_missing is null or x < x_missing then wl end
 from wl_full left join short using (cal_id, ord)""")
 view("turn", "wl", """
 select cal_id, sign(arg_max(wl, x) - arg_min(wl, x))::double as direction from wl where ord = 0 and wl is not null group by 1""")
-view("flat", "image_sums", """
-select cal_id, ord, x, (dark - min(dark) over (partition by cal_id, ord))::double / nullif(sphere, 0) as flat from image_sums""")
+view("lamp", "", """
+select l_suppkey as cal_id, (l_linenumber::bigint - 1) % 4 as ord, (l_orderkey * 3 + l_partkey) % 64 + w.d as x,
+       sum(l_quantity::bigint * w.w)::bigint as counts
+from lineitem, (values (-2, 1), (-1, 3), (0, 5), (1, 3), (2, 1)) w(d, w)
+group by all""")
+view("flat", "image_sums lamp", """
+select cal_id, ord, x, (counts - low)::double / nullif(sphere, 0) as flat
+from (select *, min(counts) over (partition by cal_id, ord) as low from lamp) join image_sums using (cal_id, ord, x)""") 
 view("wanted", "", """
-select distinct l_suppkey as cal_id, (l_linenumber::bigint - 1) % 4 as ord, (l_orderkey * 3 + l_partkey) % 8 * 8 + 4 as at
+select distinct l_suppkey as cal_id, (l_linenumber::bigint - 1) % 4 as ord, (l_orderkey * 3 + l_partkey) % 8 * 8 + 4 as px0
 from lineitem""")
-view("windows", "flat wanted", """
-select cal_id, ord, at, x, flat - min(flat) over (partition by cal_id, ord, at) as level
-from flat join wanted using (cal_id, ord) where x >= at - 4 and x < at + 4""")
+view("wins", "flat wanted", """
+select cal_id, ord, px0, x, flat - min(flat) over (partition by cal_id, ord, px0) as level
+from flat join wanted using (cal_id, ord) where x >= px0 - 4 and x < px0 + 4""")
 view("pts", "wl image_sums", """
 select cal_id, ord, x, wl, sphere::double as s from wl join image_sums using (cal_id, ord, x) where wl is not null""")
 view("ends", "pts", """
@@ -352,7 +358,7 @@ def node(name, source, steps):
     from (select p.*, n.node, c_lo + (c_hi - c_lo) * (n.node // {steps}) / {steps - 1} as centre,
                  s_lo + (s_hi - s_lo) * (n.node % {steps}) / {steps - 1} as sigma
           from {source} p, range(0, {steps * steps}) n(node)) join ratios using (band)
-    group by all""")
+    group by shot, frame, band, wl, seq, y, node, centre, sigma""")
     view(name, f"{name}_m", f"""
     select shot, frame, band, centre, sigma, delta from (
       select *, row_number() over (partition by shot, frame, band order by delta * ym desc, node) as rk from (
@@ -486,7 +492,7 @@ view("event_table", "event_values event_shots", "select shot, frame, trig_delay_
     + " from event_values join event_shots using (shot) where frame >= 1 group by all")
 sql("export_intensities", "event_table", """
 select shot, 1 as part, frame as line, printf('%.5f', time_s) || ', ' || """ + " || ', ' || ".join(
-    f"coalesce(printf('%.6e', {b}), 'nan')" for b in EVENT_BANDS) + """ as text from event_table
+    f"case when {b} is null then 'nan' else printf('%.6e', {b}) end" for b in EVENT_BANDS) + """ as text from event_table
 union all
 select shot, 0, unnest(range(0, len(h))), unnest(h) from (select shot, """ + header([
     lit("# [Parameters]"), lit("# Name = 'lines'"), "'# ShotNo = ' || shot", lit(f"# Date = '{DATE}'"), lit("#"),
@@ -539,7 +545,7 @@ sql("sample_columns", "profiles", "select shot, frame, x, y, counts from profile
 sql("savgol", "smooth", f"select shot, frame, x, y, counts, {R('smooth')} as smooth from smooth")
 sql("amplify", "smooth", f"""
 select shot, frame, x, y, {R('smooth * exp(3e-3 * y)')} as exp,
-       {R('smooth * (1 + (1e-3 * (y - 10)) * (1e-3 * (y - 10)))')} as arch from smooth""")
+       {R('smooth * (1 + (1e-3 * (y - 10)) * (1e-3 * (y - 10)))', 8)} as arch from smooth""")
 sql("local_peaks", "all_peaks", """
 select a.shot, a.frame, a.x, a.y, a.height from all_peaks a where not exists (
   select 1 from all_peaks b where b.shot = a.shot and b.frame = a.frame and b.x = a.x and b.y between a.y - 3 and a.y + 3
@@ -554,8 +560,8 @@ select shot, frame, x, y, row_number() over (partition by shot, frame, x order b
 sql("order_curve_fit", "curve", f"""
 select shot, frame, ord, n, {R('c0')} as c0, {R('c1', 2)} as c1, {R('c2 / 1000', 2)} as c2 from curve""")
 sql("order_curve_eval", "curve", f"""
-select shot, frame, ord, x, case when at between 0 and 43 then trunc(at)::bigint end as yc
-from (select shot, frame, ord, x.x, {poly('x.x')} as at from curve, range(0, 64) x(x))""")
+select shot, frame, ord, x, case when v between 0 and 43 then trunc(v)::bigint end as yc
+from (select shot, frame, ord, x.x, {poly('x.x')} as v from curve, range(0, 64) x(x))""")
 sql("order_spacing", "spacing", f"""
 select shot, frame, x, ord, y, {R('spacing')} as spacing, {R('smooth_spacing')} as smooth_spacing from spacing""")
 sql("order_profile", "spacing profiles", f"""
@@ -577,18 +583,18 @@ left join sums s on s.shot = o.shot and s.frame = o.frame and s.ord = o.ord and
 sql("short_orders", "short", "select cal_id, ord, x_missing, lowest from short")
 
 sql("dispersion_fit", "lamp_fit", f"""
-select cal_id, ord, n, degree, {R(poly('0'), 3)} as wl_0, {R(poly('32'), 3)} as wl_32, {R(poly('63'), 3)} as wl_63 from lamp_fit""")
+select cal_id, ord, n, degree, {R(poly('0.1234567e0'), 3)} as wl_a, {R(poly('31.7654321e0'), 3)} as wl_b, {R(poly('62.9182736e0'), 3)} as wl_c from lamp_fit""")
 sql("wavelength_map", "wl_full", f"select cal_id, ord, x, {R('wl')} as wl from wl_full")
 sql("wavelength_blank", "wl", f"select cal_id, ord, x, {R('wl')} as wl from wl")
 sql("direction", "turn", "select cal_id, direction from turn")
-sql("flat_field", "flat", f"select cal_id, ord, x, {R('flat', 6)} as flat from flat")
-sql("line_center_seed", "windows", f"""
-select cal_id, ord, at, {R('x + case when bend < 0 then (a - c) / 2 / bend else 0e0 end')} as centre from (
+sql("flat_field", "flat", f"select cal_id, ord, x, {R('flat', 12)} as flat from flat")
+sql("line_center_seed", "wins", f"""
+select cal_id, ord, px0, {R('x + case when bend < 0 then (a - c) / 2 / bend else 0e0 end')} as centre from (
   select *, a - 2 * b + c as bend from (
-    select cal_id, ord, at, x, ln(l) as a, ln(level) as b, ln(r) as c,
-           row_number() over (partition by cal_id, ord, at order by level desc, x) as rk from (
-      select *, lag(level) over w as l, lead(level) over w as r from windows
-      window w as (partition by cal_id, ord, at order by x)) where level > 0 and l > 0 and r > 0) where rk = 1)""")
+    select cal_id, ord, px0, x, ln(l) as a, ln(level) as b, ln(r) as c,
+           row_number() over (partition by cal_id, ord, px0 order by level desc, x) as rk from (
+      select *, lag(level) over w as l, lead(level) over w as r from wins
+      window w as (partition by cal_id, ord, px0 order by x)) where level > 0 and l > 0 and r > 0) where rk = 1)""")
 sql("calib_residuals", "line_list wl_fit", f"""
 select cal_id, ord, count(*) as n, {R('max(abs(miss))', 6)} as worst, {R('sqrt(avg(miss * miss))', 6)} as rms from (
   select l.cal_id, l.ord, l.wl - {poly('l.px')} as miss from line_list l join wl_fit using (cal_id, ord)) group by all""")

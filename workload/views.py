@@ -88,6 +88,20 @@ def line_list(spark, sf_dir):
         + F.lit(0.001) * F.col("wobble"), 4).alias("wl"))
 
 
+def lamp(spark, sf_dir):
+    """Lamp order spectra: every line item adds a small peak of five columns."""
+    shape = F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(w).cast("long").alias("w"))
+                      for d, w in ((-2, 1), (-1, 3), (0, 5), (1, 3), (2, 1))])
+    return (
+        table(spark, sf_dir, "lineitem").select(
+            _long("l_suppkey").alias("cal_id"), ((_long("l_linenumber") - 1) % 4).alias("ord"),
+            ((F.col("l_orderkey") * 3 + F.col("l_partkey")) % 64).alias("px"),
+            _long("l_quantity").alias("q"), F.explode(shape).alias("s"))
+        .groupBy("cal_id", "ord", (F.col("px") + F.col("s.d")).alias("x"))
+        .agg(F.sum(F.col("q") * F.col("s.w")).alias("counts"))
+    )
+
+
 def lamp_lines(spark, sf_dir):
     """Lines of single lamp exposures: few per order, so the degree varies."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -151,11 +165,11 @@ def atomic_lines(spark, sf_dir):
     letter = F.substring(F.lit("spdfghik"), (F.expr("p_partkey div 3") % 8 + 1).cast("int"), F.lit(1))
     return table(spark, sf_dir, "part").select(
         F.concat_ws("-", "p_brand", "p_type").alias("band"), k.alias("line"),
-        (F.lit(400.0) + (k * 37 % 4001) / 10).alias("wl"),
+        (F.lit(400.0) + (k * 37 % 4001) / F.lit(9.97)).alias("wl"),
         F.concat(F.lit("1s2.2p-1s2."), (k % 7 + 2).cast("string"), letter).alias("config"),
         F.concat(F.lit("1/2-"), F.get(upper, (k % 8).cast("int"))).alias("j"),
-        (F.col("p_size").cast("double") * 1e6).alias("ak"),
-        (F.lit(20.0) + k % 100 / 8).alias("e_low"), (F.lit(22.0) + k % 100 / 4).alias("e_high"))
+        (F.col("p_size").cast("double") * 1e6 + k * F.lit(1.7)).alias("ak"),
+        (F.lit(20.0) + k % 100 / 8).alias("e_low"), (F.lit(22.0) + k % 100 / F.lit(4.03)).alias("e_high"))
 
 
 def measured(spark, sf_dir):
