@@ -105,8 +105,8 @@ def band_slices(spectra, bands, pad=0.1, value="wm", cell=None):
 
     Wavelengths and bands meet in cells of ``cell`` nm: a band is unfolded to the
     cells it touches, so the range join is an equi-join on the cell and a point
-    is compared with the bands of its own cell only. ``bands`` is
-    ``(band, lo, hi)``, fixed in number, and comes to the spectra by broadcast.
+    is compared with the bands of its own cell only. ``bands`` is ``(band, lo, hi)``
+    and comes to the spectra while its counted size allows.
     """
     cell = float(cell or 1.0)
     bin_of = lambda c: F.floor(c / F.lit(cell))
@@ -114,8 +114,7 @@ def band_slices(spectra, bands, pad=0.1, value="wm", cell=None):
         "band", "lo", "hi",
         F.explode(F.sequence(bin_of(F.col("lo") - pad), bin_of(F.col("hi") + pad))).alias("cell"))
     return (
-        spectra.where("wl is not null").withColumn("cell", bin_of(F.col("wl")))
-        .join(F.broadcast(wide), "cell")
+        attach(spectra.where("wl is not null").withColumn("cell", bin_of(F.col("wl"))), wide, ["cell"])
         .where((F.col("wl") >= F.col("lo") - pad) & (F.col("wl") <= F.col("hi") + pad))
         .select("shot", "frame", "band", "wl", "seq", F.col(value).cast("double").alias("y"),
                 ((F.col("wl") >= F.col("lo")) & (F.col("wl") <= F.col("hi"))).alias("core"))
@@ -182,8 +181,9 @@ def detect(slices, offset=NOISE_OFFSET, top=NOISE_TOP):
 def _best_node(points, ratios, steps):
     """Best node of a grid of centres and widths, per slice.
 
-    The amplitude has a closed form on every node, so a node needs two sums. Nodes
-    are unfolded next to the points of their slice and summed there.
+    The amplitude has a closed form on every node, so a node needs two sums. The
+    points are partitioned by slice before nodes are unfolded: the sums and the
+    choice then stay in their task, and only points are shuffled.
     """
     lines = F.col("lines")
     shape = F.aggregate(lines, F.lit(0.0), lambda s, l: s + l["ratio"] * F.exp(
@@ -192,7 +192,7 @@ def _best_node(points, ratios, steps):
     nodes = F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1)))
     delta = F.col("ym") / F.col("mm")
     return (
-        points.join(F.broadcast(ratios), "band")
+        attach(points, ratios, ["band"]).repartition(*SLICE)
         .withColumn("node", nodes)
         .withColumn("centre", F.col("c_lo") + (F.col("c_hi") - F.col("c_lo")) * F.floor(F.col("node") / steps) / (steps - 1))
         .withColumn("sigma", F.col("s_lo") + (F.col("s_hi") - F.col("s_lo")) * (F.col("node") % steps) / (steps - 1))
@@ -222,8 +222,7 @@ def fit_bands_grid(slices, ratios, reach=0.1, sigma=SIGMA_RANGE, steps=21):
     packed = pack_ratios(ratios)
     s_lo, s_hi = sigma
     wide = (
-        slices.withColumn("c_lo", F.lit(None).cast("double"))
-        .drop("c_lo").join(F.broadcast(packed.select("band", "wl0")), "band")
+        attach(slices, packed.select("band", "wl0"), ["band"])
         .withColumn("c_lo", F.col("wl0") - reach).withColumn("c_hi", F.col("wl0") + reach)
         .withColumn("s_lo", F.lit(float(s_lo))).withColumn("s_hi", F.lit(float(s_hi))).drop("wl0")
     )
@@ -265,7 +264,7 @@ def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
             model, start, [-np.inf, sigma[0], 0.0], [np.inf, sigma[1], np.inf], x, y / top)
         return key.assign(centre=p[0], sigma=p[1], delta=p[2] * top)
 
-    rows = slices.join(F.broadcast(pack_ratios(ratios)), "band")
+    rows = attach(slices, pack_ratios(ratios), ["band"])
     return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
         fit, "shot long, frame long, band string, centre double, sigma double, delta double")
 
@@ -279,7 +278,7 @@ def fit_samples(fits, ratios, slices, factor=10):
         i * ((F.col("hi") - F.col("lo")) / (F.col("points") - 1)) + F.col("lo"))
     z = (F.col("x") - F.col("centre") - F.col("offset")) / F.col("sigma")
     return (
-        fits.join(span, list(SLICE)).join(F.broadcast(ratios.drop("wl0")), "band")
+        attach(fits.join(span, list(SLICE)), ratios.drop("wl0"), ["band"])
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1)))
         .withColumn("x", x)
         .select(*SLICE, "line", "i", "x", (
@@ -314,8 +313,11 @@ def select_frames(intensities, shots, first=1):
 
 
 def with_time(df, shots):
-    """Time of each frame: trigger delay plus frame number times cycle time."""
-    return df.join(shots.select("shot", "trig_delay_s", "cycle_s"), "shot").withColumn(
+    """Time of each frame: trigger delay plus frame number times cycle time.
+
+    ``shots`` is saved, one row per shot.
+    """
+    return attach(df, shots.select("shot", "trig_delay_s", "cycle_s"), ["shot"]).withColumn(
         "time_s", F.col("trig_delay_s") + F.col("frame") * F.col("cycle_s")).drop("trig_delay_s", "cycle_s")
 
 

@@ -55,15 +55,15 @@ def mask_runs(mask):
 
 
 def cut_rows(frame_rows, runs):
-    """Order pixels ``(shot, frame, ord, y, x, counts)`` of stored image rows.
+    """Order pixels ``(shot, frame, cal_id, ord, y, x, counts)`` of stored image rows.
 
     ``frame_rows`` carries ``cal_id``; ``runs`` is a saved run table.
     """
     cut = F.slice("row", (F.col("x_from") + 1).cast("int"), F.col("n").cast("int"))
     return (
         attach(frame_rows, runs, ["cal_id", "y"])
-        .select("shot", "frame", "ord", "y", "x_from", F.posexplode(cut).alias("i", "counts"))
-        .select("shot", "frame", "ord", "y", (F.col("x_from") + F.col("i")).alias("x"), "counts")
+        .select("shot", "frame", "cal_id", "ord", "y", "x_from", F.posexplode(cut).alias("i", "counts"))
+        .select("shot", "frame", "cal_id", "ord", "y", (F.col("x_from") + F.col("i")).alias("x"), "counts")
     )
 
 
@@ -73,16 +73,17 @@ def order_spectra(frame_rows, runs):
     Sums are combined map-side: with the rows of a frame stored together, a task
     hands on one value per order column instead of one per strip pixel.
     """
-    return cut_rows(frame_rows, runs).groupBy("shot", "frame", "ord", "x").agg(
+    return cut_rows(frame_rows, runs).groupBy("shot", "frame", "cal_id", "ord", "x").agg(
         F.sum("counts").alias("counts"))
 
 
 def order_image(frame_rows, runs, pattern, dv):
-    """Strip of each order straightened along its centre: row ``dy`` in ``0 .. 2 dv``."""
+    """Strip of each order straightened along its centre: row ``dy`` in ``0 .. 2 dv``.
+
+    ``pattern`` and ``runs`` are saved tables.
+    """
     centre = pattern.select("cal_id", "ord", "x", "yc")
-    strips = cut_rows(frame_rows, runs).join(
-        frame_rows.select("shot", "cal_id").distinct(), "shot")
-    return strips.join(centre, ["cal_id", "ord", "x"]).select(
+    return attach(cut_rows(frame_rows, runs), centre, ["cal_id", "ord", "x"]).select(
         "shot", "frame", "ord", (F.col("y") - F.col("yc") + dv).alias("dy"), "x", "counts")
 
 

@@ -12,9 +12,8 @@ def stitched(frame_rows, calibration):
     ``frame_rows`` is ``(shot, frame, y, row, cal_id)``. The two calibration
     tables come to the images; the only shuffle carries order sums.
     """
-    sets = frame_rows.select("shot", "cal_id").distinct()
     sums = extraction.order_spectra(frame_rows, calibration.runs)
-    return attach(attach(sums, save(sets), ["shot"]), calibration.pixels, ["cal_id", "ord", "x"])
+    return attach(sums, calibration.pixels, ["cal_id", "ord", "x"])
 
 
 def calibrated_spectra(frame_rows, calibration, shots, k=5.0):

@@ -22,22 +22,32 @@ def process_arrivals(frame_rows, expected, process, folder, trigger=None):
     with ``shot``. A background run needs the whole shot, so rows are landed
     first and a shot is taken up when all its rows are there and it has no output.
 
-    Every batch writes its own folder by overwriting it, so a batch that is
-    replayed after a failure gives the same result once.
+    Every batch writes its own folders by overwriting them, so a batch that is
+    replayed after a failure gives the same result once. What is complete follows
+    from small per-batch counts; of the landed rows only the folders of the shots
+    at hand are read.
     """
     spark = frame_rows.sparkSession
-    landing, results, done = f"{folder}/landing", f"{folder}/results", f"{folder}/done"
+    landing, counts, done = f"{folder}/landing", f"{folder}/counts", f"{folder}/done"
     landed_schema = frame_rows.schema.add("batch", "long")
 
     def run(batch, number):
-        batch.write.mode("overwrite").parquet(f"{landing}/batch={number}")
-        landed = spark.read.schema(landed_schema).parquet(landing).where(F.col("batch") <= number)
-        counts = landed.groupBy("shot").agg(F.count("*").alias("rows"))
-        complete = counts.join(expected, "shot").where("rows >= n_rows").select("shot")
+        rows = save(batch)
+        rows.write.mode("overwrite").partitionBy("shot").parquet(f"{landing}/batch={number}")
+        rows.groupBy("shot").agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(
+            f"{counts}/batch={number}")
+        so_far = spark.read.schema("shot long, rows long, batch long").parquet(counts).where(
+            F.col("batch") <= number)
+        complete = so_far.groupBy("shot").agg(F.sum("rows").alias("rows")).join(
+            expected, "shot").where("rows >= n_rows").select("shot")
         earlier = _read_done(spark, done).where(F.col("batch") < number)
         ready = save(pending(complete, earlier))
-        rows = landed.drop("batch").join(ready, "shot", "left_semi")
-        process(rows).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        ends = ready.agg(F.min("shot").alias("lo"), F.max("shot").alias("hi")).first()
+        if ends.lo is not None:
+            landed = spark.read.schema(landed_schema).parquet(landing).where(
+                (F.col("batch") <= number) & F.col("shot").between(ends.lo, ends.hi))
+            process(landed.drop("batch").join(ready, "shot", "left_semi")).write.mode("overwrite").parquet(
+                f"{folder}/results/batch={number}")
         ready.write.mode("overwrite").parquet(f"{done}/batch={number}")
 
     writer = frame_rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state")

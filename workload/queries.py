@@ -115,7 +115,7 @@ EVENT_BANDS = ["click", "error", "purchase", "signup", "view"]
 
 def _event_table(spark, d):
     shots_of = v.event_shots(spark, d)
-    return bands.intensity_table(bands.with_time(v.event_values(spark, d), shots_of), EVENT_BANDS), shots_of
+    return bands.intensity_table(bands.with_time(v.event_values(spark, d), save(shots_of)), EVENT_BANDS), shots_of
 
 
 def export_intensities(spark, d):
@@ -310,7 +310,7 @@ def _mask(spark, d):
 
 
 def _sums(spark, d):
-    return extraction.extract(v.frame_rows(spark, d), v.pattern(spark, d), v.DV, v.DIM_O)
+    return extraction.extract(v.frame_rows(spark, d), v.pattern(spark, d), v.DV, v.DIM_O).drop("cal_id")
 
 
 def make_mask(spark, d):
@@ -327,7 +327,7 @@ def pattern_image(spark, d):
 
 def order_image(spark, d):
     runs = save(extraction.mask_runs(_mask(spark, d)))
-    return extraction.order_image(v.frame_rows(spark, d), runs, v.pattern(spark, d), v.DV)
+    return extraction.order_image(v.frame_rows(spark, d), runs, save(v.pattern(spark, d)), v.DV)
 
 
 def order_spectra(spark, d):
@@ -597,7 +597,7 @@ def frame_mask(spark, d):
 
 
 def time_axis(spark, d):
-    return rounded(bands.with_time(v.event_values(spark, d), v.event_shots(spark, d)))
+    return rounded(bands.with_time(v.event_values(spark, d), save(v.event_shots(spark, d))))
 
 
 def intensity_pivot(spark, d):
@@ -650,7 +650,7 @@ def stream_shots(spark, d):
     rows = v.frame_rows_of(arrivals.arriving_rows(spark, d, vectors.schema, glob="embeddings.parquet"))
     expected = v.frame_rows(spark, d).groupBy("shot").agg(F.count("*").alias("n_rows"))
     query = arrivals.process_arrivals(
-        rows, expected, lambda complete: extraction.order_spectra(complete, runs), folder)
+        rows, expected, lambda complete: extraction.order_spectra(complete, runs).drop("cal_id"), folder)
     query.awaitTermination()
     return arrivals.results(spark, folder, "shot long, frame long, ord long, x long, counts long")
 
