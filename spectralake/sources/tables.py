@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 
 def _fields(lines):
-    """Non-blank fields of each line after cutting comments; ``lines`` has ``value``."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*", ""), r"\s+", " "))
-    return lines.withColumn("bare", bare).where(F.col("bare") != "").withColumn(
-        "field", F.split("bare", " ")).drop("value", "bare")
+    """Fields of each line that holds more than a comment."""
+    bare = F.trim(F.translate(F.substring_index("value", "#", 1), "\t\r", "  "))
+    return lines.withColumn("value", bare).where(F.length("value") > 0).withColumn(
+        "field", F.split("value", " +")).drop("value")
 
 
 def parse_line_list(lines):
@@ -62,7 +62,7 @@ def parse_pattern(texts):
 
 
 def read_pattern(spark, path, cal_id):
-    texts = spark.read.option("wholetext", "true").text(path)
+    texts = spark.read.text(path, wholetext=True)
     return parse_pattern(texts.withColumn("cal_id", F.lit(cal_id).cast("long")))
 
 

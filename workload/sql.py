@@ -98,10 +98,10 @@ view("small_lines", "", "select * from (" + values([
     ("b650", 0, 650.0, 3.0, "2p-4d", "*-*"), ("b630", 0, 630.2, 1.0, "2p-4s", "1-0")])
     + ") t(band, line, wl, ak, config, j)")
 view("atomic", "", """
-select p_brand || '-' || p_type as band, p_partkey as line, 400e0 + (p_partkey * 37 % 4001) / 9.97e0 as wl,
+select 'B' || (p_partkey // 4) || '-' || (['ECONOMY', 'SMALL', 'LARGE'])[p_partkey // 4 % 3 + 1] as band, p_partkey as line, 400e0 + (p_partkey * 37 % 4001) / 9.97e0 as wl,
        '1s2.2p-1s2.' || (p_partkey % 7 + 2) || substr('spdfghik', cast(p_partkey // 3 % 8 + 1 as int), 1) as config,
        '1/2-' || (['1/2', '3/2', '5/2', '1 1/2', '2', '0', '*', '3'])[p_partkey % 8 + 1] as j,
-       p_size::double * 1e6 + p_partkey * 1.7e0 as ak, 20e0 + p_partkey % 100 / 8e0 as e_low, 22e0 + p_partkey % 100 / 4.03e0 as e_high
+       p_size::double * 1e6 + p_partkey * 1.7123457e0 as ak, 20e0 + p_partkey % 100 / 8e0 as e_low, 22e0 + p_partkey % 100 / 4.03e0 as e_high
 from part""")
 view("measured", "", """
 select l_suppkey as shot, l_linenumber::bigint as frame,

@@ -159,16 +159,18 @@ def band_lines_small(spark):
 
 
 def atomic_lines(spark, sf_dir):
-    """Spectral lines with level labels, one per part row; a band is a brand and type."""
+    """Spectral lines with level labels, one per part row, four to a band."""
     k = F.col("p_partkey")
     upper = F.array(*[F.lit(v) for v in ("1/2", "3/2", "5/2", "1 1/2", "2", "0", "*", "3")])
     letter = F.substring(F.lit("spdfghik"), (F.expr("p_partkey div 3") % 8 + 1).cast("int"), F.lit(1))
     return table(spark, sf_dir, "part").select(
-        F.concat_ws("-", "p_brand", "p_type").alias("band"), k.alias("line"),
+        F.concat(F.lit("B"), (F.expr("p_partkey div 4")).cast("string"), F.lit("-"), F.get(
+            F.array(F.lit("ECONOMY"), F.lit("SMALL"), F.lit("LARGE")), F.expr("cast(p_partkey div 4 % 3 as int)"))).alias("band"),
+        k.alias("line"),
         (F.lit(400.0) + (k * 37 % 4001) / F.lit(9.97)).alias("wl"),
         F.concat(F.lit("1s2.2p-1s2."), (k % 7 + 2).cast("string"), letter).alias("config"),
         F.concat(F.lit("1/2-"), F.get(upper, (k % 8).cast("int"))).alias("j"),
-        (F.col("p_size").cast("double") * 1e6 + k * F.lit(1.7)).alias("ak"),
+        (F.col("p_size").cast("double") * 1e6 + k * F.lit(1.7123457)).alias("ak"),
         (F.lit(20.0) + k % 100 / 8).alias("e_low"), (F.lit(22.0) + k % 100 / F.lit(4.03)).alias("e_high"))
 
 
