@@ -15,6 +15,7 @@ def parse_line_list(lines):
 
     Columns are order, from, to, centre and wavelength, then an optional species.
     The window ``from..to`` is carried but never filters: a centre may lie outside.
+    A field that is no number is NULL; fits skip it.
     """
     f = lambda i: F.get("field", F.lit(i))
     rows = _fields(lines)
@@ -25,7 +26,7 @@ def parse_line_list(lines):
         f(1).try_cast("double").alias("px_from"), f(2).try_cast("double").alias("px_to"),
         f(3).try_cast("double").alias("px"), f(4).try_cast("double").alias("wl"),
         f(5).alias("species"),
-    ).where("ord is not null and px is not null and wl is not null")
+    )
 
 
 def read_line_list(spark, path, cal_id):
@@ -40,7 +41,7 @@ def parse_irradiance(lines):
         *keep,
         F.get("field", F.lit(0)).try_cast("double").alias("um"),
         F.get("field", F.lit(1)).try_cast("double").alias("mw"),
-    ).where("um is not null and mw is not null")
+    )
 
 
 def read_irradiance(spark, path, cal_id):

@@ -603,6 +603,10 @@ sql("order_borders", "borders", "select cal_id, ord, x_from, x_to, trimmed from
 sql("stitched_spectra", "stitched", f"select shot, frame, ord, x, seq, {R('wl')} as wl, counts from stitched")
 
 sql("irradiance_linear", "irr", f"select cal_id, ord, x, {R('wl')} as wl, {R('irradiance')} as irradiance from irr")
+# the knots lie on a cubic, which a not-a-knot spline gives back exactly
+sql("irradiance_cubic", "pixels", f"""
+select cal_id, ord, x, {R('wl')} as wl, {R('(i + 1) * (i + 1) * (30 - i) / 20 + cal_id % 7')} as irradiance
+from (select *, (wl - 300) / 84e0 as i from pixels)""")
 sql("sphere_net", "image_sums", "select cal_id, ord, x, sphere - dark as net from image_sums")
 sql("absolute_factors", "factors", f"""
 select cal_id, ord, x, {R('wl')} as wl, {R('f_wm', 6)} as f_wm, {R('f_wmsr', 6)} as f_wmsr, {R('f_phmsr / 1e15')} as f_phmsr_e15
