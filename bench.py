@@ -15,7 +15,6 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from spectralake.operators import extraction  # noqa: E402
 from spectralake.session import build_session, ship  # noqa: E402
-from spectralake.storage import save  # noqa: E402
 from workload import queries as q  # noqa: E402
 from workload import views as v  # noqa: E402
 
@@ -33,7 +32,7 @@ def stack_copies(spark, sf_dir):
     rows = v.frame_rows(spark, sf_dir).withColumn("rep", rep).repartition(64).select(
         (F.col("shot") * 50 + F.col("rep")).alias("shot"), "frame", "y", "cal_id",
         F.transform("row", lambda c: c + F.col("rep")).alias("row"))
-    runs = save(extraction.mask_runs(extraction.truncate_mask(v.pattern(spark, sf_dir), v.DV, v.DIM_O)))
+    runs = extraction.sensor_runs(v.pattern(spark, sf_dir), v.DV, v.DIM_O)
     return extraction.order_spectra(rows, runs)
 
 

@@ -44,13 +44,29 @@ def pattern_image(mask):
     return mask.select("cal_id", "y", "x").distinct()
 
 
-def mask_runs(mask):
-    """Mask as stretches of columns ``(cal_id, y, ord, x_from, n)``."""
-    line = W.partitionBy("cal_id", "y", "ord").orderBy("x")
+def mask_runs(pattern, dv):
+    """Mask of a truncated pattern as stretches of columns ``(cal_id, y, ord, x_from, n)``.
+
+    Columns with the same centre are joined first, so the ``2 dv + 1`` rows are
+    unfolded per stretch and not per column; touching stretches of a row are
+    joined after that.
+    """
+    same = W.partitionBy("cal_id", "ord", "yc").orderBy("x")
+    steps = (
+        pattern.where(F.col("yc").isNotNull())
+        .withColumn("island", F.col("x") - F.row_number().over(same))
+        .groupBy("cal_id", "ord", "yc", "island").agg(F.min("x").alias("x_from"), F.count("*").alias("n"))
+        .select("cal_id", "ord", "x_from", (F.col("x_from") + F.col("n")).alias("x_end"),
+                F.explode(F.sequence(F.col("yc") - dv, F.col("yc") + dv)).alias("y"))
+        .where("y >= 0")
+    )
+    row = W.partitionBy("cal_id", "ord", "y").orderBy("x_from")
     return (
-        mask.withColumn("island", F.col("x") - F.row_number().over(line))
-        .groupBy("cal_id", "y", "ord", "island")
-        .agg(F.min("x").alias("x_from"), F.count("*").alias("n")).drop("island")
+        steps.withColumn("starts", (F.coalesce(F.lag("x_end").over(row), F.lit(-1)) != F.col("x_from")).cast("int"))
+        .withColumn("stretch", F.sum("starts").over(row))
+        .groupBy("cal_id", "y", "ord", "stretch")
+        .agg(F.min("x_from").alias("x_from"), F.max("x_end").alias("x_end"))
+        .select("cal_id", "y", "ord", "x_from", (F.col("x_end") - F.col("x_from")).alias("n"))
     )
 
 
@@ -102,18 +118,25 @@ def pad_orders(spectra, width):
     )
 
 
-def short_orders(pattern, mask, width):
+def short_orders(pattern, dv, dim_o, width):
     """Orders shorter than the sensor and the first missing column.
 
-    ``rows_below`` counts mask rows under the sensor, which are not summed.
+    ``lowest`` is the order's lowest centre: under ``dv``, rows below the sensor
+    are left out of its sums.
     """
-    below = pattern.groupBy("cal_id", "ord").agg(F.min("yc").alias("lowest"))
-    length = mask.groupBy("cal_id", "ord").agg((F.max("x") + 1).alias("x_missing"))
-    return below.join(length, ["cal_id", "ord"], "left").select(
+    on_sensor = truncated_pattern(pattern, dv, dim_o).where(F.col("yc") + dv >= 0)
+    length = on_sensor.groupBy("cal_id", "ord").agg((F.max("x") + 1).alias("x_missing"))
+    lowest = pattern.groupBy("cal_id", "ord").agg(F.min("yc").alias("lowest"))
+    return lowest.join(length, ["cal_id", "ord"], "left").select(
         "cal_id", "ord", F.coalesce("x_missing", F.lit(0)).alias("x_missing"), "lowest"
     ).where(F.col("x_missing") < width)
 
 
+def sensor_runs(pattern, dv, dim_o):
+    """Saved stretches of all orders as far as they stay on the sensor."""
+    return save(mask_runs(truncated_pattern(pattern, dv, dim_o), dv))
+
+
 def extract(frame_rows, pattern, dv, dim_o):
     """Order spectra from images and pattern in one go."""
-    return order_spectra(frame_rows, save(mask_runs(truncate_mask(pattern, dv, dim_o))))
+    return order_spectra(frame_rows, sensor_runs(pattern, dv, dim_o))

@@ -22,23 +22,26 @@ class Calibration:
     pixels: DataFrame
 
 
-def stack(images, value):
-    """Calibration images as single-frame shots numbered by their set."""
-    return images.select(
+def image_sums(images, runs):
+    """Order sums ``(cal_id, ord, x, sphere, dark)`` of both calibration images in one pass.
+
+    The images of a set are one single-frame shot whose pixels are pairs.
+    """
+    pairs = images.select(
         F.col("cal_id").alias("shot"), F.lit(0).cast("long").alias("frame"), "cal_id", "y",
-        F.col(value).alias("row"))
+        F.arrays_zip("sphere", "dark").alias("row"))
+    return extraction.cut_rows(pairs, runs).groupBy("cal_id", "ord", "x").agg(
+        F.sum("counts.sphere").alias("sphere"), F.sum("counts.dark").alias("dark"))
 
 
-def image_spectra(images, value, runs):
-    """Order spectra of calibration images, keyed by set."""
-    return extraction.order_spectra(stack(images, value), runs).select(
-        F.col("shot").alias("cal_id"), "ord", "x", "counts")
+def one_image(sums, image):
+    """Order spectra of one calibration image."""
+    return sums.select("cal_id", "ord", "x", F.col(image).alias("counts"))
 
 
 def wavelengths(pattern, line_list, dv, dim_w, dim_o):
     """Wavelength of every column of every order, NULL past the end of short orders."""
-    mask = extraction.truncate_mask(pattern, dv, dim_o)
-    short = extraction.short_orders(pattern, mask, dim_w)
+    short = extraction.short_orders(pattern, dv, dim_o, dim_w)
     fits = wavelength.fit_dispersion(line_list, origin=dim_w / 2)
     full = wavelength.wavelength_map(fits, dim_w, origin=dim_w / 2)
     return wavelength.blank_short(full, short)
@@ -57,13 +60,14 @@ def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposure
     ``images`` is ``(cal_id, y, sphere, dark)`` with one array per image row.
     Tables are saved where several later steps read them.
     """
-    runs = save(extraction.mask_runs(extraction.truncate_mask(pattern, dv, dim_o)))
-    sphere = save(image_spectra(images, "sphere", runs))
+    runs = extraction.sensor_runs(pattern, dv, dim_o)
+    sums = save(image_sums(images, runs))
+    sphere = one_image(sums, "sphere")
     wl = save(wavelengths(pattern, line_list, dv, dim_w, dim_o))
     pixels = save(stitched_pixels(wl, sphere, dim_w))
     if knots is None:
         return Calibration(runs, pixels)
     interpolate = absolute.irradiance_cubic if cubic else absolute.irradiance_linear
-    net = absolute.sphere_net(sphere, image_spectra(images, "dark", runs))
+    net = absolute.sphere_net(sphere, one_image(sums, "dark"))
     factors = absolute.absolute_factors(net, interpolate(pixels, knots, strict=True), exposures)
     return Calibration(runs, save(pixels.join(factors.drop("wl"), ["cal_id", "ord", "x"])))

@@ -152,11 +152,15 @@ def test_order_sums_against_brute_force(spark):
     got = {(r.ord, r.x): r.counts for r in extraction.extract(stack(spark, image), p, 2, 30).collect()}
     assert got == brute_spectra(image, centres, 2)
     mask = extraction.truncate_mask(p, 2, 30)
-    short = extraction.short_orders(p, mask, 40)
+    short = extraction.short_orders(p, 2, 30, 40)
     assert rows_of(short, "ord", "x_missing") == [(2, 15)]
     padded = extraction.pad_orders(extraction.extract(stack(spark, image), p, 2, 30), 40)
     assert padded.count() == 120 and padded.where("counts is null").count() == 25
-    assert extraction.mask_runs(mask).agg(F.sum("n")).first()[0] == mask.count()
+    runs = extraction.sensor_runs(p, 2, 30)
+    unfolded = runs.select("ord", "y", F.explode(F.sequence("x_from", F.col("x_from") + F.col("n") - 1)).alias("x"))
+    assert rows_of(unfolded, "ord", "y", "x") == rows_of(mask, "ord", "y", "x")
+    touching = runs.alias("a").join(runs.alias("b"), F.expr("a.ord = b.ord and a.y = b.y and a.x_from + a.n = b.x_from"))
+    assert touching.count() == 0
 
 
 def brute_crossing(x1, y1, x2, y2):

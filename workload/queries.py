@@ -309,6 +309,10 @@ def _mask(spark, d):
     return extraction.truncate_mask(v.pattern(spark, d), v.DV, v.DIM_O)
 
 
+def _runs(spark, d):
+    return extraction.sensor_runs(v.pattern(spark, d), v.DV, v.DIM_O)
+
+
 def _sums(spark, d):
     return extraction.extract(v.frame_rows(spark, d), v.pattern(spark, d), v.DV, v.DIM_O).drop("cal_id")
 
@@ -326,8 +330,7 @@ def pattern_image(spark, d):
 
 
 def order_image(spark, d):
-    runs = save(extraction.mask_runs(_mask(spark, d)))
-    return extraction.order_image(v.frame_rows(spark, d), runs, save(v.pattern(spark, d)), v.DV)
+    return extraction.order_image(v.frame_rows(spark, d), _runs(spark, d), save(v.pattern(spark, d)), v.DV)
 
 
 def order_spectra(spark, d):
@@ -339,7 +342,7 @@ def pad_orders(spark, d):
 
 
 def short_orders(spark, d):
-    return extraction.short_orders(v.pattern(spark, d), _mask(spark, d), v.DIM_W)
+    return extraction.short_orders(v.pattern(spark, d), v.DV, v.DIM_O, v.DIM_W)
 
 
 # --- E: wavelength ------------------------------------------------------------
@@ -350,10 +353,8 @@ def _wl(spark, d):
 
 def _image_sums(spark, d):
     """Saved order spectra of the sphere and the dark image."""
-    runs = save(extraction.mask_runs(_mask(spark, d)))
-    images = v.images(spark, d)
-    return (save(cal_plan.image_spectra(images, "sphere", runs)),
-            save(cal_plan.image_spectra(images, "dark", runs)))
+    sums = save(cal_plan.image_sums(v.images(spark, d), _runs(spark, d)))
+    return cal_plan.one_image(sums, "sphere"), cal_plan.one_image(sums, "dark")
 
 
 def dispersion_fit(spark, d):
@@ -646,7 +647,7 @@ def stream_shots(spark, d):
     """Order spectra of the stacks, read as a stream of arriving rows."""
     vectors = v.table(spark, d, "embeddings")
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    runs = save(extraction.mask_runs(_mask(spark, d)))
+    runs = _runs(spark, d)
     rows = v.frame_rows_of(arrivals.arriving_rows(spark, d, vectors.schema, glob="embeddings.parquet"))
     expected = v.frame_rows(spark, d).groupBy("shot").agg(F.count("*").alias("n_rows"))
     query = arrivals.process_arrivals(
