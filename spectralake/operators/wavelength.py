@@ -153,18 +153,19 @@ def order_crossings(wavelengths, sphere):
     grid_points = grid.select(
         *ORDER, F.explode(F.array(F.lit(0), F.lit(1))).alias("second"), F.col("g").alias("wl"),
         F.lit(None).cast("double").alias("s"), "i")
-    mixed = order_points.unionByName(grid_points).repartition(*ORDER).withColumn(
-        "here", F.when(F.col("i").isNull(), F.struct("wl", "s")))
+    is_order = F.col("i").isNull()
+    mixed = order_points.unionByName(grid_points).repartition(*ORDER).select(
+        *ORDER, "second", "wl", "i", is_order.alias("is_order"), F.when(is_order, F.struct("wl", "s")).alias("here"))
     # at equal wavelength the grid point comes first, so the order point is its upper end
-    line = "ignore nulls over (partition by cal_id, ord, second order by wl, i is null)"
+    line = "ignore nulls over (partition by cal_id, ord, second order by wl, is_order)"
     slope = (F.col("q.s") - F.col("p.s")) / (F.col("q.wl") - F.col("p.wl"))
     value = F.when(F.col("q.wl") == F.col("wl"), F.col("q.s")).when(
         F.col("p").isNotNull() & F.col("q").isNotNull(), F.col("p.s") + slope * (F.col("wl") - F.col("p.wl")))
     of = lambda k: F.max(F.when(F.col("second") == k, F.col("v")))
     gap = F.abs(F.col("v0") - F.col("v1"))
     return (
-        mixed.withColumn("p", F.expr(f"lag(here) {line}")).withColumn("q", F.expr(f"lead(here) {line}"))
-        .where("i is not null").withColumn("v", value)
+        mixed.select("*", F.expr(f"lag(here) {line}").alias("p"), F.expr(f"lead(here) {line}").alias("q"))
+        .where("not is_order").withColumn("v", value)
         .groupBy(*ORDER, "i", "wl").agg(of(0).alias("v0"), of(1).alias("v1"))
         .groupBy(*ORDER).agg(F.min(F.when(gap.isNotNull(), F.struct(gap.alias("d"), "i", "wl"))).alias("best"))
         .select(*ORDER, F.col("best.wl").alias("cross"))
@@ -179,8 +180,12 @@ def order_borders(wavelengths, crossings, directions, width):
     a side is not trimmed and ``trimmed`` is false.
     """
     x, wl, falling = F.col("x"), F.col("wl"), F.col("direction") < 0
-    own = crossings.select(*ORDER, F.col("cross").alias("upper"))
-    before = crossings.select("cal_id", (F.col("ord") + 1).alias("ord"), F.col("cross").alias("lower"))
+    # a crossing ends its own order and starts the next one
+    sides = F.explode(F.array(
+        F.struct("ord", F.col("cross").alias("upper"), F.lit(None).cast("double").alias("lower")),
+        F.struct((F.col("ord") + 1).alias("ord"), F.lit(None).cast("double").alias("upper"), F.col("cross").alias("lower"))))
+    limits = crossings.select("cal_id", sides.alias("s")).groupBy("cal_id", F.col("s.ord").alias("ord")).agg(
+        F.max("s.upper").alias("upper"), F.max("s.lower").alias("lower"))
     last = F.when(F.first("falling"), F.max(F.when(wl > F.col("upper"), x))).otherwise(
         F.min(F.when(wl > F.col("upper"), x))) + 1
     first = F.when(F.first("falling"), F.min(F.when(wl <= F.col("lower"), x))).otherwise(
@@ -188,8 +193,7 @@ def order_borders(wavelengths, crossings, directions, width):
     orders = W.partitionBy("cal_id")
     return (
         wavelengths.where("wl is not null")
-        .join(own, list(ORDER), "left").join(before, list(ORDER), "left")
-        .join(directions, "cal_id").withColumn("falling", falling)
+        .join(limits, list(ORDER), "left").join(directions, "cal_id").withColumn("falling", falling)
         .groupBy(*ORDER).agg(first.alias("first"), last.alias("last"))
         .withColumn("lowest", F.min("ord").over(orders)).withColumn("highest", F.max("ord").over(orders))
         .select(*ORDER,
