@@ -133,11 +133,11 @@ def subtract_line(slices):
     left, right = F.col("rn") <= F.col("d"), F.col("rn") > F.col("n") - F.col("d")
     mean = lambda inside, c: F.avg(F.when(inside, F.col(c))).over(part)
     return (
-        slices.withColumn("rn", F.row_number().over(line)).withColumn("n", F.count("*").over(part))
+        slices.select("*", F.row_number().over(line).alias("rn"), F.count("*").over(part).alias("n"))
         .withColumn("d", d)
-        .withColumn("c1", mean(left, "y")).withColumn("c2", mean(right, "y"))
-        .withColumn("d1", mean(left, "wl")).withColumn("d2", mean(right, "wl"))
-        .withColumn("first_wl", F.min("wl").over(part))
+        .select("*", mean(left, "y").alias("c1"), mean(right, "y").alias("c2"),
+                mean(left, "wl").alias("d1"), mean(right, "wl").alias("d2"),
+                F.min("wl").over(part).alias("first_wl"))
         .where("core")
         .withColumn("rise", (F.col("c2") - F.col("c1")) / F.nullif(F.col("d2") - F.col("d1"), F.lit(0.0)))
         .withColumn("y", F.col("y") - (
