@@ -40,9 +40,10 @@ WIDTH = 5
 NUM, DEN = 80, 100
 FANOUT = 1024          # sets in a block of a hot subtree
 LEAF = 16              # sets in a leaf of a tree
-COMMON_SHARE = 2000    # a shingle of more than one in so many documents is common
-COMMON_MOST = 1 << 20  # common shingles sent to the tasks (8 MB); the rest are treated as rare
-COUNT_AT_ONCE = 4 << 20  # shingles a task counts together; those met once there are not counted
+SLOTS = 1 << 22        # counters that tell common shingles (their flags are 512 kB)
+SLOT_SHIFT = np.uint64(42)
+SLOT_ROWS = 16
+COMMON_LEAST = 16      # documents beyond the mean of a slot
 KEYS_A_BUCKET = 100_000
 
 
@@ -65,46 +66,44 @@ def _signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def common_shingles(docs, width=WIDTH):
-    """(shingles in many documents, sorted; number of distinct shingles of all documents)."""
-    def count(batches):
-        rows = shingles = held = 0
-        kept, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-        def settle():
-            nonlocal kept, counts
-            values, n = np.unique(np.concatenate(waiting), return_counts=True)
-            often = n > 1
-            kept, counts = np.concatenate([kept, values[often]]), np.concatenate([counts, n[often]])
-            waiting.clear()
+def common_slots(docs, width=WIDTH):
+    """(flags of the hash slots that hold shingles of many documents, number of shingles).
 
+    Every distinct shingle of every document is counted in one of ``SLOTS`` slots, a table
+    of fixed size. A slot far above the mean holds a shingle of many documents; the rare
+    ones that share its slot are taken for common, too, which does no harm.
+    """
+    def count(batches):
+        counts = np.zeros(SLOTS, np.int32)
         for batch in batches:
             for _, sets in _sets(batch, width):
-                rows += len(sets)
-                waiting.extend(sets)
-                held += sum(map(len, sets))
-                if held > COUNT_AT_ONCE:
-                    shingles, held = shingles + held, 0
-                    settle()
-        shingles += held
-        if waiting:
-            settle()
-        values, place = np.unique(kept, return_inverse=True)
-        counts = np.bincount(place, counts, len(values)).astype(np.int64)
+                counts += np.bincount((np.concatenate(sets) >> SLOT_SHIFT).astype(np.int64), minlength=SLOTS).astype(np.int32)
+        # 255 in one task is far above any mean; small numbers pack well
+        packed = np.minimum(counts, 255).astype(np.uint8).reshape(SLOT_ROWS, -1)
+        total = np.zeros(SLOT_ROWS, np.int64)
+        total[0] = counts.sum(dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0, 1]), pa.array([-1, -2]), pa.array([rows, shingles])], ["kind", "shingle", "n"])
-        for at in range(0, len(values), 100_000):
-            part = values[at:at + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), 2)), pa.array(part), pa.array(counts[at:at + 100_000])], ["kind", "shingle", "n"])
+            [pa.array(np.arange(SLOT_ROWS)), pa.array(total), pa.array([row.tobytes() for row in packed], pa.binary())],
+            ["slice", "total", "counts"])
+
+    def add(batches):
+        sums, totals = {}, {}
+        for batch in batches:
+            for at, total, row in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[at] = sums.get(at, 0) + np.frombuffer(row, np.uint8).astype(np.int64)
+                totals[at] = totals.get(at, 0) + total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array(list(totals.values()), pa.int64()),
+             pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())],
+            ["slice", "total", "counts"])
 
-    found = save(docs.select("doc_id", "text").mapInArrow(count, "kind long, shingle long, n long")
-                 .groupBy("kind", "shingle").agg(F.sum("n").alias("n")))
-    total = {r["kind"]: r["n"] for r in found.where("kind < 2").collect()}
-    least = max(16, total.get(0, 0) // COMMON_SHARE)
-    often = found.where((F.col("kind") == 2) & (F.col("n") >= least)).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
-    values = often.select("shingle").toArrow().column(0).to_numpy().view(np.uint64)
-    return np.sort(values), total.get(1, 0)
+    schema = "slice long, total long, counts binary"
+    rows = docs.select("doc_id", "text").mapInArrow(count, schema).repartition(SLOT_ROWS, "slice").mapInArrow(add, schema).collect()
+    counts = np.zeros((SLOT_ROWS, SLOTS // SLOT_ROWS), np.int64)
+    for row in rows:
+        counts[row["slice"]] = np.frombuffer(row["counts"], np.int32)
+    mean = counts.mean()
+    return np.packbits(counts.ravel() >= COMMON_LEAST + mean + 6 * math.sqrt(mean)), sum(r["total"] for r in rows)
 
 
 def _ordered(keys, rare, most):
@@ -139,16 +138,13 @@ def keys_of(values, rare, slack):
 
 def _emit(common, buckets, width, slack):
     def run(batches):
-        seen = set()
+        seen, flags = set(), np.unpackbits(common)
         for batch in batches:
             ids_out, n_out, a_out, b_out = [], [], [], []
             key_parts, id_parts = [], []
             for ids, sets in _sets(batch, width):
                 flat = np.concatenate(sets)
-                place = np.searchsorted(common, flat)
-                rare = np.ones(len(flat), bool)
-                if len(common):
-                    rare = common[np.minimum(place, len(common) - 1)] != flat
+                rare = flags[(flat >> SLOT_SHIFT).astype(np.int64)] == 0
                 at = 0
                 for doc_id, values in zip(ids.to_pylist(), sets):
                     mine = rare[at:at + len(values)]
@@ -352,7 +348,7 @@ def near_components(docs, width=WIDTH, num=NUM, den=DEN, fanout=FANOUT):
     """
     docs = docs.select("doc_id", "text")
     slack = (den - num) / num
-    common, total = common_shingles(docs, width)
+    common, total = common_slots(docs, width)
     buckets = max(8, math.ceil(total * 0.35 / KEYS_A_BUCKET))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 4))
     schema = "bucket int, doc_id long, n long, a long, b long, keys binary, ids binary"
