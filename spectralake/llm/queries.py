@@ -1,16 +1,24 @@
 """Registered queries of the corpus operators, each over its whole table."""
 
-from spectralake.llm import ngram_join
+from spectralake.llm import decontamination, mixing, ngram_join
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_components(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
-SQL = {}
+def op9_decontamination(spark, sf_dir):
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op8_ngram_jaccard_join, op9_decontamination)}
+SQL = {"op3_mixing": mixing.TAKEN_SQL, "op9_decontamination": decontamination.REPORT_SQL}
