@@ -1,12 +1,25 @@
 """Registered queries of the corpus operators, each over its whole table."""
 
-from spectralake.llm import decontamination, mixing, ngram_join
+import corpus_pipeline
+from spectralake.llm import decontamination, language_id, mixing, ngram_join, secrets
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
@@ -20,5 +33,5 @@ def op9_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op8_ngram_jaccard_join, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_secret_scan, op2_language_id, op3_mixing, op8_ngram_jaccard_join, op9_decontamination)}
 SQL = {"op3_mixing": mixing.TAKEN_SQL, "op9_decontamination": decontamination.REPORT_SQL}
