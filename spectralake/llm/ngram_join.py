@@ -45,6 +45,8 @@ SLOT_SHIFT = np.uint64(42)
 SLOT_ROWS = 16
 COMMON_LEAST = 16      # documents beyond the mean of a slot
 KEYS_A_BUCKET = 100_000
+EMITTED = "bucket int, doc_id long, n long, a long, b long, keys binary, ids binary"
+MATCHED = "doc_id long, n long, a long, b long, hub long"
 
 
 def _sets(batch, width):
@@ -319,24 +321,58 @@ def _grouped(batches, num, den):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
 
-def _compare(docs, plan, width, num, den, parts):
-    """Links of the sets that ``plan`` (doc_id, label, block, hub, known) deals to groups."""
-    def packed(batches):
-        for batch in batches:
-            at = 0
-            for ids, sets in _sets(batch, width):
-                rows = batch.slice(at, len(sets))
-                at += len(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+def _packed(batches, width):
+    for batch in batches:
+        for ids, sets in _sets(batch, width):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
+
+def _compare(fetch, plan, num, den, parts):
+    """Links of the sets that ``plan`` (doc_id, label, block, hub, known) deals to groups."""
     wanted = save(plan.select("doc_id").distinct())
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(bounded(wanted, 64), "doc_id", "left_semi")
-    sets = texts.mapInArrow(packed, "doc_id long, shingles binary").where(F.length("shingles") > 0)
-    rows = sets.join(bounded(plan, 128), "doc_id").select("label", "block", "hub", "doc_id", "known", "shingles")
+    rows = fetch(wanted).join(bounded(plan, 128), "doc_id").select("label", "block", "hub", "doc_id", "known", "shingles")
     rows = rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block")
     return save(rows.mapInArrow(lambda b: _grouped(b, num, den), "a long, b long"))
 
 
+def grow(stars, fetch, parts, num=NUM, den=DEN, fanout=FANOUT):
+    """Links (a, b) that connect all linked sets within the subtrees that ``stars`` (a, b) tie.
+
+    ``fetch`` takes a table of doc_id and returns (doc_id, shingles) of these.
+    """
+    subtrees = components(stars)
+    sizes = subtrees.groupBy("root").agg(F.ceil(F.count("*") / fanout).alias("blocks"))
+    plan = save(subtrees.join(bounded(save(sizes), 64), "root").select(
+        F.col("vertex").alias("doc_id"), F.col("root").alias("label"), "blocks",
+        F.pmod(F.xxhash64("vertex"), "blocks").alias("own"), F.col("vertex").alias("known")))
+    others = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own")))
+    dealt = plan.select("doc_id", "label", others.alias("block"), "own", "known").withColumn(
+        "hub", (F.col("own") == 0) & (F.col("block") > 0)).drop("own")
+    links = _compare(fetch, save(dealt), num, den, parts)
+    hot = plan.where("blocks > 1")
+    if hot.isEmpty():
+        return links
+    found = components(links).withColumnRenamed("vertex", "doc_id")
+    state = save(hot.join(bounded(found, 64), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id")).drop("root"))
+    top = state.groupBy("label", "known").count().groupBy("label").agg(F.max(F.struct("count", "known"))["known"].alias("main"))
+    state = state.join(bounded(save(top), 64), "label")
+    # only sets outside the largest component, and of blocks that met block 0 alone so far
+    minor = (F.col("known") != F.col("main")) & (F.col("own") > 0)
+    outside = save(state.where(minor).groupBy("label").agg(F.ceil(F.count("*") / fanout).alias("minors")))
+    if outside.isEmpty():
+        return links
+    state = state.join(bounded(outside, 64), "label").withColumn(
+        "minor", F.when(minor, F.pmod(F.xxhash64("doc_id", F.lit(1)), "minors")))
+    # each minor block meets every block of its subtree: group = minor * blocks + own
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m")
+    sides = state.where("own > 0").select("doc_id", "label", "known", every, "blocks", "own").select(
+        "doc_id", "label", (F.col("m") * F.col("blocks") + F.col("own")).alias("block"), "known", F.lit(False).alias("hub"))
+    other = F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("o")
+    minors = state.where("minor is not null").select("doc_id", "label", "known", "minor", other, "blocks").select(
+        "doc_id", "label", (F.col("minor") * F.col("blocks") + F.col("o")).alias("block"), "known", F.lit(True).alias("hub"))
+    return links.union(_compare(fetch, save(sides.union(minors)), num, den, parts))
+
+
 def near_components(docs, width=WIDTH, num=NUM, den=DEN, fanout=FANOUT):
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, component_id.
 
@@ -347,66 +383,34 @@ def near_components(docs, width=WIDTH, num=NUM, den=DEN, fanout=FANOUT):
     Other columns are ignored; no rows give no rows.
     """
     docs = docs.select("doc_id", "text")
-    slack = (den - num) / num
     common, total = common_slots(docs, width)
     buckets = max(8, math.ceil(total * 0.35 / KEYS_A_BUCKET))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 4))
-    schema = "bucket int, doc_id long, n long, a long, b long, keys binary, ids binary"
-    emitted = docs.mapInArrow(_emit(common, buckets, width, slack), schema)
-    matched = save(emitted.repartition(parts, "bucket").sortWithinPartitions("bucket")
-                   .mapInArrow(_match, "doc_id long, n long, a long, b long, hub long"))
+    emitted = docs.mapInArrow(_emit(common, buckets, width, (den - num) / num), EMITTED)
+    matched = save(emitted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, MATCHED))
     rows = matched.where("hub is null").drop("hub")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id"))
-    classes = save(classes)
-    named = save(rows.join(classes, ["n", "a", "b"], "left").select(
+    classes = save(rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id")))
+    named = save(rows.join(bounded(classes, 64), ["n", "a", "b"], "left").select(
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
 
-    owner = named.where("doc_id is not null and n > 0").select("doc_id", "class_id")
+    owner = named.where("doc_id is not null and n > 0").select("doc_id", "class_id").distinct()
+    owner = bounded(save(owner), 64)
     stars = matched.where("hub is not null").select("doc_id", "hub")
     stars = stars.join(owner, "doc_id").select("hub", F.col("class_id").alias("a"))
     stars = stars.join(owner.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("b")), "hub").select("a", "b")
-    # one doc_id with several texts ties their classes together
-    stars = save(stars.where("a <> b").distinct())
-    subtrees = components(stars)
-    sizes = subtrees.groupBy("root").agg(F.ceil(F.count("*") / fanout).alias("blocks"))
-    plan = subtrees.join(sizes, "root").select(
-        F.col("vertex").alias("doc_id"), F.col("root").alias("label"), "blocks",
-        F.pmod(F.xxhash64("vertex"), "blocks").alias("own"), F.col("vertex").alias("known"))
-    plan = save(plan)
-    others = F.expr("explode(filter(sequence(0L, blocks - 1), b -> b = own or own = 0))")
-    dealt = plan.select("doc_id", "label", others.alias("block"), "own", "known").withColumn(
-        "hub", (F.col("own") == 0) & (F.col("block") > 0)).drop("own")
-    links = _compare(docs, save(dealt), width, num, den, parts)
 
-    hot = plan.where("blocks > 1")
-    if not hot.isEmpty():
-        found = components(links)
-        state = hot.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
-            "known", F.coalesce("root", "doc_id")).drop("root")
-        state = save(state)
-        counts = state.groupBy("label", "known").count()
-        top = counts.groupBy("label").agg(F.max(F.struct("count", "known")).alias("top")).select("label", F.col("top.known").alias("main"))
-        state = state.join(top, "label")
-        outside = state.where("known <> main and own > 0")
-        minor_blocks = outside.groupBy("label").agg(F.ceil(F.count("*") / fanout).alias("minor_blocks"))
-        state = save(state.join(minor_blocks, "label").withColumn(
-            "minor", F.when((F.col("known") != F.col("main")) & (F.col("own") > 0), F.pmod(F.xxhash64("doc_id", F.lit(1)), "minor_blocks"))))
-        # each minor block meets every block of its subtree: group = minor * blocks + own
-        sides = state.select("doc_id", "label", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("m"), "blocks", "own")
-        sides = sides.where("own > 0").select("doc_id", "label", "known", (F.col("m") * F.col("blocks") + F.col("own")).alias("block"), F.lit(False).alias("hub"))
-        minors = state.where("minor is not null").select("doc_id", "label", "known", "minor", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("o"), "blocks")
-        minors = minors.select("doc_id", "label", "known", (F.col("minor") * F.col("blocks") + F.col("o")).alias("block"), F.lit(True).alias("hub"))
-        second = save(sides.union(minors))
-        if not second.isEmpty():
-            links = links.union(_compare(docs, second, width, num, den, parts))
-
-    names = named.where("class_id is not null and n > 0").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    ties = names.join(names.groupBy("a").agg(F.min("b").alias("m"), F.countDistinct("b").alias("k")).where("k > 1"), "a")
-    ties = ties.select("b", F.col("m").alias("a")).where("a <> b")
-    found = components(save(links.unionByName(ties)))
-    least = found.groupBy("root").agg(F.min("vertex").alias("component_id"))
-    found = found.join(least, "root").select(F.col("vertex").alias("class_id"), "component_id")
-    return named.join(found, "class_id", "left").select(
+    def fetch(wanted):
+        texts = docs.where("doc_id is not null").join(bounded(wanted, 64), "doc_id", "left_semi")
+        return texts.mapInArrow(lambda b: _packed(b, width), "doc_id long, shingles binary").where(F.length("shingles") > 0)
+
+    links = grow(stars, fetch, parts, num, den, fanout)
+    # one doc_id with several texts ties their classes together
+    ties = owner.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count("*").alias("k")).where("k > 1")
+    ties = owner.join(ties.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b"))
+    found = components(links.unionByName(ties))
+    least = save(found.groupBy("root").agg(F.min("vertex").alias("component_id")))
+    found = save(found.join(bounded(least, 64), "root").select(F.col("vertex").alias("class_id"), "component_id"))
+    return named.join(bounded(found, 64), "class_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 

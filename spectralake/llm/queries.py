@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, each over its whole table."""
 
 import corpus_pipeline
-from spectralake.llm import decontamination, language_id, mixing, neighbours, ngram_join, secrets, url_filter, warc
+from spectralake.llm import decontamination, language_id, mixing, neighbours, ngram_join, secrets, substring_dedup, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,10 @@ def op6_neighbours(spark, sf_dir):
     return neighbours.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_components(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id")
@@ -45,5 +53,5 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_secret_scan, op2_language_id, op3_mixing, op5_warc, op6_neighbours, op8_ngram_jaccard_join, op9_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_secret_scan, op2_language_id, op3_mixing, op4_toxicity, op5_warc, op6_neighbours, op7_substring_dedup, op8_ngram_jaccard_join, op9_decontamination, op10_url_filter)}
 SQL = {"op3_mixing": mixing.TAKEN_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_decontamination": decontamination.REPORT_SQL}

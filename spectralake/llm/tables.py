@@ -13,6 +13,11 @@ def bounded(df, row_bytes):
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def sized(df, rows, each=200_000):
+    """``df`` in as many partitions as its counted rows ask for, without a shuffle of its own."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def components(links, a="a", b="b"):
     """(vertex, root) of every vertex that occurs in ``links``; roots are vertices.
 
@@ -20,21 +25,26 @@ def components(links, a="a", b="b"):
     the joined vertices, which at least halves long chains in the mean. All tables stay
     in Spark; each round is written, so its lineage is one scan. Loops are ignored.
     """
-    links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
+    links = save(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     known, seed = None, 0
     while True:
+        rows = links.count()
         both = links.union(links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         step = both.groupBy(F.col("a").alias("from")).agg(F.min(rank("b")).alias("best"), F.min(rank("a")).alias("own"))
-        step = save(step.select("from", F.least("best", "own")["v"].alias("to")))
+        step = save(sized(step.select("from", F.least("best", "own")["v"].alias("to")), 2 * rows))
+        small = bounded(step, 64)
         if known is None:
             known = step.select(F.col("from").alias("vertex"), F.col("to").alias("root"))
         else:
-            known = save(known.join(step, known["root"] == step["from"], "left").select(
+            known = save(known.join(small, known["root"] == small["from"], "left").select(
                 "vertex", F.coalesce("to", "root").alias("root")))
-        moved = links.join(step.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a").join(
-            step.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b")
-        links = save(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct())
+        if not rows:
+            return known
+        moved = links.join(small.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a").join(
+            small.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b")
+        moved = moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b")
+        links = save(sized(moved.distinct(), rows))
         seed += 1
         if links.isEmpty():
             return known

@@ -50,11 +50,11 @@ def strings(column):
     """An Arrow string column as (bytes, offsets); nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data, offsets
 
