@@ -18,6 +18,8 @@ source is a source of its own, last in order. Repeated rows are separate documen
 Other columns are ignored. An empty table gives no rows.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 MOST_SHARDS = 65_536   # beyond, shards get larger
 RANGES = 4096
+SLOTS_A_TASK = 200_000
 # Primes of which at least one divides no block number count below 2**40.
 PRIMES = (4194301, 4194287)
 ODD = 2654435
@@ -142,6 +145,9 @@ def slots(sources, block=BLOCK_WORDS, per_shard=SHARD_SLOTS, most=2):
     rows = rows.withColumn("below", drawn(F.col("upto") - F.col("want"))).withColumn("count", drawn(F.col("upto")) - F.col("below"))
     ran = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ran", F.coalesce(F.sum("count").over(ran), F.lit(0))).where("count > 0")
+    # few rows so far: deal them out by the number of slots they are about to become
+    whole = sources.agg(F.sum(F.col("target") / block)).first()[0] or 0
+    rows = rows.repartition(math.ceil(whole / SLOTS_A_TASK) + 1, "source_id", "shard")
     rows = rows.select("shard", "source_id", "blocks", "below", "ran", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("k"))
     index = F.col("ran") + F.col("k")
     turn = F.floor(index / F.col("blocks"))
@@ -161,7 +167,8 @@ def taken(docs, block=BLOCK_WORDS):
     """doc_id, size, source_size, target, taken (words that the mix takes) of every row."""
     _, placed, dealt = plan(docs, block)
     times = dealt.groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    rows = pieces(placed, block).join(times, ["source_id", "block"], "left")
+    # sizes behind generated rows are guessed far too low: both sides are large, so merge
+    rows = pieces(placed, block).join(times.hint("merge"), ["source_id", "block"], "left")
     # rows with words differ in their start; equal rows without any are counted
     sums = rows.groupBy("source_id", "start", "doc_id", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"),
@@ -173,7 +180,7 @@ def taken(docs, block=BLOCK_WORDS):
 def mixed(docs, block=BLOCK_WORDS):
     """The mix itself: shard, slot, source, doc_id, first, words of every piece, in order."""
     sources, placed, dealt = plan(docs, block)
-    rows = pieces(placed, block).where("words > 0").join(dealt, ["source_id", "block"])
+    rows = pieces(placed, block).where("words > 0").join(dealt.hint("merge"), ["source_id", "block"])
     return rows.select("shard", "slot", "source", "block", "doc_id", "first", "words")
 
 
