@@ -22,7 +22,7 @@ are looked at row by row. Other columns stay out of the way; empty tables give n
 
 from pyspark.sql import functions as F
 
-from spectralake.llm.tables import bounded
+from spectralake.llm.tables import bounded, free_name
 from spectralake.storage import save
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,18 +116,19 @@ def prepared(docs, benchmark, width=WIDTH, probes=PROBES):
     return postings(docs, terms), windows
 
 
-def phrase_matches(docs, benchmark, width=WIDTH):
-    """Every row of ``docs``, all columns, with ``contamination``: n_words and matches (item_id, at, length)."""
+def phrase_matches(docs, benchmark, width=WIDTH, name="contamination"):
+    """Every row of ``docs``, all columns, with ``name``: n_words and matches (item_id, at, length)."""
     index, windows = prepared(docs.select("doc_id", "text"), benchmark, width)
-    found = save(survivors(index, windows)).select(F.col("doc_id").alias("_id"), F.col("windows").alias("_windows"))
-    rows = docs.join(bounded(found, 8192), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    key, listed = free_name(docs, "_id"), free_name(docs, "_windows")
+    found = save(survivors(index, windows)).select(F.col("doc_id").alias(key), F.col("windows").alias(listed))
+    rows = docs.join(bounded(found, 8192), docs["doc_id"].eqNullSafe(F.col(key)), "left")
     words = exact_words(F.col("text"))
     held = F.transform(F.array(words), lambda ws: F.filter(
-        "_windows", lambda w: F.slice(ws, w["at"] + 1, F.size(w["words"])) == w["words"]))[0]
-    matches = F.when(F.col("_windows").isNotNull(), F.transform(held, lambda w: F.struct(
+        listed, lambda w: F.slice(ws, w["at"] + 1, F.size(w["words"])) == w["words"]))[0]
+    matches = F.when(F.col(listed).isNotNull(), F.transform(held, lambda w: F.struct(
         w["item_id"].alias("item_id"), w["at"].alias("at"), F.size(w["words"]).alias("length"))))
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return rows.select(*[docs[c] for c in docs.columns], F.struct(n_words.alias("n_words"), matches.alias("matches")).alias("contamination"))
+    return rows.select(*[docs[c] for c in docs.columns], F.struct(n_words.alias("n_words"), matches.alias("matches")).alias(name))
 
 
 def report(docs, benchmark, width=WIDTH):
@@ -143,8 +144,9 @@ def report(docs, benchmark, width=WIDTH):
 
 def clean(docs, benchmark, width=WIDTH):
     """The rows of ``docs`` without any match; all columns stay."""
-    rows = phrase_matches(docs, benchmark, width)
-    matched = F.coalesce(F.size("contamination.matches") > 0, F.lit(False))
+    name = free_name(docs, "contamination")
+    rows = phrase_matches(docs, benchmark, width, name)
+    matched = F.coalesce(F.size(F.col(name)["matches"]) > 0, F.lit(False))
     return rows.where(~matched).select(*docs.columns)
 
 

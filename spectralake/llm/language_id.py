@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from spectralake.llm import crf
 from spectralake.llm import text as T
+from spectralake.llm.tables import free_name
 
 TRAIN_DOCS = 250
 TRAIN_WORDS = 60_000    # words of each language taken from them
@@ -153,8 +154,8 @@ def word_labels(model, texts):
     return result
 
 
-def predict(docs, model):
-    """``docs`` with struct column ``language``: lang_pred, score; all other columns stay."""
+def predict(docs, model, name="language"):
+    """``docs`` with struct column ``name``: lang_pred, score; all other columns stay."""
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("_text"))
@@ -179,7 +180,7 @@ def predict(docs, model):
     fields = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
     done = plain.mapInArrow(run, f"{fields}, _lang string, _score double")
     return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)] + [
-        F.struct(F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")).alias("language")])
+        F.struct(F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")).alias(name)])
 
 
 def held_out(doc_id):
@@ -197,5 +198,6 @@ def identify(docs):
 def known(docs, least=0.5):
     """The rows of ``docs`` whose language is found with at least this score; all columns stay."""
     model = train(training_rows(docs.where(~held_out(F.col("doc_id")))))
-    rows = predict(docs, model).where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least))
+    name = free_name(docs, "language")
+    rows = predict(docs, model, name).where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= least))
     return rows.select(*docs.columns)

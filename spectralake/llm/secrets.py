@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from spectralake.llm import crf
 from spectralake.llm import text as T
+from spectralake.llm.tables import free_name
 
 # Fixed patterns of the base kinds, in the order that sorts equal starts.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -207,12 +208,26 @@ def tagged(tokens, weights, trans):
     return runs
 
 
-def scan(docs, model):
-    """``docs`` with ``secrets``: array of (kind, start, end) in order; all other columns stay."""
+def _without(text, spans, mark):
+    """``text`` with each run of overlapping spans replaced by ``mark``."""
+    parts, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def scan(docs, model, name="secrets", mark=None):
+    """``docs`` with column ``name``: array of (kind, start, end) in order; all other columns stay.
+
+    With ``mark`` also a column ``<name>_clean``: the text with the spans replaced, or null
+    where there are none.
+    """
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("_text"))
-            found = []
+            found, clean = [], []
             for lo, hi, data, offsets in T.blocks(column):
                 added = {}
                 if model:
@@ -229,15 +244,18 @@ def scan(docs, model):
                             if not any(x < e and s < y for _, x, y in base):
                                 spans.append((3, s, e))
                         spans.sort(key=lambda x: (x[1], x[0]))
+                    clean.append(_without(text, spans, mark) if spans and mark is not None else None)
                     found.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans])
             kept = batch.select([f for f in batch.schema.names if f != "_text"])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, kind)], [*kept.schema.names, "_secrets"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, kind), pa.array(clean, pa.string())],
+                                             [*kept.schema.names, "_secrets", "_clean"])
 
     plain = docs.select([docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)] + [docs["text"].alias("_text")])
     fields = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
-    done = plain.mapInArrow(run, f"{fields}, _secrets array<struct<kind:string,start:bigint,end:bigint>>")
-    return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)] + [F.col("_secrets").alias("secrets")])
+    done = plain.mapInArrow(run, f"{fields}, _secrets array<struct<kind:string,start:bigint,end:bigint>>, _clean string")
+    return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)] + [F.col("_secrets").alias(name)] + (
+        [] if mark is None else [F.col("_clean").alias(f"{name}_clean")]))
 
 
 def _written(spans):
@@ -255,19 +273,12 @@ def report(docs):
 
 def redacted(docs, mark="[secret]"):
     """``docs`` with each secret span replaced by ``mark`` and ``n_chars``, if there, counted anew."""
-    rows = scan(docs, train(training_texts(docs)))
-    # overlapping spans are cut out together, from the left
-    step = lambda done, s: F.struct(
-        F.when(s["start"] < done["at"], done["text"]).otherwise(
-            F.concat(done["text"], F.substring(F.col("text"), done["at"].cast("int") + 1, (s["start"] - done["at"]).cast("int")), F.lit(mark))).alias("text"),
-        F.greatest(done["at"], s["end"]).alias("at"))
-    begin = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    clean = F.aggregate("secrets", begin, step, lambda done: F.concat(done["text"], F.col("text").substr(
-        done["at"].cast("int") + 1, F.length("text"))))
-    text = F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))
-    columns = {"text": text}
+    name = free_name(docs, "secrets")
+    clean = free_name(docs, f"{name}_clean")
+    rows = scan(docs, train(training_texts(docs)), name, mark).toDF(*docs.columns, name, clean)
+    columns = {"text": F.coalesce(F.col(clean), F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("secrets") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+        columns["n_chars"] = F.coalesce(F.length(F.col(clean)), F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
     return rows.select([columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

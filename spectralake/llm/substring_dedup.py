@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spectralake.llm import ngram_join as forest
 from spectralake.llm import text as T
-from spectralake.llm.tables import bounded, components
+from spectralake.llm.tables import bounded, components, free_name
 from spectralake.storage import save
 
 WIDTH = 5
@@ -171,8 +171,9 @@ def removals(docs, **options):
 
 def without_repeats(docs, **options):
     """``docs`` with the removals taken out of ``text``; all columns and rows stay."""
-    gone = removals(docs, **options).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    mark = free_name(docs, "_gone")
+    gone = removals(docs, **options).groupBy("doc_id").agg(F.collect_set("line").alias(mark))
     rows = docs.join(bounded(save(gone), 1024), "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(mark, i.cast("long")))
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.select([text.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -13,6 +13,14 @@ def bounded(df, row_bytes):
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df, name):
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(df, rows, each=200_000):
     """``df`` in as many partitions as its counted rows ask for, without a shuffle of its own."""
     return df.coalesce(max(1, -(-rows // each)))

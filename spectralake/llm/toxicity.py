@@ -141,8 +141,8 @@ def training_rows(docs, labels, chain=CHAIN, most=TRAIN_ROWS):
     return [(r["text"], r["fold"], [r[f"y{i}"] for i in range(len(chain))]) for r in found.to_pylist()]
 
 
-def predict(docs, models, chain=CHAIN):
-    """``docs`` with struct column ``toxicity`` (p_<category> ...); all other columns stay."""
+def predict(docs, models, chain=CHAIN, name="toxicity"):
+    """``docs`` with struct column ``name`` (p_<category> ...); all other columns stay."""
     names = [f"p_{name}" for name, _ in chain]
 
     def run(batches):
@@ -164,7 +164,7 @@ def predict(docs, models, chain=CHAIN):
     plain = docs.select([docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)] + [docs["text"].alias("_text")])
     fields = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)] + [f"{n} double" for n in names])
     done = plain.mapInArrow(run, fields)
-    return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)] + [F.struct(*names).alias("toxicity")])
+    return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)] + [F.struct(*names).alias(name)])
 
 
 def report(docs, labels, threshold=THRESHOLD):
