@@ -8,9 +8,10 @@ not none, is one window. A match is an exact occurrence of a window in a documen
 2. Every window names its ``PROBES`` rarest places; the postings (term, document, place)
    of the words there are stored as a table. Other words need no postings.
 3. Postings meet the items' places of the same term; the difference of both places is
-   the alignment. Grouping by (document, item, alignment) intersects all offset-adjusted
-   lists at once: a window survives if all its probes fell into the group.
-4. Survivors are compared word by word in the document's own text.
+   the alignment. Counting by (document, item, alignment) intersects all offset-adjusted
+   lists at once: an alignment with fewer places met than a window has probes holds no
+   window.
+4. The windows of the other alignments are compared word by word in the document's text.
 
 The index folds case by ``lower``, which joins at least all words that are equal after
 lower-casing A-Z; step 4 is exact.
@@ -82,27 +83,29 @@ def postings(docs, terms):
 
 
 def probes_of(windows):
-    """(term, item, place): the distinct places of the items that windows probe."""
+    """(term, item, place, need): the distinct places of the items that windows probe.
+
+    ``need`` is the fewest probes of a window of the item.
+    """
     places = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["probes"])))
-    rows = windows.select("item", "folded", F.explode(places).alias("place"))
-    return rows.select(F.element_at("folded", F.col("place") + 1).alias("term"), "item", "place")
+    need = F.array_min(F.transform("windows", lambda w: F.size(w["probes"])))
+    rows = windows.select("item", "folded", need.alias("need"), F.explode(places).alias("place"))
+    return rows.select(F.element_at("folded", F.col("place") + 1).alias("term"), "item", "place", "need")
 
 
 def alignments(index, probes):
-    """(doc_id, item, shift, found): probed places of an item that lie at place + shift."""
+    """(doc_id, item, shift): where enough probed places of an item lie at place + shift."""
     met = index.withColumnRenamed("place", "doc_place").join(bounded(probes, 96), "term")
-    return met.groupBy("doc_id", "item", (F.col("doc_place") - F.col("place")).alias("shift")).agg(
-        F.collect_set("place").alias("found"))
+    groups = met.groupBy("doc_id", "item", "need", (F.col("doc_place") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"))
+    return groups.where(F.col("n") >= F.col("need")).select("doc_id", "item", "shift")
 
 
 def survivors(index, windows):
-    """Windows (as item_id, at, words) whose probes are all in place, listed by document."""
-    probes = save(probes_of(windows))
-    rows = alignments(index, probes).join(bounded(windows, 4096), "item")
+    """Windows (as item_id, at, words) of the alignments that are left, listed by document."""
+    rows = alignments(index, save(probes_of(windows))).join(bounded(windows, 4096), "item")
     # a window begins inside the document
-    kept = F.filter("windows", lambda w: (F.size(F.array_except(w["probes"], F.col("found"))) == 0) & (w["at"] + F.col("shift") >= 0))
-    rows = rows.withColumn("kept", kept).where(F.size("kept") > 0)
-    listed = F.transform("kept", lambda w: F.struct(
+    kept = F.filter("windows", lambda w: w["at"] + F.col("shift") >= 0)
+    listed = F.transform(kept, lambda w: F.struct(
         F.col("item_id").alias("item_id"), (w["at"] + F.col("shift")).alias("at"), F.slice("words", w["at"] + 1, w["length"]).alias("words")))
     return rows.groupBy("doc_id").agg(F.flatten(F.collect_list(listed)).alias("windows"))
 

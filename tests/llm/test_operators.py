@@ -40,7 +40,7 @@ def twin(tables, sql):
 
 def same(got, want):
     def plain(v):
-        if v is None or v != v:
+        if pandas.isna(v):
             return ""
         if isinstance(v, (float, np.floating)):
             return int(v) if float(v).is_integer() else round(float(v), 6)
