@@ -21,10 +21,6 @@ UNITS = {
 
 PIXEL = ("cal_id", "ord", "x")
 
-# A lamp certificate lists tens of wavelengths. One that is longer is not a
-# certificate, and the spline job refuses it instead of gathering it.
-MAX_KNOTS = 10_000
-
 
 def _segments(knots):
     line = W.partitionBy("cal_id").orderBy("nm")
@@ -56,21 +52,24 @@ def irradiance_linear(points, knots, strict=False):
 
 
 def spline_segments(knots):
-    """Not-a-knot cubic spline of each lamp as one row per knot interval."""
+    """Not-a-knot cubic spline of each lamp as one row per knot interval.
+
+    A lamp is one group: its knots are sorted and swept once. Below four knots there is
+    no such spline, so the bends are NULL.
+    """
+    import numpy as np
     import pandas as pd
 
     schema = ("cal_id long, nm double, nm1 double, mw double, mw1 double, "
               "bend double, bend1 double, first boolean")
 
     def solve(pdf):
-        if not 4 <= len(pdf) <= MAX_KNOTS:
-            raise ValueError(f"{len(pdf)} irradiance knots in set {pdf['cal_id'].iloc[0]}")
         pdf = pdf.sort_values("nm")
         x, y = pdf["nm"].to_numpy(float), pdf["mw"].to_numpy(float)
-        m = solver.spline_second_derivatives(x, y)
+        m = solver.spline_second_derivatives(x, y) if len(x) > 3 else np.full(len(x), np.nan)
         return pd.DataFrame({
             "cal_id": pdf["cal_id"].to_numpy()[:-1], "nm": x[:-1], "nm1": x[1:], "mw": y[:-1],
-            "mw1": y[1:], "bend": m[:-1], "bend1": m[1:], "first": [True] + [False] * (len(x) - 2)})
+            "mw1": y[1:], "bend": m[:-1], "bend1": m[1:], "first": np.arange(len(x) - 1) == 0})
 
     source = knots.select(F.col("cal_id").cast("long").alias("cal_id"),
                           (F.col("um") * 1000).alias("nm"), F.col("mw").cast("double").alias("mw"))
@@ -132,6 +131,9 @@ def unpivot_units(spectra):
 
 
 def subtract_spectrum(spectra, other, value="wm", keys=("shot", "frame", "ord", "x")):
-    """Subtract the spectrum of a separate background file, in calibrated units."""
+    """Subtract the spectrum of a separate background file, in calibrated units.
+
+    Points the file does not have stay, as NULL.
+    """
     o = other.select(*keys, F.col(value).alias("other"))
-    return spectra.join(o, list(keys)).withColumn(value, F.col(value) - F.col("other")).drop("other")
+    return spectra.join(o, list(keys), "left").withColumn(value, F.col(value) - F.col("other")).drop("other")

@@ -149,25 +149,30 @@ def subtract_line(slices):
 def subtract_als(slices, stiffness=1e7, weight=1e-5, rounds=5):
     """Subtract the mean of an asymmetric-least-squares baseline; keeps the core.
 
-    Grouped job per slice. ``baseline`` is that mean.
+    Grouped job per slice. ``baseline`` is that mean; missing points have no say in it.
+    ``converged`` tells whether the curve had settled after ``rounds``.
     """
+    import numpy as np
+
     def fit(pdf):
         pdf = pdf.sort_values(["wl", "seq"])
         y = pdf["y"].to_numpy(float)
-        level = float(solver.smooth_below(y, stiffness, weight, rounds).mean()) if len(y) > 2 else float(y.mean())
-        return pdf.assign(y=y - level, baseline=level)[pdf["core"].to_numpy()].drop(columns="core")
+        here = np.isfinite(y)
+        curve, settled = solver.smooth_below(y[here], stiffness, weight, rounds)
+        level = float(curve.mean()) if len(curve) else np.nan
+        return pdf.assign(y=y - level, baseline=level, converged=settled)[pdf["core"].to_numpy()].drop(columns="core")
 
     rows = slices.select(*SLICE, "wl", "seq", "y", "core")
     return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
-        fit, "shot long, frame long, band string, wl double, seq long, y double, baseline double")
+        fit, "shot long, frame long, band string, wl double, seq long, y double, baseline double, converged boolean")
 
 
 def integrate(slices):
-    """Trapezoid integral of each slice."""
+    """Trapezoid integral of each slice; NULL where a point is missing, 0 for a single one."""
     line = W.partitionBy(*SLICE).orderBy("wl", "seq")
     step = (F.col("y") + F.lag("y").over(line)) / 2 * (F.col("wl") - F.lag("wl").over(line))
     return slices.withColumn("step", step).groupBy(*SLICE).agg(
-        F.coalesce(F.sum("step"), F.lit(0.0)).alias("intensity"))
+        F.when(F.count("y") == F.count("*"), F.coalesce(F.sum("step"), F.lit(0.0))).alias("intensity"))
 
 
 def detect(slices, offset=NOISE_OFFSET, top=NOISE_TOP):
@@ -239,20 +244,23 @@ def fit_bands_grid(slices, ratios, reach=0.1, sigma=SIGMA_RANGE, steps=21):
 def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
     """Tied Gaussians by bounded least squares; grouped job per slice.
 
-    Three parameters: centre of line 0, common width in ``sigma``, amplitude >= 0.
+    Three parameters: centre of line 0, common width in ``sigma``, amplitude >= 0. One row
+    per slice: with fewer than three points, or none above zero, all are NULL. Missing
+    points are left out.
     """
     import numpy as np
-    import pandas as pd
 
     def fit(pdf):
         x, y = pdf["wl"].to_numpy(float), pdf["y"].to_numpy(float)
-        top = y.max()
+        here = np.isfinite(y)
+        x, y = x[here], y[here]
+        top = y.max(initial=0.0)
         lines = pdf["lines"].iloc[0]
         offsets = np.array([l["offset"] for l in lines])
         ratio = np.array([l["ratio"] for l in lines])
         key = pdf[list(SLICE)].iloc[:1]
         if len(x) < 3 or not top > 0:
-            return key.assign(centre=np.nan, sigma=np.nan, delta=np.nan).iloc[:0]
+            return key.assign(centre=np.nan, sigma=np.nan, delta=np.nan, converged=None)
         model = lambda p, t: solver.gaussian(
             t, (p[..., 2:] * ratio)[..., None], (p[..., :1] + offsets)[..., None], p[..., 1:2, None]).sum(axis=-2)
         wl0 = float(pdf["wl0"].iloc[0])
@@ -260,13 +268,13 @@ def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
         # the amplitude is linear: start from its best value at the starting shape
         m = model(np.array(start), x)
         start[2] = max(float(m @ (y / top)) / max(float(m @ m), 1e-300), 1e-6)
-        p, _ = solver.bounded_least_squares(
+        p, _, settled = solver.bounded_least_squares(
             model, start, [-np.inf, sigma[0], 0.0], [np.inf, sigma[1], np.inf], x, y / top)
-        return key.assign(centre=p[0], sigma=p[1], delta=p[2] * top)
+        return key.assign(centre=p[0], sigma=p[1], delta=p[2] * top, converged=settled)
 
     rows = attach(slices, pack_ratios(ratios), ["band"])
     return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
-        fit, "shot long, frame long, band string, centre double, sigma double, delta double")
+        fit, "shot long, frame long, band string, centre double, sigma double, delta double, converged boolean")
 
 
 def fit_samples(fits, ratios, slices, factor=10):

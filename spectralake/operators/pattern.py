@@ -67,13 +67,14 @@ def poly_baseline(profiles, degree=6, value="amplified", keys=PROFILE, order="y"
     """Polynomial under each profile, as column ``base``; grouped job per profile."""
     def fit(pdf):
         pdf = pdf.sort_values(order)
-        return pdf.assign(base=solver.polynomial_below(pdf["v"].to_numpy(), degree))
+        base, settled = solver.polynomial_below(pdf["v"].to_numpy(), degree)
+        return pdf.assign(base=base, converged=settled)
 
     source = profiles.select(*keys, F.col(order).cast("long").alias(order),
                              F.col(value).cast("double").alias("v"))
     kinds = "".join(f"{k} long, " for k in keys)
     rows = source.select(*[F.col(k).cast("long").alias(k) for k in keys], order, "v")
-    return spread(rows, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}{order} long, v double, base double")
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}{order} long, v double, base double, converged boolean")
 
 
 def local_peaks(profiles, threshold, value="counts", keys=PROFILE, order="y"):
@@ -220,10 +221,10 @@ def fit_profile(profiles, extra=2):
     shifted copies of the main one; grouped job per order cross-section.
 
     Fixed parameter boxes: widths 10..15 pixels (right neighbour from 0),
-    amplitudes up to 200, neighbour distance ``w``..``1.5 w``, shift up to ``w / 5``.
+    amplitudes up to 200, neighbour distance ``w``..``1.5 w``, shift up to ``w / 5``. One
+    row per cross-section: with fewer points than parameters and two, the values are NULL.
     """
     import numpy as np
-    import pandas as pd
 
     def model(p, x):
         centre, shift, distance = p[..., :1], p[..., 1:2], p[..., 2:3]
@@ -232,17 +233,17 @@ def fit_profile(profiles, extra=2):
         return solver.gaussian(x, p[..., 3::2, None], middles[..., None], p[..., 4::2, None]).sum(axis=-2)
 
     def fit(pdf):
+        key = pdf[["shot", "frame", "x", "ord"]].iloc[:1]
         pdf = pdf.sort_values("dy").dropna(subset=["z"])
-        key = pdf[["shot", "frame", "x", "ord"]].iloc[:1].reset_index(drop=True) if len(pdf) else None
-        if key is None or len(pdf) < 5 + 2 * (3 + extra):
-            return pd.DataFrame(columns=["shot", "frame", "x", "ord", "centre", "sigma", "sse"])
+        if len(pdf) < 5 + 2 * (3 + extra):
+            return key.assign(centre=np.nan, sigma=np.nan, sse=np.nan, converged=None)
         x, z, w = pdf["dy"].to_numpy(float), pdf["z"].to_numpy(float), float(-pdf["dy"].min())
         start = [0.0, 0.0, w] + [100.0, 10.0] * (3 + extra)
         low = [-w / 2, -w / 5, w] + [1.0, 10.0, 0.0, 10.0, 0.0, 0.1] + [1.0, 10.0] * extra
         high = [w / 2, w / 5, 1.5 * w] + [200.0, 15.0] * (3 + extra)
-        p, sse = solver.bounded_least_squares(model, start, low, high, x, z)
-        return key.assign(centre=p[0], sigma=p[4], sse=np.float64(sse))
+        p, sse, settled = solver.bounded_least_squares(model, start, low, high, x, z)
+        return key.assign(centre=p[0], sigma=p[4], sse=np.float64(sse), converged=settled)
 
     key = ["shot", "frame", "x", "ord"]
     return spread(profiles, *key).groupBy(*key).applyInPandas(
-        fit, "shot long, frame long, x long, ord long, centre double, sigma double, sse double")
+        fit, "shot long, frame long, x long, ord long, centre double, sigma double, sse double, converged boolean")

@@ -32,10 +32,16 @@ def blank_short(wavelengths, short):
 
 
 def direction(wavelengths):
-    """Sign of the wavelength change along order 0, over its non-missing columns."""
-    ends = wavelengths.where("ord = 0 and wl is not null").groupBy("cal_id").agg(
-        F.min(F.struct("x", "wl")).alias("first"), F.max(F.struct("x", "wl")).alias("last"))
-    return ends.select("cal_id", F.signum(F.col("last.wl") - F.col("first.wl")).alias("direction"))
+    """Sign of the wavelength change along the lowest order that has wavelengths.
+
+    One row per set of ``wavelengths``; NULL where it has none.
+    """
+    ends = wavelengths.groupBy(*ORDER).agg(
+        F.min(F.when(F.col("wl").isNotNull(), F.struct("x", "wl"))).alias("first"),
+        F.max(F.when(F.col("wl").isNotNull(), F.struct("x", "wl"))).alias("last"))
+    lowest = ends.groupBy("cal_id").agg(
+        F.min(F.when(F.col("first").isNotNull(), F.struct("ord", "first", "last"))).alias("e"))
+    return lowest.select("cal_id", F.signum(F.col("e.last.wl") - F.col("e.first.wl")).alias("direction"))
 
 
 def flat_field(lamp, sphere):
@@ -78,26 +84,32 @@ def line_center_seed(windows):
 
 
 def fit_line_centers(windows):
-    """Gaussian centre, width and area of each line window; grouped job per line."""
+    """Gaussian centre, width and area of each line window; grouped job per line.
+
+    One row per window: with too few points, or none above zero, the values and
+    ``converged`` are NULL.
+    """
     import numpy as np
-    import pandas as pd
 
-    names = ["cal_id", "ord", "px0", "centre", "sigma", "area"]
+    names = ["cal_id", "ord", "px0"]
 
     def fit(pdf):
         pdf = pdf.sort_values("x")
         x, y = pdf["x"].to_numpy(float), pdf["level"].to_numpy(float)
+        key = pdf[names[:3]].iloc[:1]
+        here = np.isfinite(y)
+        x, y = x[here], y[here]
         if len(x) < 4 or y.max() <= 0:
-            return pd.DataFrame(columns=names)
+            return key.assign(centre=np.nan, sigma=np.nan, area=np.nan, converged=None)
         wide = x[-1] - x[0]
         start = [y.sum(), x[y.argmax()], max(wide / 8, 0.5)]
-        p, _ = solver.bounded_least_squares(
+        p, _, settled = solver.bounded_least_squares(
             lambda q, t: solver.gaussian(t, q[..., :1], q[..., 1:2], q[..., 2:3]), start,
             [0.0, x[0] - wide, 0.05], [np.inf, x[-1] + wide, 4 * wide], x, y)
-        return pdf[names[:3]].iloc[:1].assign(centre=p[1], sigma=p[2], area=p[0])
+        return key.assign(centre=p[1], sigma=p[2], area=p[0], converged=settled)
 
     return spread(windows, *ORDER, "px0").groupBy(*ORDER, "px0").applyInPandas(
-        fit, "cal_id long, ord long, px0 long, centre double, sigma double, area double")
+        fit, "cal_id long, ord long, px0 long, centre double, sigma double, area double, converged boolean")
 
 
 def residuals(line_list, fits, origin=0.0):
@@ -122,7 +134,7 @@ def order_crossings(wavelengths, sphere):
     it: no range join. One shuffle by pair of orders serves every step. A pair
     without overlap has NULL.
 
-    Returns ``(cal_id, ord, cross)`` for the pair ``ord, ord + 1``.
+    Returns ``(cal_id, ord, next_ord, cross)`` for each order and the next one present.
     """
     points = wavelengths.join(
         sphere.select(*ORDER, "x", F.col("counts").cast("double").alias("s")), [*ORDER, "x"]
@@ -136,26 +148,27 @@ def order_crossings(wavelengths, sphere):
     grid = (
         ends.withColumn("v0", nxt("w0")).withColumn("v1", nxt("w1"))
         .withColumn("m", nxt("n")).withColumn("next_ord", nxt("ord"))
-        .where("next_ord = ord + 1 and m > 1")
+        .where("next_ord is not null and m > 1")
         .withColumn("c", corners)
-        .select(*ORDER, F.col("c")[1].alias("lo"), F.col("c")[2].alias("hi"), "m",
+        .select(*ORDER, "next_ord", F.col("c")[1].alias("lo"), F.col("c")[2].alias("hi"), "m",
                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
         .withColumn("g", F.when(F.col("i") == F.col("m") - 1, F.col("hi")).otherwise(
             i * ((F.col("hi") - F.col("lo")) / (F.col("m") - 1)) + F.col("lo")))
     )
 
-    # the points of an order serve its pair as first and as second member
+    # the points of an order serve its pair as first and as second member; a set has few orders
     members = F.explode(F.array(F.struct(F.col("ord"), F.lit(0).alias("second")),
-                                F.struct((F.col("ord") - 1).alias("ord"), F.lit(1).alias("second"))))
-    order_points = points.select("cal_id", members.alias("m"), "wl", "s").select(
+                                F.struct(F.col("before").alias("ord"), F.lit(1).alias("second"))))
+    before = ends.select(*ORDER, F.lag("ord").over(orders).alias("before"))
+    order_points = points.join(before, list(ORDER)).select("cal_id", members.alias("m"), "wl", "s").where("m.ord is not null").select(
         "cal_id", F.col("m.ord").alias("ord"), F.col("m.second").alias("second"), "wl", "s",
-        F.lit(None).cast("long").alias("i"))
+        F.lit(None).cast("long").alias("next_ord"), F.lit(None).cast("long").alias("i"))
     grid_points = grid.select(
-        *ORDER, F.explode(F.array(F.lit(0), F.lit(1))).alias("second"), F.col("g").alias("wl"),
+        *ORDER, "next_ord", F.explode(F.array(F.lit(0), F.lit(1))).alias("second"), F.col("g").alias("wl"),
         F.lit(None).cast("double").alias("s"), "i")
     is_order = F.col("i").isNull()
     mixed = order_points.unionByName(grid_points).repartition(*ORDER).select(
-        *ORDER, "second", "wl", "i", is_order.alias("is_order"), F.when(is_order, F.struct("wl", "s")).alias("here"))
+        *ORDER, "second", "next_ord", "wl", "i", is_order.alias("is_order"), F.when(is_order, F.struct("wl", "s")).alias("here"))
     # at equal wavelength the grid point comes first, so the order point is its upper end
     line = "ignore nulls over (partition by cal_id, ord, second order by wl, is_order)"
     slope = (F.col("q.s") - F.col("p.s")) / (F.col("q.wl") - F.col("p.wl"))
@@ -166,9 +179,9 @@ def order_crossings(wavelengths, sphere):
     return (
         mixed.select("*", F.expr(f"lag(here) {line}").alias("p"), F.expr(f"lead(here) {line}").alias("q"))
         .where("not is_order").withColumn("v", value)
-        .groupBy(*ORDER, "i", "wl").agg(of(0).alias("v0"), of(1).alias("v1"))
-        .groupBy(*ORDER).agg(F.min(F.when(gap.isNotNull(), F.struct(gap.alias("d"), "i", "wl"))).alias("best"))
-        .select(*ORDER, F.col("best.wl").alias("cross"))
+        .groupBy(*ORDER, "next_ord", "i", "wl").agg(of(0).alias("v0"), of(1).alias("v1"))
+        .groupBy(*ORDER, "next_ord").agg(F.min(F.when(gap.isNotNull(), F.struct(gap.alias("d"), "i", "wl"))).alias("best"))
+        .select(*ORDER, "next_ord", F.col("best.wl").alias("cross"))
     )
 
 
@@ -183,7 +196,7 @@ def order_borders(wavelengths, crossings, directions, width):
     # a crossing ends its own order and starts the next one
     sides = F.explode(F.array(
         F.struct("ord", F.col("cross").alias("upper"), F.lit(None).cast("double").alias("lower")),
-        F.struct((F.col("ord") + 1).alias("ord"), F.lit(None).cast("double").alias("upper"), F.col("cross").alias("lower"))))
+        F.struct(F.col("next_ord").alias("ord"), F.lit(None).cast("double").alias("upper"), F.col("cross").alias("lower"))))
     limits = crossings.select("cal_id", sides.alias("s")).groupBy("cal_id", F.col("s.ord").alias("ord")).agg(
         F.max("s.upper").alias("upper"), F.max("s.lower").alias("lower"))
     last = F.when(F.first("falling"), F.max(F.when(wl > F.col("upper"), x))).otherwise(
@@ -193,7 +206,7 @@ def order_borders(wavelengths, crossings, directions, width):
     orders = W.partitionBy("cal_id")
     return (
         wavelengths.where("wl is not null")
-        .join(limits, list(ORDER), "left").join(directions, "cal_id").withColumn("falling", falling)
+        .join(limits, list(ORDER), "left").join(directions, "cal_id", "left").withColumn("falling", falling)
         .groupBy(*ORDER).agg(first.alias("first"), last.alias("last"))
         .withColumn("lowest", F.min("ord").over(orders)).withColumn("highest", F.max("ord").over(orders))
         .select(*ORDER,
@@ -223,6 +236,6 @@ def order_by_wavelength(pixels, directions):
     Done on the pixel table of a set, so spectra take it over with the pixel.
     """
     n = F.count("*").over(W.partitionBy("cal_id"))
-    return pixels.withColumn("n", n).join(directions, "cal_id").withColumn(
+    return pixels.withColumn("n", n).join(directions, "cal_id", "left").withColumn(
         "pos", F.when(F.col("direction") < 0, F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq"))
     ).drop("n", "direction")

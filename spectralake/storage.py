@@ -11,9 +11,15 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark):
-    """Folder for saved tables: the cluster's checkpoint folder, or a scratch one in tests."""
+    """Folder for saved tables: what ``spark.checkpoint.dir`` names.
+
+    Where it is unset a local session, as in tests, gets a scratch folder; on a cluster,
+    executors would not see each other's files in one, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spectralake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -163,32 +163,30 @@ def test_order_sums_against_brute_force(spark):
     assert touching.count() == 0
 
 
-def brute_crossing(x1, y1, x2, y2):
-    a, b = sorted([x1[0], x1[-1], x2[0], x2[-1]])[1:-1]
-    grid = np.linspace(a, b, len(x2))
-    f = lambda x, y: np.interp(grid, x, y) if x[0] < x[-1] else np.interp(grid, x[::-1], y[::-1])
-    return grid[np.argmin(np.abs(f(x1, y1) - f(x2, y2)))]
-
-
+@pytest.mark.parametrize("orders", [(0, 1, 2), (3, 5, 9)])
 @pytest.mark.parametrize("sign", [-1, 1])
-def test_crossings_and_borders_in_both_directions(spark, sign):
-    n, x = 50, np.arange(50)
-    wl = [600 + sign * (30 * o + 0.9 * x + 0.001 * x * x) for o in range(3)]
-    s = [1000 - (x - 27 + 3 * o) ** 2 + 0.5 * x for o in range(3)]
-    w = spark.createDataFrame([(4, o, int(i), float(wl[o][i])) for o in range(3) for i in x], "cal_id long, ord long, x long, wl double")
-    sp = spark.createDataFrame([(4, o, int(i), float(s[o][i])) for o in range(3) for i in x], "cal_id long, ord long, x long, counts double")
+def test_crossings_and_borders_in_both_directions(spark, sign, orders):
+    # order k covers 20 k .. 20 k + 40 nm in 41 columns of 1 nm; its lamp is a straight line
+    # that falls on even and rises on odd places, so neighbours cross where the lines meet:
+    # 100 - (w - 20 k) = 70 + (w - 20 k - 20) at w = 20 k + 25 for even k, and by symmetry
+    # 70 + (w - 20 k) = 100 - (w - 20 k - 20) at w = 20 k + 25 for odd k
+    start = lambda k, i: 600.0 + sign * 20 * k + sign * i
+    lamp = lambda k, i: 100.0 - i if k % 2 == 0 else 70.0 + i
+    rows = [(4, o, i, start(k, i), lamp(k, i)) for k, o in enumerate(orders) for i in range(41)]
+    both = spark.createDataFrame(rows, "cal_id long, ord long, x long, wl double, counts double")
+    w, sp = both.select("cal_id", "ord", "x", "wl"), both.select("cal_id", "ord", "x", "counts")
     turn = wavelength.direction(w)
     assert turn.first().direction == sign
     cross = wavelength.order_crossings(w, sp)
-    want = [brute_crossing(wl[o], s[o], wl[o + 1], s[o + 1]) for o in range(2)]
-    assert [r.cross for r in cross.orderBy("ord").collect()] == pytest.approx(want, abs=1e-9)
-    got = {r.ord: (r.x_from, r.x_to) for r in wavelength.order_borders(w, cross, turn, n).collect()}
-    ends, starts = [], []
-    for o in range(2):
-        above, below = np.where(wl[o] > want[o])[0], np.where(wl[o + 1] <= want[o])[0]
-        ends.append((above[-1] if sign < 0 else above[0]) + 1)
-        starts.append(below[0] if sign < 0 else below[-1])
-    assert got == {0: (0, ends[0]), 1: (starts[0], ends[1]), 2: (starts[1], n)}
+    # the grid has as many places as the second order has points, half a nanometre apart
+    want = [(orders[0], orders[1], 600.0 + sign * 25), (orders[1], orders[2], 600.0 + sign * 45)]
+    assert rows_of(cross, "ord", "next_ord", "cross") == [(a, b, pytest.approx(c, abs=0.26)) for a, b, c in want]
+    got = {r.ord: (r.x_from, r.x_to, r.trimmed) for r in wavelength.order_borders(w, cross, turn, 41).collect()}
+    # column 25 of an order is its crossing with the next, column 5 of the next is the same
+    # wavelength: rising, an order ends past the first column beyond it and the next starts on it;
+    # falling, the roles of the two sides of the border are taken by column 24
+    last, first = (27, 5) if sign > 0 else (25, 5)
+    assert got == {orders[0]: (0, last, True), orders[1]: (first, last, True), orders[2]: (first, 41, True)}
 
 
 def test_orders_without_overlap_are_flagged(spark):

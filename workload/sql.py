@@ -197,7 +197,10 @@ view("wl", "wl_full short", """
 select cal_id, ord, x, case when x_missing is null or x < x_missing then wl end as wl
 from wl_full left join short using (cal_id, ord)""")
 view("turn", "wl", """
-select cal_id, sign(arg_max(wl, x) - arg_min(wl, x))::double as direction from wl where ord = 0 and wl is not null group by 1""")
+select c.cal_id, e.direction from (select distinct cal_id from wl) c left join (
+  select w.cal_id, sign(arg_max(wl, x) - arg_min(wl, x))::double as direction
+  from wl w join (select cal_id, min(ord) as low from wl where wl is not null group by 1) l on l.cal_id = w.cal_id and l.low = w.ord
+  where wl is not null group by 1) e using (cal_id)""")
 view("lamp", "", """
 select l_suppkey as cal_id, (l_linenumber::bigint - 1) % 4 as ord, (l_orderkey * 3 + l_partkey) % 64 + w.d as x,
        sum(l_quantity::bigint * w.w)::bigint as counts
@@ -217,10 +220,11 @@ select cal_id, ord, x, wl, sphere::double as s from wl join image_sums using (ca
 view("ends", "pts", """
 select cal_id, ord, count(*) as n, arg_min(wl, x) as w0, arg_max(wl, x) as w1 from pts group by all""")
 view("pairs", "ends", """
-select a.cal_id, a.ord, b.n, list_sort([a.w0, a.w1, b.w0, b.w1])[2] as lo, list_sort([a.w0, a.w1, b.w0, b.w1])[3] as hi
-from ends a join ends b on a.cal_id = b.cal_id and b.ord = a.ord + 1""")
+select a.cal_id, a.ord, b.ord as next_ord, b.n, list_sort([a.w0, a.w1, b.w0, b.w1])[2] as lo, list_sort([a.w0, a.w1, b.w0, b.w1])[3] as hi
+from ends a join ends b on a.cal_id = b.cal_id
+ and b.ord = (select min(c.ord) from ends c where c.cal_id = a.cal_id and c.ord > a.ord)""")
 view("grid", "pairs", """
-select cal_id, ord, i, case when i = n - 1 then hi else i::double * ((hi - lo) / (n - 1)) + lo end as g
+select cal_id, ord, next_ord, i, case when i = n - 1 then hi else i::double * ((hi - lo) / (n - 1)) + lo end as g
 from (select *, unnest(range(0, n)) as i from pairs where n > 1)""")
 view("segs", "pts", """
 select cal_id, ord, wl, s, lead(wl) over w as wl1, lead(s) over w as s1, lag(wl) over w is null as first
@@ -231,9 +235,9 @@ select g.cal_id, g.ord, g.i, g.g,
        case when g.g = b.wl1 then b.s1 when g.g = b.wl then b.s else b.s + (b.s1 - b.s) / (b.wl1 - b.wl) * (g.g - b.wl) end as v1
 from grid g
 join segs a on a.cal_id = g.cal_id and a.ord = g.ord and g.g <= a.wl1 and (g.g > a.wl or (a.first and g.g = a.wl))
-join segs b on b.cal_id = g.cal_id and b.ord = g.ord + 1 and g.g <= b.wl1 and (g.g > b.wl or (b.first and g.g = b.wl))""")
+join segs b on b.cal_id = g.cal_id and b.ord = g.next_ord and g.g <= b.wl1 and (g.g > b.wl or (b.first and g.g = b.wl))""")
 view("crossings", "pairs gap", """
-select p.cal_id, p.ord, c.crossing from pairs p
+select p.cal_id, p.ord, p.next_ord, c.crossing from pairs p
 left join (select cal_id, ord, arg_min(g, {'d': abs(v0 - v1), 'i': i}) as crossing from gap group by all) c using (cal_id, ord)""")
 view("borders", "wl turn crossings", """
 select o.cal_id, o.ord, coalesce(s.x_from, 0) as x_from, coalesce(e.x_to, 64) as x_to,
@@ -241,9 +245,9 @@ select o.cal_id, o.ord, coalesce(s.x_from, 0) as x_from, coalesce(e.x_to, 64) as
 from (select cal_id, ord, min(ord) over (partition by cal_id) as lowest, max(ord) over (partition by cal_id) as highest
       from wl where wl is not null group by cal_id, ord) o
 left join (select cal_id, ord, 1 + case when any_value(direction) < 0 then max(x) else min(x) end as x_to
-           from wl join turn using (cal_id) join crossings using (cal_id, ord) where wl > crossing group by all) e using (cal_id, ord)
+           from wl left join turn using (cal_id) join crossings using (cal_id, ord) where wl > crossing group by all) e using (cal_id, ord)
 left join (select w.cal_id, w.ord, case when any_value(direction) < 0 then min(x) else max(x) end as x_from
-           from wl w join turn using (cal_id) join crossings c on c.cal_id = w.cal_id and c.ord + 1 = w.ord
+           from wl w join turn using (cal_id) join crossings c on c.cal_id = w.cal_id and c.next_ord = w.ord
            where wl <= crossing group by all) s using (cal_id, ord)""")
 view("pixels", "wl borders turn", """
 select cal_id, ord, x, wl, seq, case when direction < 0 then n - 1 - seq else seq end as pos from (
@@ -319,8 +323,8 @@ def slices(name, source, pad):
 
 def integral(source):
     return f"""
-    select shot, frame, band, coalesce(sum(step), 0e0) as intensity from (
-      select shot, frame, band, (y + lag(y) over w) / 2 * (wl - lag(wl) over w) as step from {source}
+    select shot, frame, band, case when count(y) = count(*) then coalesce(sum(step), 0e0) end as intensity from (
+      select shot, frame, band, y, (y + lag(y) over w) / 2 * (wl - lag(wl) over w) as step from {source}
       window w as (partition by shot, frame, band order by wl, seq)) group by all"""
 
 
@@ -598,7 +602,7 @@ select cal_id, ord, px0, {R('x + case when bend < 0 then (a - c) / 2 / bend else
 sql("calib_residuals", "line_list wl_fit", f"""
 select cal_id, ord, count(*) as n, {R('max(abs(miss))', 6)} as worst, {R('sqrt(avg(miss * miss))', 6)} as rms from (
   select l.cal_id, l.ord, l.wl - {poly('l.px')} as miss from line_list l join wl_fit using (cal_id, ord)) group by all""")
-sql("order_crossings", "crossings", f"select cal_id, ord, {R('crossing')} as cross from crossings")
+sql("order_crossings", "crossings", f"select cal_id, ord, next_ord, {R('crossing')} as cross from crossings")
 sql("order_borders", "borders", "select cal_id, ord, x_from, x_to, trimmed from borders")
 sql("stitched_spectra", "stitched", f"select shot, frame, ord, x, seq, {R('wl')} as wl, counts from stitched")
 
