@@ -65,6 +65,16 @@ def subtract_dark(frames, dark, keys=("y", "x")):
         "counts", F.col("counts") - F.col("dark")).drop("dark")
 
 
+def subtract_dark_rows(frame_rows, dark_rows, keys=("y",)):
+    """Subtract a saved dark image of array rows ``(keys, dark)``, image row by image row.
+
+    Both rows are as long as the sensor is wide; no pixel becomes a row of its own.
+    """
+    keys = list(keys)
+    return attach(frame_rows, dark_rows.select(*keys, "dark"), keys).withColumn(
+        "row", F.zip_with("row", "dark", lambda a, b: a - b)).drop("dark")
+
+
 def contrast(frames, percentages=(0.01, 0.99)):
     """Exact display limits of each frame.
 
@@ -82,6 +92,12 @@ def extrema(frames):
         F.min("counts").alias("low"), F.max("counts").alias("high"))
 
 
+def extrema_rows(frame_rows):
+    """Smallest and largest pixel of each frame, from array rows."""
+    return frame_rows.groupBy("shot", "frame").agg(
+        F.min(F.array_min("row")).alias("low"), F.max(F.array_max("row")).alias("high"))
+
+
 def frame_minima(frame_rows):
     """Saved minimum of each frame; array minima are combined map-side."""
     return save(frame_rows.groupBy("shot", "frame").agg(F.min(F.array_min("row")).alias("low")))

@@ -19,11 +19,16 @@ def write_lines(lines, path):
 
 
 def pattern_lines(pattern):
-    """Order pattern as text: a line per column, orders side by side."""
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("ord", "yc"))),
-                        lambda c: c["yc"].cast("string"))
-    return pattern.groupBy("cal_id", "x").agg(F.array_join(cells, " ").alias("text")).select(
-        F.col("cal_id").alias("shot"), F.lit(1).alias("part"), F.col("x").alias("line"), "text")
+    """Order pattern as text: a line per column, orders side by side.
+
+    The field number is the order's number, so every order up to the set's highest has a
+    field in every line; one that is missing, or has no row there, is ``nan``.
+    """
+    highest = pattern.groupBy("cal_id").agg(F.max("ord").alias("top"))
+    found = F.map_from_entries(F.collect_list(F.struct("ord", F.col("yc").cast("string").alias("yc"))))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda o: F.coalesce(F.col("found")[o], F.lit("nan")))
+    return pattern.groupBy("cal_id", "x").agg(found.alias("found")).join(highest, "cal_id").select(
+        F.col("cal_id").alias("shot"), F.lit(1).alias("part"), F.col("x").alias("line"), F.array_join(cells, " ").alias("text"))
 
 
 def _number(pattern, c):
@@ -41,13 +46,15 @@ def spectra_lines(spectra, shots, unit, name, date):
     """Spectra as text: wavelength, then one column per frame in the chosen unit.
 
     ``spectra`` is ``(shot, frame, pos, wl, <unit>)``. A line carries the shot's
-    frames, which is the format; lines are built in parallel. The header's size
-    field is the number of frames.
+    frames, which is the format; lines are built in parallel, and a frame that is missing
+    is ``nan`` in its place. The header's size field is the number of frames.
+    ``write_spectra`` is the output for large shots.
     """
-    cells = F.transform(
-        F.array_sort(F.collect_list(F.struct("frame", F.col(unit).cast("double").alias("v")))),
-        lambda c: _number("%.6e", c["v"]))
-    data = spectra.groupBy("shot", "pos", "wl").agg(cells.alias("cells")).select(
+    found = F.map_from_entries(F.collect_list(F.struct(F.col("frame").cast("long"), F.col(unit).cast("double"))))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1),
+                        lambda i: _number("%.6e", F.col("found")[i]))
+    packed = spectra.groupBy("shot", "pos", "wl").agg(found.alias("found"))
+    data = packed.join(shots.select("shot", "n_frames"), "shot").withColumn("cells", cells).select(
         "shot", F.lit(1).alias("part"), F.col("pos").alias("line"),
         F.concat_ws(", ", F.array(F.format_string("%.6f", "wl")), "cells").alias("text"))
     numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1),

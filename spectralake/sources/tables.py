@@ -49,7 +49,10 @@ def read_irradiance(spark, path, cal_id):
 
 
 def parse_pattern(texts):
-    """Row centres from whole pattern texts: line number is x, field number the order."""
+    """Row centres from whole pattern texts: line number is x, field number the order.
+
+    A field that is no number is a missing centre: NULL.
+    """
     lines = (
         texts.withColumn("line", F.filter(F.split("value", "\r?\n"), lambda v: F.trim(v) != ""))
         .drop("value")
@@ -59,7 +62,7 @@ def parse_pattern(texts):
     cells = fields.select(
         *keep, "x", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("ord", "yc"))
     return cells.select(*keep, F.col("ord").cast("long").alias("ord"), F.col("x").cast("long").alias("x"),
-                        F.col("yc").cast("long").alias("yc"))
+                        F.when(F.lower("yc") != "nan", F.col("yc").try_cast("double")).cast("long").alias("yc"))
 
 
 def read_pattern(spark, path, cal_id):

@@ -147,3 +147,50 @@ def test_order_spacing_matches_numpy(spark):
     assert np.allclose(got.spacing, want)
     i = np.arange(len(y))
     assert np.allclose(got.smooth_spacing, np.polyval(np.polyfit(i, want, 4), i))
+
+
+def test_banded_solvers_against_dense_ones():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 5, 40):
+        bend = np.diff(np.eye(n), 2, axis=0)
+        w, y = rng.random(n) + 0.1, rng.normal(size=n)
+        full = np.diag(w) + 7.0 * bend.T @ bend
+        far = np.diag(full, 2)
+        assert np.allclose(solver.solve_five(np.diag(full), np.diag(full, 1), far, y), np.linalg.solve(full, y))
+    for n in (4, 5, 9, 100_000):
+        x = np.cumsum(rng.random(n) + 0.1) / n
+        m = solver.spline_second_derivatives(x, x**3 - 2 * x**2)
+        assert np.allclose(m, 6 * x - 4, atol=1e-4 if n < 100 else 1e-2)
+
+
+def test_ten_thousand_point_baseline_needs_little_memory():
+    x = np.linspace(0, 1, 10_000)
+    curve, _ = solver.smooth_below(1 + x + np.exp(-((x - 0.5) / 0.001) ** 2), 1e10, 1e-5, 10)
+    assert len(curve) == 10_000 and np.isfinite(curve).all()
+
+
+def test_every_fit_keeps_its_key(spark):
+    from spectralake.operators import bands as b
+    rows = [(1, 0, "a", 600.0 + i / 10, i, None if i == 3 else 5 * float(np.exp(-2 * (i - 5.0) ** 2))) for i in range(12)]
+    rows += [(1, 1, "a", 600.0 + i / 10, i, -1.0) for i in range(12)] + [(1, 2, "a", 600.0, 0, None), (1, 3, "a", 600.0, 0, 2.0)]
+    slices = spark.createDataFrame(rows, "shot long, frame long, band string, wl double, seq long, y double")
+    ratios = spark.createDataFrame([("a", 0, 600.5, 0.0, 1.0)], "band string, line long, wl0 double, offset double, ratio double")
+    got = {r.frame: r for r in b.fit_bands(slices, ratios).collect()}
+    assert set(got) == {0, 1, 2, 3} and abs(got[0].centre - 600.5) < 1e-3 and got[0].converged
+    assert all(got[f].delta is None or got[f].delta != got[f].delta for f in (1, 2, 3))
+    assert {r.frame: r.intensity for r in b.integrate(slices).collect() if r.frame != 1} == {0: None, 2: None, 3: 0.0}
+
+
+def test_missing_cells_keep_their_place_in_text(spark):
+    from spectralake.sinks import text
+    from spectralake.sources import tables
+    pattern = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 0, None), (1, 2, 0, 17), (1, 0, 1, 6), (1, 2, 1, 18)], "cal_id long, ord long, x long, yc long")
+    lines = [r.text for r in text.pattern_lines(pattern).orderBy("line").collect()]
+    assert lines == ["5 nan 17", "6 nan 18"]
+    whole = spark.createDataFrame([("\n".join(lines), 1)], "value string, cal_id long")
+    back = {(r.ord, r.x): r.yc for r in tables.parse_pattern(whole).collect()}
+    assert back == {(0, 0): 5, (1, 0): None, (2, 0): 17, (0, 1): 6, (1, 1): None, (2, 1): 18}
+    spectra = spark.createDataFrame([(1, f, 0, 600.0, 1.0 + f) for f in (0, 2)], "shot long, frame long, pos long, wl double, wm double")
+    shots = spark.createDataFrame([(1, 3, 0.1, 0.2, 0.3)], "shot long, n_frames long, cycle_s double, exposure_s double, trig_delay_s double")
+    data = text.spectra_lines(spectra, shots, "wm", "n", "d").where("part = 1").first().text
+    assert data == "600.000000, 1.000000e+00, nan, 3.000000e+00"

@@ -171,12 +171,9 @@ def frame_diff(spark, d):
 
 
 def dark_subtract(spark, d):
-    dark = save(v.images(spark, d).select("cal_id", "y", F.posexplode("dark").alias("x", "dark")).select(
-        "cal_id", "y", F.col("x").cast("long").alias("x"), F.col("dark")))
-    rows = v.frame_rows(spark, d)
-    long = rows.select("shot", "cal_id", "frame", "y", F.posexplode("row").alias("x", "counts")).withColumn(
-        "x", F.col("x").cast("long"))
-    return frames.subtract_dark(long, dark, ("cal_id", "y", "x")).drop("cal_id")
+    dark = save(v.images(spark, d).select("cal_id", "y", "dark"))
+    rows = frames.subtract_dark_rows(v.frame_rows(spark, d), dark, ("cal_id", "y"))
+    return rows.select("shot", "frame", "y", F.posexplode("row").alias("x", "counts")).withColumn("x", F.col("x").cast("long"))
 
 
 def contrast(spark, d):
@@ -184,7 +181,7 @@ def contrast(spark, d):
 
 
 def extrema(spark, d):
-    return frames.extrema(v.frames(spark, d))
+    return frames.extrema_rows(v.frame_rows(spark, d))
 
 
 def subtract_min(spark, d):

@@ -464,7 +464,10 @@ select p_partkey % 10 as cal_id, ((p_partkey + 300) || 'e-3')::double as um, (p_
 from part where p_partkey % 50 <> 0""")
 sql("pattern_scan", "pattern", "select cal_id, ord, x, yc from pattern")
 sql("export_pattern", "pattern", """
-select cal_id as shot, 1 as part, x as line, string_agg(yc::varchar, ' ' order by ord) as text from pattern group by cal_id, x""")
+select c.cal_id as shot, 1 as part, c.x as line, string_agg(coalesce(p.yc::varchar, 'nan'), ' ' order by c.ord) as text
+from (select cal_id, x, unnest(range(top + 1)) as ord from (
+        select distinct cal_id, x, max(ord) over (partition by cal_id) as top from pattern)) c
+left join pattern p on p.cal_id = c.cal_id and p.x = c.x and p.ord = c.ord group by 1, 3""")
 
 
 def header(lines):
@@ -478,8 +481,10 @@ def lit(s):
 
 sql("export_spectra", "event_spectra", f"""
 select shot, 1 as part, x as line, printf('%.6f', 600 + x / 8e0) || ', '
-       || string_agg(printf('%.6e', counts * 0.001e0), ', ' order by frame) as text
-from event_spectra group by shot, x
+       || string_agg(coalesce(printf('%.6e', counts * 0.001e0), 'nan'), ', ' order by frame) as text
+from (select c.shot, c.x, c.frame, s.counts from (
+        select shot, x, unnest(range(n)) as frame from (select distinct shot, x, max(frame) over (partition by shot) + 1 as n from event_spectra)) c
+      left join event_spectra s using (shot, x, frame)) group by shot, x
 union all
 select shot, 0, unnest(range(0, len(h))), unnest(h) from (
   select shot, """ + header([
@@ -626,7 +631,7 @@ from (select shot, frame, ord, x, unnest(['counts', 'wm', 'wmsr', 'phmsr']) as u
 sql("wavelength_order", "stitched", "select shot, frame, ord, x, pos from stitched")
 sql("bg_file_subtract", "calibrated", f"""
 select a.shot, a.frame, a.ord, a.x, {R('a.wm - b.wm')} as wm from calibrated a
-join calibrated b on b.shot + 1 = a.shot and b.frame = 0 and b.ord = a.ord and b.x = a.x""")
+left join calibrated b on b.shot + 1 = a.shot and b.frame = 0 and b.ord = a.ord and b.x = a.x""")
 
 sql("quiet_frames", "ev_quiet", f"select shot, frame, top, {R('mean')} as mean, {R('sd')} as sd, quiet from ev_quiet")
 sql("longest_run", "ev_run", "select shot, run_first, run_last, run_n from ev_run")
