@@ -1,9 +1,12 @@
 """DuckDB twins of the registered queries, over the same derived tables."""
 
-from spectralake.functions.polyfit import SCALE
-from spectralake.operators.absolute import LIGHT_SPEED, PLANCK, UNITS
 from spectralake.sources import catalogue
 
+# Written out here, so that a wrong constant of the engine shows.
+SCALE = 1000.0
+LIGHT_SPEED, PLANCK = 299792458.0, 6.62607015e-34
+UNITS = {"counts": "counts", "wm": "W/(m2 nm)", "wmsr": "W/(m2 sr nm)", "phmsr": "Nph./(m2 sr)"}
+
 DATE = "01/01/2025 00:00"
 
 
@@ -124,14 +127,14 @@ from (select *, (l_orderkey * 3 + l_partkey) % 64 as x from lineitem)""")
 
 _seen = {}
 _lines = []
-for _b, _wl, _c, _j, _t, _ak, _lo, _hi in catalogue._cells(catalogue.LINES):
+for _b, _wl, _c, _j, _t, _ak, _lo, _hi in catalogue.LINES:
     _seen[_b] = _seen.get(_b, -1) + 1
     _lines.append((_b, _seen[_b], float(_wl)))
 view("cat_lines", "", "select * from (" + values(_lines) + ") t(band, line, wl)")
 view("cat_over", "", "select * from (" + values(
-    [(b, float(lo), float(hi)) for b, lo, hi in catalogue._cells(catalogue.BOUNDS)]) + ") t(band, lo, hi)")
+    [(b, float(lo), float(hi)) for b, lo, hi in catalogue.BOUNDS]) + ") t(band, lo, hi)")
 view("cat_centre", "", "select * from (" + values(
-    [(b, float(c)) for b, c in catalogue._cells(catalogue.CENTRES)]) + ") t(band, centre)")
+    [(b, float(c)) for b, c in catalogue.CENTRES]) + ") t(band, centre)")
 view("cat_groups", "", "select * from (" + values(
     [(g, b, i, g in catalogue.FITTED_GROUPS) for g, bs in catalogue.GROUPS.items() for i, b in enumerate(bs)])
     + ") t(grp, band, pos, fit)")
