@@ -26,21 +26,29 @@ def list_files(spark, folder, glob="*.SIF"):
 
 
 def shot_number(path):
-    """Integer before the first underscore of the file name, 0 when it is none."""
+    """Integer before the first underscore of the file name, NULL when it is none."""
     stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
-    return F.coalesce(F.substring_index(stem, "_", 1).try_cast("long"), F.lit(0))
+    return F.substring_index(stem, "_", 1).try_cast("long")
 
 
 def index_shots(files):
-    """One path per shot number; of copies in several folders the newest wins."""
+    """One path per shot number; of copies in several folders the newest wins.
+
+    Files without a number are no shots: ``unnumbered`` lists them.
+    """
     newest = F.struct("modificationTime", "path")
     return (
-        files.withColumn("shot", shot_number(F.col("path")))
+        files.withColumn("shot", shot_number(F.col("path"))).where("shot is not null")
         .groupBy("shot").agg(F.max(newest).alias("newest"))
         .select("shot", F.col("newest.path").alias("path"))
     )
 
 
+def unnumbered(files):
+    """Files whose name begins with no shot number."""
+    return files.where(shot_number(F.col("path")).isNull())
+
+
 def shot_range(shots):
     """First and last shot number."""
     return shots.agg(F.min("shot").alias("first_shot"), F.max("shot").alias("last_shot"))

@@ -39,7 +39,8 @@ def test_shot_numbers_and_copies(spark):
         ("file:/d/12_image.SIF", t(2024, 1, 1)), ("file:/d/b/12_image.SIF", t(2024, 1, 2)),
         ("file:/d/dark.SIF", t(2024, 1, 1)), ("file:/d/7.SIF", t(2024, 1, 1))], "path string, modificationTime timestamp")
     assert rows_of(source.index_shots(files), "shot", "path") == [
-        (0, "file:/d/dark.SIF"), (7, "file:/d/7.SIF"), (12, "file:/d/b/12_image.SIF")]
+        (7, "file:/d/7.SIF"), (12, "file:/d/b/12_image.SIF")]
+    assert rows_of(source.unnumbered(files), "path") == [("file:/d/dark.SIF",)]
 
 
 def test_listing_decoding_and_frame_store(spark, tmp_path):

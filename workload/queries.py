@@ -35,13 +35,39 @@ def rounded(df, digits=4, **special):
 
 # --- A: sources and sinks -------------------------------------------------
 
-def shot_index(spark, d):
+def _listing(spark, d):
     k = F.col("o_orderkey")
     name = F.when(k % 97 == 0, F.lit("calib")).otherwise((100000 + F.col("o_custkey")).cast("string"))
-    files = v.table(spark, d, "orders").select(
+    return v.table(spark, d, "orders").select(
         F.concat(F.lit("data/"), (k % 7).cast("string"), F.lit("/"), name, F.lit("_image.SIF")).alias("path"),
         F.col("o_orderdate").alias("modificationTime"))
-    return source.index_shots(files)
+
+def shot_index(spark, d):
+    return source.index_shots(_listing(spark, d))
+
+
+def unnumbered_files(spark, d):
+    return source.unnumbered(_listing(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def frame_store(spark, d):
+    """Frames written to the store and scanned from its files."""
+    path = _folder(spark, "frames")
+    source.write_frames(v.frame_rows(spark, d).select("shot", "frame", "y", F.col("row").cast("array<double>").alias("row")), path)
+    return source.pixels(source.read_frames(spark, path)).withColumn("counts", F.col("counts").cast("long"))
+
+
+def spectra_store(spark, d):
+    """Spectra written as Parquet by shot, read back for the shots that have output."""
+    path = _folder(spark, "spectra")
+    spectra = v.event_spectra(spark, d).select("shot", "frame", F.col("x").alias("seq"), "counts")
+    text.write_spectra(spectra, path)
+    done = text.written_shots(spark, path, spectra.schema)
+    return spark.read.schema(spectra.schema).parquet(path).join(done, "shot", "left_semi").select(spectra.columns)
 
 
 def shot_range(spark, d):
@@ -654,7 +680,7 @@ def stream_shots(spark, d):
 
 
 REGISTERED = [
-    shot_index, shot_range, scan_frames, shots_meta, line_list, irradiance, pattern_scan, export_pattern,
+    shot_index, unnumbered_files, frame_store, spectra_store, shot_range, scan_frames, shots_meta, line_list, irradiance, pattern_scan, export_pattern,
     export_spectra, export_intensities, pending_shots, band_lines, cal_registry,
     transpose, crop, unbin, mean_frame, frame_diff, dark_subtract, contrast, extrema, subtract_min, blank_outside,
     dim_mismatch, assign_cal, column_slice,

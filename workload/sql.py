@@ -450,11 +450,14 @@ FRAME = "shot, frame, y, x, counts"
 
 sql("shot_index", "", """
 select shot, arg_max(path, {'t': t, 'p': path}) as path from (
-  select case when o_orderkey % 97 = 0 then 0 else 100000 + o_custkey end as shot, o_orderdate as t,
-         'data/' || (o_orderkey % 7) || '/' || case when o_orderkey % 97 = 0 then 'calib' else (100000 + o_custkey)::varchar end
-         || '_image.SIF' as path from orders) group by shot""")
+  select 100000 + o_custkey as shot, o_orderdate as t, 'data/' || (o_orderkey % 7) || '/' || (100000 + o_custkey) || '_image.SIF' as path
+  from orders where o_orderkey % 97 <> 0) group by shot""")
+sql("unnumbered_files", "", """
+select 'data/' || (o_orderkey % 7) || '/calib_image.SIF' as path, count(*)::bigint as n from orders where o_orderkey % 97 = 0 group by 1""")
 sql("shot_range", "shots", "select min(shot) as first_shot, max(shot) as last_shot from shots")
 sql("scan_frames", "frames", f"select {FRAME} from frames")
+sql("frame_store", "frames", f"select {FRAME} from frames")
+sql("spectra_store", "event_spectra", "select shot, frame, x as seq, counts from event_spectra")
 sql("shots_meta", "shots", f"""
 select shot, path, 'cam' as camera, n_frames, {R("case when shot % 4 <> 0 then exposure_s else 1e0 end")} as exposure_s,
        cycle_s, xbin, ybin, dim_w, dim_o, -20.5e0 as temp_c from shots""")
