@@ -25,7 +25,7 @@ from spectralake.llm import crf
 from spectralake.llm import text as T
 from spectralake.llm.tables import free_name
 
-TRAIN_DOCS = 250
+TRAIN_DOCS = 120
 TRAIN_WORDS = 60_000    # words of each language taken from them
 GRAMS = 1 << 16
 WORDS = 1 << 16

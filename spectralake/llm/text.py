@@ -70,6 +70,7 @@ def blocks(column, limit=BLOCK):
         end = min(n, max(row + 1, end))
         yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()  # else a worker keeps the largest batch it has met
 
 
 def word_bounds(data, offsets, word_byte):
