@@ -27,7 +27,6 @@ from spectralake.llm.tables import bounded
 from spectralake.storage import save
 
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
