@@ -214,7 +214,8 @@ def read(spark, folder, index):
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))],
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return files.repartition(parts, "file").mapInArrow(
+    # dealt in turn: by hash of the name, Spark would reuse the partitions of distinct() and merge them
+    return files.repartition(parts).mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
