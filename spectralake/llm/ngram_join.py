@@ -79,7 +79,7 @@ def common_slots(docs, width=WIDTH):
         counts = np.zeros(SLOTS, np.int32)
         for batch in batches:
             for _, sets in _sets(batch, width):
-                counts += np.bincount((np.concatenate(sets) >> SLOT_SHIFT).astype(np.int64), minlength=SLOTS).astype(np.int32)
+                np.add.at(counts, (np.concatenate(sets) >> SLOT_SHIFT).astype(np.int64), 1)
         # 255 in one task is far above any mean; small numbers pack well
         packed = np.minimum(counts, 255).astype(np.uint8).reshape(SLOT_ROWS, -1)
         total = np.zeros(SLOT_ROWS, np.int64)
