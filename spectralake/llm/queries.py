@@ -37,7 +37,7 @@ def op6_neighbours(spark, sf_dir):
 
 
 def op7_substring_dedup(spark, sf_dir):
-    return substring_dedup.removals(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):

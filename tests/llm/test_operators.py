@@ -304,6 +304,38 @@ def test_paragraphs_odd(spark, odd):
     assert substring_dedup.removals(odd).count() == 0  # a repeated row is the same line of the same document
 
 
+def test_passages_wrapped_and_embedded(spark):
+    random = np.random.default_rng(5)
+    words = lambda n: [f"v{i}" for i in random.integers(0, 10**9, n)]
+    shared = [words(50) for _ in range(40)]
+    rows = []
+    for i, passage in enumerate(shared):
+        rows.append((2 * i, " ".join([*words(30 + i), *passage, *words(40)])))          # within a longer line
+        late = [*words(17), *[w.upper() for w in passage], *words(9)]
+        lines = [" ".join(late[k:k + 7]) for k in range(0, len(late), 7)]                 # hard-wrapped
+        rows.append((2 * i + 1, "\n".join(lines)))
+    wrapped = words(60)
+    rows += [(1000, "\n".join(" ".join(wrapped[k:k + 8]) for k in range(0, 60, 8))),
+             (1001, "\n".join(" ".join([*wrapped[:30], "other", *wrapped[31:]][k:k + 11]) for k in range(0, 60, 11)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeats(table).toPandas()
+    found = got[got["first"].notna()]
+    assert set(found.doc_id) == {2 * i + 1 for i in range(40)} and (found.kept_doc_id == found.doc_id - 1).all()
+    texts = {d: t.lower().split() for d, t in rows}
+    for r in found.astype({"first": int, "kept_first": int}).itertuples():
+        at, kept = texts[r.doc_id][int(r.first):][:r.words], texts[r.kept_doc_id][r.kept_first:][:r.words]
+        assert at == kept and r.words >= 25
+    near = got[got["line"].notna()]
+    assert [(r.doc_id, r.line, r.lines, r.kept_doc_id, r.exact) for r in near.itertuples()] == [(1001, 0, 6, 1000, False)]
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(table).collect()}
+    for i, passage in enumerate(shared):
+        kept = left[2 * i].split()
+        assert " ".join(passage) in left[2 * i] and len(kept) == 120 + i
+        assert len(left[2 * i + 1].split()) <= 76 - 25
+        assert left[2 * i + 1].split()[:17] == texts[2 * i + 1][:17]
+    assert left[1001] == "" and left[1000]
+
+
 # 9 benchmark
 
 def test_decontamination_against_sql(spark, docs, odd):
