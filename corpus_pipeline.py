@@ -33,7 +33,7 @@ def secret_scan(spark, docs, sf_dir):
 
 
 def source_mix(spark, docs, sf_dir):
-    """The mix: which words of which document go to which slot of which output shard."""
+    """The mix: the words of which documents, and which of them, go to which slot of which output shard."""
     return mixing.mixed(docs)
 
 

@@ -72,9 +72,9 @@ def source_targets(sizes, share=1.5, most=2.0, weights=WEIGHTS):
                          F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def measured(docs):
-    """(doc_id, source, size): words of every whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def measured(docs, *more):
+    """(doc_id, source, size): words of every whole text; and the columns ``more``."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
 
 
 def positions(sizes, sources):
@@ -87,7 +87,9 @@ def positions(sizes, sources):
     before = numbered.groupBy("source_id", "part").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("source_id", "part", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source_id", "part").orderBy(F.asc_nulls_first("doc_id"), "size").rowsBetween(
+    # with texts, those of one doc_id and size have a fixed order, too
+    ties = [F.xxhash64("text"), "text"] if "text" in sizes.columns else []
+    inner = Window.partitionBy("source_id", "part").orderBy(F.asc_nulls_first("doc_id"), "size", *ties).rowsBetween(
         Window.unboundedPreceding, -1)
     return numbered.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(
         before, ["source_id", "part"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "part")
@@ -155,9 +157,9 @@ def slots(sources, block=BLOCK_WORDS, per_shard=SHARD_SLOTS, most=2):
                        permuted(index % F.col("blocks"), F.col("blocks"), F.col("source_id"), turn).alias("block"))
 
 
-def plan(docs, block=BLOCK_WORDS):
-    """(sources, placed documents, slots) of a mix of ``docs``."""
-    sizes = save(measured(docs))
+def plan(docs, block=BLOCK_WORDS, *more):
+    """(sources, placed documents with the columns ``more``, slots) of a mix of ``docs``."""
+    sizes = save(measured(docs, *more))
     sources = save(source_targets(sizes))
     return sources, positions(sizes, sources), slots(sources, block)
 
@@ -176,11 +178,35 @@ def taken(docs, block=BLOCK_WORDS):
     return sums.withColumn("copy", copies).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def packed(placed, block=BLOCK_WORDS):
+    """(source_id, source, doc_id, block, place, first, words, text) of every piece of ``placed`` texts.
+
+    ``text`` holds the piece's words with a blank between, ``place`` is where it begins in
+    its block. Documents without words have no piece.
+    """
+    tokens = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    number, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+
+    def piece(number):
+        begin, end = F.greatest(number * block, F.col("start")), F.least((number + 1) * block, F.col("start") + F.col("size"))
+        some = F.slice("tokens", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
+        return F.struct(number.alias("block"), (begin - number * block).alias("place"), (begin - F.col("start")).alias("first"),
+                        (end - begin).alias("words"), F.array_join(some, " ").alias("text"))
+
+    # all pieces of a text are cut in its one row: no copy of the text for each
+    cut = placed.where("size > 0").withColumn("tokens", tokens).select(
+        "source_id", "source", "doc_id", F.explode(F.transform(F.sequence(number, last), piece)).alias("piece"))
+    return cut.select("source_id", "source", "doc_id", "piece.*")
+
+
 def mixed(docs, block=BLOCK_WORDS):
-    """The mix itself: shard, slot, source, doc_id, first, words of every piece, in order."""
-    sources, placed, dealt = plan(docs, block)
-    rows = pieces(placed, block).where("words > 0").join(dealt.hint("merge"), ["source_id", "block"])
-    return rows.select("shard", "slot", "source", "block", "doc_id", "first", "words")
+    """The mix itself: shard, slot, source, block, place, doc_id, first, words, text of every piece.
+
+    The texts of a slot by ``place`` are the tokens of its block.
+    """
+    _, placed, dealt = plan(docs, block, "text")
+    rows = packed(placed, block).join(dealt.hint("merge"), ["source_id", "block"])
+    return rows.select("shard", "slot", "source", "block", "place", "doc_id", "first", "words", "text")
 
 
 TAKEN_SQL = r"""

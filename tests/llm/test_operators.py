@@ -146,6 +146,26 @@ def test_mixing_near_targets_and_permutations(spark, docs):
     assert pieces.words.sum() == got.taken.sum() and not pieces.duplicated(["shard", "slot", "doc_id", "first"]).any()
 
 
+def test_mix_packs_the_words(spark):
+    rows = [(1, "a  b\tc\n" * 50 + "end", "x"), (None, "n1 n2 n3", "x"), (None, "m1 m2 m3", "x"), (2, "one two", "x"), (2, "\n three four ", "x"),
+            (3, None, "x"), (4, " ", "y"), (5, "é [secret] z", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(table, block=8).toPandas()
+    assert (got.text.str.split(" ").str.len() == got.words).all()
+    blocks = {}
+    for (source, block, *_), part in got.groupby(["source", "block", "shard", "slot"], dropna=False):
+        part = part.sort_values("place")
+        assert (part.place == part.words.cumsum() - part.words).all()
+        blocks.setdefault("x" if source == "x" else None, {}).setdefault(block, set()).add(" ".join(part.text))
+    assert all(len(texts) == 1 for some in blocks.values() for texts in some.values())
+    for doc_id, text, _ in rows:
+        for r in got[got.doc_id.isna() if doc_id is None else got.doc_id == doc_id].itertuples():
+            same = [t for d, t, _ in rows if d == doc_id and t and " ".join(t.split()[r.first:r.first + r.words]) == r.text]
+            assert same
+    assert blocks[None] == {0: {"é [secret] z"}}
+    assert {w for t in blocks["x"].values() for w in " ".join(t).split()} >= {"n1", "m3", "one", "four", "end"}
+
+
 def test_targets_fill_up(spark):
     rows = [("a", 10), ("b", 1000), ("c", 1000), ("d", 0), (None, 5)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
