@@ -10,7 +10,7 @@ from spectralake.storage import save
 
 
 def language(spark, docs, sf_dir):
-    """Texts without a letter, or of no language the model is sure of, go."""
+    """Texts without a letter, or whose words are of no language the model is sure of, go; mixes of known ones stay."""
     ship(spark)
     return language_id.known(docs)
 

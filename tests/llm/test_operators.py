@@ -124,6 +124,17 @@ def test_language_odd(docs, odd):
     assert [r.lang_pred for r in language_id.identify(odd.where("lang is null")).collect()] == ["und"]
 
 
+def test_known_keeps_code_switched_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    few = [r.text.split()[:40] for lang in sorted(r[0] for r in docs.select("lang").where("lang is not null").distinct().collect())
+           for r in docs.where(f"lang = '{lang}' and length(text) > 600").orderBy("doc_id").limit(1).collect()]
+    mixes = [(-1, " ".join(few[0] + few[1]), None), (-2, " ".join(few[0] + few[1] + few[2]), None), (-3, "12 34 !!", None)]
+    table = docs.union(spark.createDataFrame(mixes, "doc_id long, text string, lang string"))
+    score = {r.doc_id: r.score for r in language_id.identify(table).where("doc_id < 0").collect()}
+    assert score[-2] < 0.5 and score[-1] < 0.7
+    assert {r.doc_id for r in language_id.known(table).where("doc_id < 0").collect()} == {-1, -2}
+
+
 # 3 mixing
 
 def test_mixing_against_sql(spark, docs, odd):
