@@ -103,17 +103,23 @@ def order_image(frame_rows, runs, pattern, dv):
         "shot", "frame", "ord", (F.col("y") - F.col("yc") + dv).alias("dy"), "x", "counts")
 
 
-def pad_orders(spectra, width):
+def pad_orders(spectra, width, frames=None, pattern=None):
     """Every order of a frame on the full width, missing columns as NULL.
 
+    With ``frames`` (shot, frame, cal_id) and ``pattern`` these tell which orders there
+    are, so one wholly off the sensor is padded, too; else those in ``spectra`` do.
+
     The columns found of an order are packed into one map and read back in full,
     so the padding rows need no join. An order is at most ``width`` columns.
     """
     found = F.map_from_entries(F.collect_list(F.struct("x", "counts")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))
+    packed = spectra.groupBy("shot", "frame", "ord").agg(found.alias("found"))
+    if pattern is not None:
+        given = attach(frames.select("shot", "frame", "cal_id").distinct(), save(pattern.select("cal_id", "ord").distinct()), ["cal_id"])
+        packed = given.select("shot", "frame", "ord").join(packed, ["shot", "frame", "ord"], "left")
     return (
-        spectra.groupBy("shot", "frame", "ord").agg(found.alias("found"))
-        .select("shot", "frame", "ord", "found", every.alias("x"))
+        packed.select("shot", "frame", "ord", "found", every.alias("x"))
         .select("shot", "frame", "ord", "x", F.col("found")[F.col("x")].alias("counts"))
     )
 

@@ -168,7 +168,8 @@ def order_spacing(peaks, keys=PROFILE, order="y"):
     """Distance between orders: gradient of the peak rows, smoothed by a quartic.
 
     ``ord`` counts the found peaks. The quartic is a projection on orthogonal
-    polynomials of an equally spaced grid, so it is four sums per profile.
+    polynomials of an equally spaced grid, so it is four sums per profile. A single
+    peak has NULL spacing.
     """
     part = W.partitionBy(*keys)
     line = part.orderBy("ord")
@@ -178,7 +179,6 @@ def order_spacing(peaks, keys=PROFILE, order="y"):
         peaks.withColumn("m", F.count("*").over(part).cast("double"))
         .withColumn("spacing", F.when(before.isNull(), after - y).when(after.isNull(), y - before)
                     .otherwise((after - before) / 2))
-        .where(F.col("m") > 1)
         .withColumn("t", F.col("ord").cast("double") - (F.col("m") - 1) / 2)
     )
     for k, p in enumerate(polyfit.gram_basis(F.col("t"), F.col("m"))):
@@ -196,21 +196,22 @@ def order_profile(profiles, spacing, height, margin=10):
     """Cross-section ``[Y - w, Y + w)`` of each order, scaled to 0..1.
 
     ``w`` is half the order spacing plus ``margin``, shrunk until it fits the
-    image. Profiles are cut by array slicing: a column is one array.
+    image. Profiles are cut by array slicing: a column is one array. An order without
+    spacing, or at the image's edge, has one row with NULL ``dy`` and ``z``.
     """
     columns = profiles.groupBy("shot", "frame", "x").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("y", "counts"))),
                     lambda p: p["counts"]).alias("column"))
     half = (F.col("smooth_spacing") / 2).cast("long") + margin
-    w = F.least(half, F.col("yc"), F.lit(height).cast("long") - F.col("yc"))
+    w = F.when(half.isNotNull(), F.least(half, F.col("yc"), F.lit(height).cast("long") - F.col("yc")))
     span = F.col("high") - F.col("low")
     return (
-        spacing.withColumnRenamed("y", "yc").withColumn("w", w).where("w > 0")
+        spacing.withColumnRenamed("y", "yc").withColumn("w", w).withColumn("w", F.when(F.col("w") > 0, F.col("w")))
         .join(columns, ["shot", "frame", "x"])
         .withColumn("cut", F.slice("column", (F.col("yc") - F.col("w") + 1).cast("int"),
                                    (2 * F.col("w")).cast("int")))
         .withColumn("low", F.array_min("cut")).withColumn("high", F.array_max("cut"))
-        .select("shot", "frame", "x", "ord", "w", "low", "high", F.posexplode("cut").alias("i", "counts"))
+        .select("shot", "frame", "x", "ord", "w", "low", "high", F.posexplode_outer("cut").alias("i", "counts"))
         .select("shot", "frame", "x", "ord", (F.col("i") - F.col("w")).alias("dy"),
                 ((F.col("counts") - F.col("low")) / F.when(span != 0, span)).alias("z"))
     )

@@ -15,11 +15,13 @@ class Calibration:
 
     ``runs``: mask stretches. ``pixels``: ``(cal_id, ord, x, wl, seq, pos)``, the
     stitched pixels with their position by rising wavelength, and the unit
-    factors where a sphere exposure was given.
+    factors where a sphere exposure was given; these are NULL where the lamp's table
+    gives no irradiance. ``outside``: ``(cal_id, n)``, the sets that have such pixels.
     """
 
     runs: DataFrame
     pixels: DataFrame
+    outside: DataFrame | None = None
 
 
 def image_sums(images, runs):
@@ -69,5 +71,7 @@ def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposure
         return Calibration(runs, pixels)
     interpolate = absolute.irradiance_cubic if cubic else absolute.irradiance_linear
     net = absolute.sphere_net(sphere, one_image(sums, "dark"))
-    factors = absolute.absolute_factors(net, interpolate(pixels, knots, strict=True), exposures)
-    return Calibration(runs, save(pixels.join(factors.drop("wl"), ["cal_id", "ord", "x"])))
+    irradiance = save(interpolate(pixels, knots))
+    outside = save(irradiance.where("wl is not null and irradiance is null").groupBy("cal_id").agg(F.count("*").alias("n")))
+    factors = absolute.absolute_factors(net, irradiance, exposures)
+    return Calibration(runs, save(pixels.join(factors.drop("wl"), ["cal_id", "ord", "x"])), outside)

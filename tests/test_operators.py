@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectralake.operators import absolute, background, bands, extraction, frames, pattern, shots, wavelength
-from spectralake.plans import products
+from spectralake.plans import calibration, products
 from spectralake.sinks import text
 from spectralake.sources import catalogue, tables
 from spectralake.sources import shots as source
@@ -164,6 +164,35 @@ def test_order_sums_against_brute_force(spark):
     assert touching.count() == 0
 
 
+def test_single_peaks_and_orders_off_the_sensor_stay(spark):
+    peaks = spark.createDataFrame([(0, 0, 5, 12), (0, 0, 6, 5), (0, 0, 6, 15)], "shot long, frame long, x long, y long")
+    spacing = pattern.order_spacing(pattern.number_peaks(peaks))
+    assert rows_of(spacing, "x", "ord", "y", "spacing", "smooth_spacing")[0] == (5, 0, 12, None, None)
+    profiles = spark.createDataFrame([(0, 0, x, y, y * y) for x in (5, 6) for y in range(25)], "shot long, frame long, x long, y long, counts long")
+    shape = pattern.order_profile(profiles, spacing, 25)
+    assert rows_of(shape.where("x = 5"), "ord", "dy", "z") == [(0, None, None)] and shape.where("x = 6").count() > 2
+    assert pattern.fit_profile(shape).where("x = 5 and centre is null").count() == 1
+    image = np.ones((30, 40), int)
+    p = spark.createDataFrame([(0, o, x, yc) for o, yc in ((0, 10), (1, 50)) for x in range(40)], "cal_id long, ord long, x long, yc long")
+    rows = stack(spark, image)
+    padded = extraction.pad_orders(extraction.extract(rows, p, 2, 30), 40, rows, p)
+    assert padded.count() == 80 and padded.where("ord = 1 and counts is null").count() == 40
+
+
+def test_a_set_outside_the_lamp_table_is_flagged(spark, monkeypatch):
+    points = spark.createDataFrame([(c, 0, x, w) for c, w in ((1, 500.0), (2, 900.0)) for x in range(3)], "cal_id long, ord long, x long, wl double")
+    knots = spark.createDataFrame([(c, u / 10, 1.0 + u) for c in (1, 2) for u in range(4, 9)], "cal_id long, um double, mw double")
+    sums = points.selectExpr("cal_id", "ord", "x", "5 as sphere", "1 as dark")
+    for name, table in (("wavelengths", points), ("stitched_pixels", points), ("image_sums", sums)):
+        monkeypatch.setattr(calibration, name, lambda *_, table=table: table)
+    monkeypatch.setattr(calibration.extraction, "sensor_runs", lambda *_: points)
+    exposures = spark.createDataFrame([(1, 0.5), (2, 0.5)], "cal_id long, exposure_s double")
+    for cubic in (False, True):
+        made = calibration.calibrate(None, None, None, 2, 3, 30, knots, exposures, cubic)
+        assert rows_of(made.outside, "cal_id", "n") == [(2, 3)]
+        assert made.pixels.where("cal_id = 1 and f_wm > 0").count() == 3 and made.pixels.where("cal_id = 2 and f_wm is null").count() == 3
+
+
 @pytest.mark.parametrize("orders", [(0, 1, 2), (3, 5, 9)])
 @pytest.mark.parametrize("sign", [-1, 1])
 def test_crossings_and_borders_in_both_directions(spark, sign, orders):

@@ -361,7 +361,7 @@ def order_spectra(spark, d):
 
 
 def pad_orders(spark, d):
-    return extraction.pad_orders(_sums(spark, d), v.DIM_W)
+    return extraction.pad_orders(_sums(spark, d), v.DIM_W, v.frame_rows(spark, d), v.pattern(spark, d))
 
 
 def short_orders(spark, d):
