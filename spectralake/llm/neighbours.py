@@ -140,9 +140,12 @@ def placed(points, dims, curves=CURVES):
 def _best(queries, vectors, ids, k):
     """Score and id of the best ``k`` + 1 of ``vectors`` for each query; equal pairs score equally everywhere."""
     rough = queries @ vectors.T
-    most = min(k + 5, len(ids))
-    top = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    for q, row in zip(queries, top):
+    most = min(k + 1, len(ids))
+    last = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+    # all that rounding could put among the best, so ties at the cut are settled by id
+    error = 8 * vectors.shape[1] * np.finfo(float).eps * np.sqrt((queries ** 2).sum(1) * (vectors ** 2).sum(1).max())
+    for q, near, least in zip(queries, rough, last - error):
+        row = np.flatnonzero(~(near < least))
         score = (vectors[row] * q).sum(1)
         order = np.lexsort((ids[row], -score))[:k + 1]
         yield score[order], ids[row][order]

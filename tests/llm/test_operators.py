@@ -276,6 +276,22 @@ def test_neighbours_exact_on_small_and_odd_tables(spark):
     assert [r.vec_id for r in sorted(few, key=lambda r: r.rank)] == [i for i, _ in exact_neighbours(rows[:3])[0]]
 
 
+def test_neighbours_ties_go_to_the_smaller_id(spark):
+    # two ones each: most inner products are 0
+    rows = [(i, [1.0 if j in (i % 30, 30 + i // 30) else 0.0 for j in range(40)]) for i in range(300)]
+    table = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(table, "vec_id % 50 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, near in got.items():
+        want = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in rows if i != q)[:20]
+        assert near == [(i, -s) for s, i in want]
+    # one block, all but one tied, larger ids first
+    vectors, ids = np.vstack([np.tile([0.0, 1.0], (99, 1)), [[1.0, 0.0]]]), np.arange(100)[::-1]
+    (score, near), = neighbours._best(np.array([[1.0, 0.0]]), vectors, ids, 20)
+    assert near.tolist() == [0, *range(1, 21)] and score[0] == 1
+
+
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 256)
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
