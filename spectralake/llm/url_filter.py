@@ -8,7 +8,9 @@ subdomains when the url's path starts with the rule's path; the longest rule win
 Urls that a fixed rule decides are the labelled transactions: the tokens of the url and
 the verdict. FP-growth finds frequent token sets; those that occur with one verdict in a
 share of at least ``CONFIDENCE`` are rules, unless a part of them is one already. A rule
-is indexed under its rarest token. Any other url takes the verdict of the matching rule
+is indexed under its rarest token. Tokens that occur in the same urls are one item for
+FP-growth, and its rules are spelled out for each of them: that is exact, as a rule with
+two of them says no more than the rule with one. Any other url takes the verdict of the matching rule
 of highest confidence, then support, then fewest tokens, then text; without one it is
 allowed. With labels given by the caller (url, verdict), those are mined instead.
 
@@ -18,7 +20,6 @@ other columns are ignored; an empty table gives no rows.
 """
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectralake.llm.tables import bounded
@@ -30,7 +31,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SUPPORT = 0.002       # share of the labelled urls that hold a token set
 CONFIDENCE = 0.9
 LONGEST = 3           # tokens of a rule
-MOST_TOKENS = 24      # the most frequent tokens of an url that are mined; matching uses all
 
 
 def parts(url):
@@ -70,11 +70,12 @@ def mine(labelled, support=SUPPORT, confidence=CONFIDENCE, longest=LONGEST):
     if not total:
         return labelled.sparkSession.createDataFrame([], schema)
     least = max(2, int(support * total))
-    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    often = save(often)
-    numbered = labelled.withColumn("id", F.monotonically_increasing_id())
-    kept = save(numbered).select("id", "verdict", F.explode("tokens").alias("token")).join(bounded(often, 96), "token")
-    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "token"))).where(F.col("n") <= MOST_TOKENS)
+    numbered = save(labelled.withColumn("id", F.monotonically_increasing_id()))
+    spread = numbered.select("id", "verdict", F.explode("tokens").alias("token"))
+    urls = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    often = spread.groupBy("token").agg(F.count("*").alias("count"), *urls).where(F.col("count") >= least)
+    same = save(often.groupBy("count", "x1", "x2").agg(F.min("token").alias("item"), F.collect_list("token").alias("members")).select("item", "members"))
+    kept = spread.join(bounded(same.select(F.col("item").alias("token")), 96), "token")
     items = kept.groupBy("id", "verdict").agg(F.collect_set("token").alias("tokens"))
     items = items.select(F.concat("tokens", F.array(F.concat(F.lit("v="), "verdict"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=least / total).fit(items).freqItemsets
@@ -91,7 +92,11 @@ def mine(labelled, support=SUPPORT, confidence=CONFIDENCE, longest=LONGEST):
         F.transform("tokens", lambda t: F.array(t)), F.transform("tokens", lambda t: F.array_remove(F.col("tokens"), t))))))
     inner = inner.where(F.size("part") < F.size("tokens")).join(smaller, "part").where(
         (F.col("verdict") == F.col("v")) & (F.col("confidence") <= F.col("c"))).select("tokens", "verdict").distinct()
-    return rules.join(inner, ["tokens", "verdict"], "left_anti")
+    rules = rules.join(inner, ["tokens", "verdict"], "left_anti").select("*", F.explode("tokens").alias("item"))
+    rules = rules.join(bounded(same, 1024), "item").groupBy("tokens", "verdict", "support", "confidence").agg(F.collect_list("members").alias("members"))
+    every = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda all_, some: F.flatten(
+        F.transform(all_, lambda one: F.transform(some, lambda t: F.concat(one, F.array(t))))))
+    return rules.select(F.explode(every).alias("tokens"), "verdict", "support", "confidence").withColumn("tokens", F.array_sort("tokens"))
 
 
 def matched(rows, rules):

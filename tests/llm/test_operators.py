@@ -447,3 +447,13 @@ def test_rules_against_counting(spark):
     want = {k: (round(n / len(rows), 9), n / whole[k[0]]) for k, n in part.items() if n >= max(2, int(0.15 * len(rows))) and n >= 0.9 * whole[k[0]]}
     want = {k: v for k, v in want.items() if not any(o != k and o[1] == k[1] and set(o[0]) < set(k[0]) and want[o][1] >= v[1] for o in want)}
     assert got == want
+
+
+def test_rules_of_long_urls_are_whole(spark):
+    # 30 tokens always together, above those a rare one tells the verdict; and a pair that does
+    long = [f"t{i:02d}" for i in range(30)]
+    rows = [([*long, "rare"], "block")] * 3 + [([*long], "allow")] * 7 + [(["u", "w"], "block")] * 4 + [(["u"], "allow")] * 4 + [(["y", "z"], "allow")] * 4
+    got = {(tuple(r.tokens), r.verdict): (round(r.support, 9), r.confidence) for r in url_filter.mine(
+        spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.9).collect()}
+    assert got == {(("rare",), "block"): (round(3 / 22, 9), 1.0), (("w",), "block"): (round(4 / 22, 9), 1.0),
+                   (("y",), "allow"): (round(4 / 22, 9), 1.0), (("z",), "allow"): (round(4 / 22, 9), 1.0)}
