@@ -9,8 +9,9 @@ the first in order, and that mean is its score. How sure the words are is anothe
 probability of each word's own best language. A text of several languages, each certain,
 has a low score and sure words; ``known`` keeps it.
 
-Training reads at most ``TRAIN_DOCS`` texts of each language, those of smallest id hash,
-from rows that are given as training rows. Their words are cut into runs of 8 to 40 and
+Training reads the texts of at most ``TRAIN_DOCS`` ids of each language, those of smallest
+hash, from rows that are given as training rows, with a bound on the rows of an id and on
+the length taken of a text. Their words are cut into runs of 8 to 40 and
 shuffled into mixed sequences so that transitions between languages are learned.
 
 Null texts and texts without a letter are ``und`` with score 0. A letter is what
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from spectralake.llm import crf
 from spectralake.llm import text as T
-from spectralake.llm.tables import free_name
+from spectralake.llm.tables import free_name, sampled
 
-TRAIN_DOCS = 120
+TRAIN_DOCS = 250
 TRAIN_WORDS = 60_000    # words of each language taken from them
 GRAMS = 1 << 16
 WORDS = 1 << 16
@@ -134,13 +135,12 @@ def train(rows, seed=7):
 
 
 def training_rows(docs, most=TRAIN_DOCS):
-    """(text, lang) of at most ``most`` rows of each language, by hash of the id."""
+    """(text, lang) of the rows of at most ``most`` ids of each language, by hash; bounded by ``sampled``."""
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select(
         "lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "doc_id")
-    rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-    return sorted((r["text"], r["lang"]) for r in rows.collect())
+    return sorted((r["text"], r["lang"]) for r in sampled(docs, ids).collect())
 
 
 def word_labels(model, texts):

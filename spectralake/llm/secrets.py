@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spectralake.llm import crf
 from spectralake.llm import text as T
-from spectralake.llm.tables import free_name
+from spectralake.llm.tables import free_name, sampled
 
 # Fixed patterns of the base kinds, in the order that sorts equal starts.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -180,8 +180,7 @@ def train(texts, seed=11):
 
 def training_texts(docs, most=TRAIN_DOCS):
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").collect()
-    return sorted(r["text"] for r in rows)[:2 * most]
+    return sorted(r["text"] for r in sampled(docs, ids).collect())
 
 
 def tagged(tokens, weights, trans):

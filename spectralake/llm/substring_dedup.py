@@ -129,19 +129,14 @@ def _emit(buckets, bands, rows, joined):
     return run
 
 
-def _sets(wanted, joined):
-    """Sets of the wanted paragraphs (sorted identities, or None for all), each once a task."""
+def _sets(joined):
+    """Sets of all paragraphs, each once a task."""
     def run(batches):
         seen = set()
         for batch in batches:
             for _, _, _, identity, hashes, _, heads in _paragraphs(batch, joined):
-                if wanted is None:
-                    some = np.arange(len(identity))
-                else:
-                    place = np.minimum(np.searchsorted(wanted, identity), len(wanted) - 1)
-                    some = np.flatnonzero(wanted[place] == identity) if len(wanted) else []
                 ends = np.append(heads[1:], len(hashes))
-                picked = [i for i in some if identity[i] not in seen]
+                picked = [i for i in range(len(identity)) if identity[i] not in seen]
                 seen.update(identity[picked].tolist())
                 if len(seen) > SEEN_AT_ONCE:
                     seen.clear()
@@ -165,10 +160,8 @@ def components_of(docs, rows=ROWS, recall=RECALL, num=NUM, den=DEN, fanout=fores
     stars = matched.where("hub is not null").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
 
     def fetch(wanted):
-        few = wanted.count() * 8 <= 32 << 20
-        ids = np.sort(wanted.toArrow().column(0).to_numpy()) if few else None
-        found = docs.mapInArrow(_sets(ids, joined), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-        return found if few else found.join(wanted, "doc_id", "left_semi")
+        every = docs.mapInArrow(_sets(joined), "doc_id long, shingles binary")
+        return every.join(bounded(wanted, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
 
     found = components(forest.grow(stars, fetch, parts, num, den, fanout))
     lines = matched.where("hub is null").select("doc_id", F.call_function("shiftright", "b", F.lit(LINE_BITS)).alias("line"),

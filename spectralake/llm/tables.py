@@ -1,5 +1,6 @@
 """Saved tables, size-checked broadcasts and components shared by the operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectralake.storage import save
@@ -21,6 +22,17 @@ def free_name(df, name):
     return name
 
 
+def sampled(docs, ids, each=2, characters=1 << 15):
+    """The texts of ``docs`` at the few ``ids``, bounded before they are collected.
+
+    Of rows that share an id ``each`` at most, by hash, and of a text its first ``characters``.
+    """
+    keys = ids.columns
+    rows = docs.where("text is not null").select(*keys, F.substring("text", 1, characters).alias("text")).join(F.broadcast(ids), keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
+
+
 def sized(df, rows, each=200_000):
     """``df`` in as many partitions as its counted rows ask for, without a shuffle of its own."""
     return df.coalesce(max(1, -(-rows // each)))

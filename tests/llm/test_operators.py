@@ -135,6 +135,13 @@ def test_known_keeps_code_switched_texts(spark):
     assert {r.doc_id for r in language_id.known(table).where("doc_id < 0").collect()} == {-1, -2}
 
 
+def test_training_texts_are_bounded(spark):
+    rows = spark.createDataFrame([(1, f"text {i} " + "word " * 20_000, "en") for i in range(30)] + [(2, "short one", "en")],
+                                 "doc_id long, text string, lang string")
+    for texts in ([t for t, _ in language_id.training_rows(rows)], secrets.training_texts(rows)):
+        assert len(texts) == 3 and max(map(len, texts)) <= 1 << 15 and "short one" in texts
+
+
 # 3 mixing
 
 def test_mixing_against_sql(spark, docs, odd):
