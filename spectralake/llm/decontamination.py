@@ -13,12 +13,10 @@ not none, is one window. A match is an exact occurrence of a window in a documen
    window.
 4. The windows of the other alignments are compared word by word in the document's text.
 
-The index folds case by ``lower``, which joins at least all words that are equal after
-lower-casing A-Z; step 4 is exact.
-
 Null texts have no words. Benchmark rows without an item_id are ignored, those of one
-item_id are one item with the windows of each text. Documents with repeated or null ids
-are looked at row by row. Other columns stay out of the way; empty tables give no matches.
+item_id (of any type) are one item with the windows of each text. Rows are told apart by
+id and text, so documents with repeated or null ids have lists of their own. Other columns
+stay out of the way; empty tables give no matches.
 """
 
 from pyspark.sql import functions as F
@@ -33,38 +31,28 @@ WIDTH = 10
 PROBES = 3
 
 
-def _split(text):
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
-
-
 def exact_words(text):
-    return _split(F.translate(text, UPPER, LOWER))
-
-
-def folded_words(text):
-    return _split(F.lower(text))
+    folded = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.filter(F.split(folded, GAP), lambda w: w != "")
 
 
 def items_of(benchmark):
-    """(item, item_id, words, folded) of each distinct item text with words."""
+    """(item, item_id, words) of each distinct item text with words."""
     rows = benchmark.where("item_id is not null").select("item_id", exact_words(F.col("text")).alias("words")).distinct()
-    rows = rows.where(F.size("words") > 0)
-    # lower() of a word that is lower-cased already folds the rest of its letters
-    return rows.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words",
-                       F.transform("words", F.lower).alias("folded"))
+    return rows.where(F.size("words") > 0).select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words")
 
 
 def frequencies(docs, items):
     """(term, n): how often each word of the items occurs in all documents."""
-    terms = save(items.select(F.explode("folded").alias("term")).distinct())
-    words = docs.select(F.explode(folded_words(F.col("text"))).alias("term"))
+    terms = save(items.select(F.explode("words").alias("term")).distinct())
+    words = docs.select(F.explode(exact_words(F.col("text"))).alias("term"))
     counts = words.join(bounded(terms, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def windows_of(items, counts, width=WIDTH, probes=PROBES):
     """``items`` with windows: an array of (at, length, probes), probes being places in the item."""
-    places = items.select("item", F.posexplode("folded").alias("place", "term")).join(bounded(counts, 64), "term")
+    places = items.select("item", F.posexplode("words").alias("place", "term")).join(bounded(counts, 64), "term")
     rare = places.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("rare"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))
     length = F.least(F.size("words"), F.lit(width))
@@ -78,7 +66,7 @@ def windows_of(items, counts, width=WIDTH, probes=PROBES):
 
 def postings(docs, terms):
     """The stored index: (term, doc_id, place) of each occurrence of ``terms``, a saved table."""
-    words = docs.select("doc_id", F.posexplode(folded_words(F.col("text"))).alias("place", "term"))
+    words = docs.select("doc_id", F.posexplode(exact_words(F.col("text"))).alias("place", "term"))
     return save(words.join(bounded(terms, 64), "term").select("term", "doc_id", "place"))
 
 
@@ -89,8 +77,8 @@ def probes_of(windows):
     """
     places = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["probes"])))
     need = F.array_min(F.transform("windows", lambda w: F.size(w["probes"])))
-    rows = windows.select("item", "folded", need.alias("need"), F.explode(places).alias("place"))
-    return rows.select(F.element_at("folded", F.col("place") + 1).alias("term"), "item", "place", "need")
+    rows = windows.select("item", "words", need.alias("need"), F.explode(places).alias("place"))
+    return rows.select(F.element_at("words", F.col("place") + 1).alias("term"), "item", "place", "need")
 
 
 def alignments(index, probes):
@@ -121,10 +109,12 @@ def prepared(docs, benchmark, width=WIDTH, probes=PROBES):
 
 def phrase_matches(docs, benchmark, width=WIDTH, name="contamination"):
     """Every row of ``docs``, all columns, with ``name``: n_words and matches (item_id, at, length)."""
-    index, windows = prepared(docs.select("doc_id", "text"), benchmark, width)
+    # a hash that two rows share costs a look at each other's windows, no more
+    row = F.xxhash64("doc_id", "text")
+    index, windows = prepared(docs.select(row.alias("doc_id"), "text"), benchmark, width)
     key, listed = free_name(docs, "_id"), free_name(docs, "_windows")
     found = save(survivors(index, windows)).select(F.col("doc_id").alias(key), F.col("windows").alias(listed))
-    rows = docs.join(bounded(found, 8192), docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    rows = docs.join(bounded(found, 8192), row == F.col(key), "left")
     words = exact_words(F.col("text"))
     held = F.transform(F.array(words), lambda ws: F.filter(
         listed, lambda w: F.slice(ws, w["at"] + 1, F.size(w["words"])) == w["words"]))[0]
@@ -137,7 +127,8 @@ def phrase_matches(docs, benchmark, width=WIDTH, name="contamination"):
 def report(docs, benchmark, width=WIDTH):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
     rows = phrase_matches(docs.select("doc_id", "text"), benchmark, width)
-    matches = F.coalesce(F.col("contamination.matches"), F.expr("cast(array() as array<struct<item_id:bigint,at:int,length:int>>)"))
+    none = F.array().cast(rows.schema["contamination"].dataType["matches"].dataType)
+    matches = F.coalesce(F.col("contamination.matches"), none)
     hit = F.array_distinct(F.flatten(F.transform(matches, lambda m: F.sequence(m["at"], m["at"] + m["length"] - 1))))
     names = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"].cast("string"))))
     rows = rows.select("doc_id", F.col("contamination.n_words").alias("n_words"), F.size(hit).cast("long").alias("n_hit"), names.alias("names"))
@@ -160,9 +151,9 @@ def proximity_matches(index, windows, slop=5):
     order or distance, so reworded passages count; each further probe is looked up in
     cells of ``slop`` + 1 places, an equi-join, and then held to the exact distance.
     """
-    one = windows.select("item_id", "folded", F.explode("windows").alias("w"))
+    one = windows.select("item_id", "words", F.explode("windows").alias("w"))
     one = one.select("item_id", F.col("w.at").alias("window"), F.transform("w.probes", lambda p: F.struct(
-        F.element_at("folded", p + 1).alias("term"), p.alias("place"))).alias("probes"))
+        F.element_at("words", p + 1).alias("term"), p.alias("place"))).alias("probes"))
     first = one.withColumns({"term": F.col("probes")[0]["term"], "place": F.col("probes")[0]["place"]})
     rows = first.join(index.withColumnRenamed("place", "at"), "term").select(
         "doc_id", "item_id", "window", "probes", "at", (F.col("at") - F.col("place")).alias("shift"), F.array("at").alias("places"))

@@ -151,6 +151,12 @@ def test_mixing_against_sql(spark, docs, odd):
         assert len(got) == table.count() and (got.taken <= 2 * got["size"]).all()
 
 
+def test_mixing_takes_ids_of_any_width(spark):
+    rows = [(-(2 ** 63), "a b c", "s"), (2 ** 63 - 1, "d e", "s"), (0, "f", "t"), (5, "g h", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same(mixing.taken(table).toPandas(), twin({"documents": table.toArrow()}, mixing.TAKEN_SQL))
+
+
 def test_mixing_near_targets_and_permutations(spark, docs):
     got = mixing.taken(docs).toPandas()
     sums = got.groupby(["source_size", "target"]).taken.sum().reset_index()
@@ -408,6 +414,17 @@ def test_decontamination_against_sql(spark, docs, odd):
     assert decontamination.clean(odd, items).columns == odd.columns
 
 
+def test_decontamination_folds_one_way_and_takes_any_item_id(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"zz ΟΔΟΣ.a1 {words}", 0), (None, f"zz ΟΔΟΣ.a1 {words}", 1), (None, "plain", 2)],
+                                 "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([("x", "ΟΔΟΣ.a1 " + " ".join(f"w{i}" for i in range(8))), ("y", "ΟΔΟΣ w0"), (None, "plain")],
+                                  "item_id string, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontamination.report(docs, items).collect()}
+    assert got == {(1, 15): (10, 1, True), (None, 15): (10, 1, True), (None, 1): (0, 0, False)}
+    assert [r.item_id for r in decontamination.clean(docs, items).collect()] == [2]
+
+
 def test_proximity(spark):
     words = [f"w{i}" for i in range(12)]
     table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:4], "x", *words[4:]])), (3, " ".join(words[::-1])), (4, "w1 w2")], "doc_id long, text string")

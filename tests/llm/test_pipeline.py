@@ -8,7 +8,8 @@ def test_stages_keep_columns_and_agree_with_their_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     kept = corpus_pipeline.save(corpus_pipeline.language(spark, docs, SF))
-    found = {r.doc_id for r in language_id.identify(docs).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    model = language_id.train(language_id.training_rows(docs.where(~language_id.held_out(docs["doc_id"]))))
+    found = {r.doc_id for r in language_id.predict(docs, model).collect() if r.language.lang_pred != "und" and r.language.sure >= 0.5}
     assert {r.doc_id for r in kept.collect()} == found and kept.columns == docs.columns
     few = corpus_pipeline.save(corpus_pipeline.near_duplicates(spark, kept, SF))
     groups = {r.component_id for r in ngram_join.near_components(kept).collect()}
