@@ -80,10 +80,11 @@ def measured(docs, *more):
 def positions(sizes, sources):
     """``sizes`` with source_id and the place of the document's first word in its source."""
     span = sizes.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = (hi - lo) // RANGES + 1
+    # in doubles, which keep the order of ids that lie further apart than a long can tell
+    lo, hi = float(span["lo"] or 0), float(span["hi"] or 0)
+    width = (hi - lo) / RANGES + 1
     numbered = sizes.join(bounded(sources, 128), sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    numbered = numbered.withColumn("part", F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)))
+    numbered = numbered.withColumn("part", F.coalesce(F.floor((F.col("doc_id").cast("double") - lo) / width), F.lit(-1)))
     before = numbered.groupBy("source_id", "part").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("source_id", "part", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("base"))
