@@ -5,11 +5,14 @@ about ``BLOCK`` bytes so that a task's memory depends on the block and on the lo
 single text, never on the number of rows in a batch.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 # Bytes of words cut at [\x20\x09-\x0D]; A-Z become a-z.
 NOT_SPACE = np.ones(256, bool)
@@ -73,6 +76,22 @@ def blocks(column, limit=BLOCK):
     pa.default_memory_pool().release_unused()  # else a worker keeps the largest batch it has met
 
 
+def raw_texts(column):
+    """The bytes of each text of an Arrow string column; nulls are empty."""
+    for value in column.cast(pa.binary()):
+        yield value.as_py() or b""
+
+
+def pieces(raw, size=BLOCK):
+    """``raw`` in slices of about ``size`` bytes, each but the first beginning with a blank."""
+    at = 0
+    while at < len(raw):
+        cut = BLANK.search(raw, at + size) if len(raw) - at > size else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def word_bounds(data, offsets, word_byte):
     """Starts, ends and text numbers of the words in a block."""
     inside = word_byte[data]
