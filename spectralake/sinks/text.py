@@ -6,6 +6,8 @@ A line table is ``(shot, part, line, text)``: header lines are part 0, data part
 from pyspark.sql import functions as F
 
 from spectralake.operators.absolute import UNITS
+from spectralake.sources import files
+from spectralake.sources.shots import shot_number
 
 
 def write_lines(lines, path):
@@ -95,6 +97,23 @@ def intensity_lines(table, bands, shots, name, date, comments=()):
     return header.unionByName(data)
 
 
+def write_shot_files(lines, path, suffix="txt"):
+    """Write ``(shot, part, line, text)`` as one text file per shot, its lines in order.
+
+    Files appear when the whole job is done; those of lost attempts never do.
+    """
+    files.write_files(lines.select(
+        F.format_string(f"%d.{suffix}", "shot").alias("file"), F.struct("part", "line").alias("part"),
+        F.encode(F.concat("text", F.lit("\n")), "UTF-8").alias("data")), path)
+
+
+def read_shot_files(spark, path, suffix="txt"):
+    """Lines ``(shot, number, text)`` of the text files of shots; a file is one value."""
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{suffix}").select(
+        shot_number(F.col("_metadata.file_path")).alias("shot"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("lines"))
+    return whole.select("shot", F.posexplode("lines").alias("number", "text")).withColumn("number", F.col("number").cast("long"))
+
+
 def write_spectra(spectra, path):
     """Spectra as Parquet, one folder per shot, a frame's pixels together."""
     (spectra.repartitionByRange("shot", "frame").sortWithinPartitions("shot", "frame", "seq")

@@ -13,7 +13,7 @@ from spectralake.operators import absolute, background, bands, extraction, frame
 from spectralake.plans import calibration as cal_plan
 from spectralake.plans import products
 from spectralake.sinks import text
-from spectralake.sources import catalogue, tables
+from spectralake.sources import catalogue, stacks, tables
 from spectralake.sources import shots as source
 from spectralake.storage import save, shared_dir
 from spectralake.streaming import arrivals
@@ -61,6 +61,31 @@ def frame_store(spark, d):
     return source.pixels(source.read_frames(spark, path)).withColumn("counts", F.col("counts").cast("long"))
 
 
+def _stack_files(spark, d, frames=4):
+    """The image stacks as files, a few frames in each."""
+    path = _folder(spark, "stacks")
+    stacks.write_stacks(v.frame_rows(spark, d), path, frames=frames)
+    return path
+
+
+def file_index(spark, d):
+    """Files that a recursive listing finds, by shot."""
+    listed = source.list_files(spark, _stack_files(spark, d), "*.stk")
+    counts = listed.groupBy(source.shot_number(F.col("path")).alias("shot")).agg(F.count("*").alias("n_files"))
+    return source.index_shots(listed).join(counts, "shot").select("shot", "n_files")
+
+
+def stack_scan(spark, d):
+    """Image files scanned as frame ranges, several to a file."""
+    return source.pixels(stacks.scan_stacks(spark, _stack_files(spark, d), frames=3)).withColumn("counts", F.col("counts").cast("long"))
+
+
+def stack_range(spark, d):
+    """Some frames of some shots; files and ranges beside them are not read."""
+    rows = stacks.scan_stacks(spark, _stack_files(spark, d), frames=2).where("shot >= 1 and frame between 3 and 6")
+    return source.pixels(rows).withColumn("counts", F.col("counts").cast("long"))
+
+
 def spectra_store(spark, d):
     """Spectra written as Parquet by shot, read back for the shots that have output."""
     path = _folder(spark, "spectra")
@@ -149,6 +174,20 @@ def export_intensities(spark, d):
     return text.intensity_lines(table, EVENT_BANDS, shots_of, "lines", DATE, ["Line intensities."])
 
 
+def spectra_files(spark, d):
+    """Spectra written as one text file per shot, read back line by line."""
+    path = _folder(spark, "spectra-files")
+    text.write_shot_files(export_spectra(spark, d), path)
+    return text.read_shot_files(spark, path)
+
+
+def intensity_files(spark, d):
+    """Intensity tables written as one text file per shot, read back line by line."""
+    path = _folder(spark, "intensity-files")
+    text.write_shot_files(export_intensities(spark, d), path, "csv")
+    return text.read_shot_files(spark, path, "csv")
+
+
 def pending_shots(spark, d):
     s = v.shots(spark, d)
     return shots.pending(s.select("shot", "path"), s.where("o_orderstatus = 'F'"))
@@ -680,8 +719,8 @@ def stream_shots(spark, d):
 
 
 REGISTERED = [
-    shot_index, unnumbered_files, frame_store, spectra_store, shot_range, scan_frames, shots_meta, line_list, irradiance, pattern_scan, export_pattern,
-    export_spectra, export_intensities, pending_shots, band_lines, cal_registry,
+    shot_index, unnumbered_files, file_index, frame_store, stack_scan, stack_range, spectra_store, shot_range, scan_frames, shots_meta, line_list, irradiance, pattern_scan, export_pattern,
+    export_spectra, export_intensities, spectra_files, intensity_files, pending_shots, band_lines, cal_registry,
     transpose, crop, unbin, mean_frame, frame_diff, dark_subtract, contrast, extrema, subtract_min, blank_outside,
     dim_mismatch, assign_cal, column_slice,
     sample_columns, savgol, amplify, poly_baseline, local_peaks, peaks, peak_count_check, peak_overrides,

@@ -457,6 +457,9 @@ select 'data/' || (o_orderkey % 7) || '/calib_image.SIF' as path, count(*)::bigi
 sql("shot_range", "shots", "select min(shot) as first_shot, max(shot) as last_shot from shots")
 sql("scan_frames", "frames", f"select {FRAME} from frames")
 sql("frame_store", "frames", f"select {FRAME} from frames")
+sql("stack_scan", "frames", f"select {FRAME} from frames")
+sql("stack_range", "frames", f"select {FRAME} from frames where shot >= 1 and frame between 3 and 6")
+sql("file_index", "frames", "select shot, count(distinct frame // 4) as n_files from frames group by shot")
 sql("spectra_store", "event_spectra", "select shot, frame, x as seq, counts from event_spectra")
 sql("shots_meta", "shots", f"""
 select shot, path, 'cam' as camera, n_frames, {R("case when shot % 4 <> 0 then exposure_s else 1e0 end")} as exposure_s,
@@ -516,6 +519,8 @@ select shot, 0, unnest(range(0, len(h))), unnest(h) from (select shot, """ + hea
     lit("# ValUnit = " + ",".join(["'W/m^2'"] * 5)), lit("#"), lit("# [Comments]"), lit("# Line intensities."),
     lit("# time = 2.75 + frameNo*0.25 (s)"), lit("#"), lit("# [Data]")]) + """ as h
   from (select shot, count(*) as n from event_table group by shot))""")
+for name, lines in (("spectra_files", "export_spectra"), ("intensity_files", "export_intensities")):
+    SQL[name] = f"""select shot, row_number() over (partition by shot order by part, line) - 1 as number, text from ({SQL[lines]})"""
 sql("pending_shots", "shots", "select shot, path from shots where o_orderstatus <> 'F'")
 sql("band_lines", "measured cat_bounds cat_lines", f"""
 select b.band, (select count(*) from cat_lines l where l.band = b.band) as n_lines, {R('b.lo')} as lo, {R('b.hi')} as hi,
