@@ -1,11 +1,12 @@
 """Calibration of whole campaigns: from pattern, lamp lines and sphere to pixel tables."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectralake.operators import absolute, extraction, wavelength
+from spectralake.operators import absolute, extraction, packed, wavelength
 from spectralake.storage import save
 
 
@@ -23,6 +24,16 @@ class Calibration:
     pixels: DataFrame
     outside: DataFrame | None = None
 
+    @cached_property
+    def row_runs(self):
+        """``runs`` with one row per image row, saved."""
+        return save(packed.pack_runs(self.runs))
+
+    @cached_property
+    def orders(self):
+        """``pixels`` with one row per order, saved."""
+        return save(packed.pack_pixels(self.pixels))
+
 
 def image_sums(images, runs):
     """Order sums ``(cal_id, ord, x, sphere, dark)`` of both calibration images in one pass.
@@ -56,12 +67,15 @@ def stitched_pixels(wl, sphere, dim_w):
     return wavelength.order_by_wavelength(wavelength.segment_pixels(wl, borders), turn)
 
 
-def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposures=None, cubic=True):
-    """Run the chain for every set at once.
+def calibrate(pattern, line_list, images, dv, dim_w, dim_o, knots=None, exposures=None, cubic=True, sets=None):
+    """Run the chain for every set at once, or for those in ``sets`` (cal_id).
 
     ``images`` is ``(cal_id, y, sphere, dark)`` with one array per image row.
     Tables are saved where several later steps read them.
     """
+    if sets is not None:
+        pattern, line_list, images, knots, exposures = (
+            t if t is None else t.join(sets, "cal_id", "left_semi") for t in (pattern, line_list, images, knots, exposures))
     runs = extraction.sensor_runs(pattern, dv, dim_o)
     sums = save(image_sums(images, runs))
     sphere = one_image(sums, "sphere")

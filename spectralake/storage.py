@@ -5,9 +5,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-# A fixed-width row of the tables attached here is below 200 bytes, so this
-# keeps a broadcast below about 100 MB.
-BROADCAST_ROWS = 500_000
+# What a broadcast may hold; a fixed-width row of the tables attached here is below 200 bytes.
+BROADCAST_BYTES = 100_000_000
+ROW_BYTES = 200
 
 
 def shared_dir(spark):
@@ -37,13 +37,14 @@ def save(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(fact, dim, on, how="inner", max_rows=BROADCAST_ROWS):
+def attach(fact, dim, on, how="inner", max_rows=None, row_bytes=ROW_BYTES):
     """Join a saved dimension table to a fact table.
 
-    ``dim`` is broadcast only when its counted rows stay below ``max_rows``;
-    a larger one is joined by shuffle, where AQE splits hot keys. Counting
-    stops at the limit, and on a saved table it reads no columns.
+    ``dim`` is broadcast only when its counted rows, taken as ``row_bytes`` each, stay
+    below ``BROADCAST_BYTES``; a larger one is joined by shuffle, where AQE splits hot
+    keys. Counting stops at the limit, and on a saved table it reads no columns.
     """
+    max_rows = max_rows or BROADCAST_BYTES // row_bytes
     small = dim.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
     return fact.join(F.broadcast(dim) if small else dim, on, how)
 

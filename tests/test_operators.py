@@ -349,15 +349,17 @@ def test_stream_takes_up_a_shot_once_it_is_complete(spark, tmp_path):
 
 
 def test_fitted_intensities_replace_integrals_only_where_a_line_stands_out(spark):
-    wl = np.linspace(579.8, 580.5, 60)
+    wl = [float(w) for w in np.linspace(579.8, 580.5, 60)]
+    pixels = spark.createDataFrame([(1, 0, i, w, i) for i, w in enumerate(wl)], "cal_id long, ord long, x long, wl double, seq long")
+    cal = calibration.Calibration(None, pixels)
     rows = []
     for f, area in ((0, 0.05), (1, 0.05), (2, 0.0001)):
-        y = area / (np.sqrt(2 * np.pi) * 0.03) * np.exp(-((wl - 580.131) ** 2) / (2 * 0.03**2))
-        rows += [(1, f, float(a), i, float(b)) for i, (a, b) in enumerate(zip(wl, y))]
-    s = spark.createDataFrame(rows, "shot long, frame long, wl double, seq long, wm double")
+        y = area / (np.sqrt(2 * np.pi) * 0.03) * np.exp(-((np.array(wl) - 580.131) ** 2) / (2 * 0.03**2))
+        rows.append((1, f, 1, 0, [float(v) for v in y]))
+    s = spark.createDataFrame(rows, "shot long, frame long, cal_id long, ord long, wm array<double>").join(cal.orders, ["cal_id", "ord"])
     table = spark.createDataFrame([("CIV-580", 579.95, 580.35)], "band string, lo double, hi double")
     meta = save(spark.createDataFrame([(1, 3)], "shot long, n_frames long"))
-    got = products.intensities(s, table, meta, catalogue.band_lines(spark), fitted=["CIV-580"])
+    got = products.intensities(s, cal, table, meta, catalogue.band_lines(spark), fitted=["CIV-580"])
     values = {r.frame: r.intensity for r in got.collect()}
     assert set(values) == {1, 2} and values[1] == pytest.approx(0.05, rel=2e-2)
 

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from spectralake.functions import polyfit
-from spectralake.operators import absolute, background, bands, extraction, frames, pattern, shots, wavelength
+from spectralake.operators import absolute, background, bands, extraction, frames, packed, pattern, shots, wavelength
 from spectralake.plans import calibration as cal_plan
 from spectralake.plans import products
 from spectralake.sinks import text
@@ -479,18 +479,21 @@ def order_borders(spark, d):
     return wavelength.order_borders(wl, crossings, wavelength.direction(wl), v.DIM_W)
 
 
-def _calibration(spark, d, absolute_too=False):
+def _calibration(spark, d, absolute_too=False, used=False):
+    """All calibration sets, or those that the image stacks use."""
+    sets = save(v.frame_rows(spark, d).select("cal_id").distinct()) if used else None
     given = dict(knots=v.knots(spark, d), exposures=v.exposures(spark, d), cubic=False) if absolute_too else {}
     return cal_plan.calibrate(v.pattern(spark, d), v.line_list(spark, d), v.images(spark, d),
-                              v.DV, v.DIM_W, v.DIM_O, **given)
+                              v.DV, v.DIM_W, v.DIM_O, **given, sets=sets)
 
 
 def _stitched(spark, d, absolute_too=False):
-    return products.stitched(v.frame_rows(spark, d), _calibration(spark, d, absolute_too))
+    return products.stitched(v.frame_rows(spark, d), _calibration(spark, d, absolute_too, True))
 
 
 def stitched_spectra(spark, d):
-    return _stitched(spark, d).select("shot", "frame", "ord", "x", "seq", r("wl").alias("wl"), "counts")
+    return packed.unpacked(_stitched(spark, d), ["counts"], ("x", "seq", "wl")).select(
+        "shot", "frame", "ord", "x", "seq", r("wl").alias("wl"), F.col("counts").cast("long").alias("counts"))
 
 
 # --- F: absolute ----------------------------------------------------------------
@@ -514,8 +517,13 @@ def absolute_factors(spark, d):
                            r("f_wmsr", 6).alias("f_wmsr"), r(F.col("f_phmsr") / 1e15, 4).alias("f_phmsr_e15"))
 
 
+ALL_UNITS = ("wm", "wmsr", "phmsr")
+
+
 def _calibrated(spark, d):
-    return absolute.calibrate(_stitched(spark, d, True), save(v.stacks(spark, d)))
+    """One row per pixel, in all units."""
+    spectra = packed.calibrate(_stitched(spark, d, True), save(v.stacks(spark, d)), ALL_UNITS)
+    return packed.unpacked(spectra, ["counts", *ALL_UNITS], ("x", "seq", "wl")).withColumn("counts", F.col("counts").cast("long"))
 
 
 def calibrated(spark, d):
@@ -530,7 +538,7 @@ def unit_unpivot(spark, d):
 
 
 def wavelength_order(spark, d):
-    return _stitched(spark, d).select("shot", "frame", "ord", "x", "pos")
+    return packed.unpacked(_stitched(spark, d), ["counts"], ("x", "pos")).drop("counts")
 
 
 def bg_file_subtract(spark, d):
@@ -593,8 +601,15 @@ def _slices(spark, d):
     return bands.band_slices(_calibrated(spark, d), v.bands(spark).select("band", "lo", "hi"), pad=1.0, cell=1.0)
 
 
+def _packed_core(spark, d):
+    """Packed core points of every band of the stacks."""
+    cal = _calibration(spark, d, True, True)
+    spectra = packed.calibrate(products.stitched(v.frame_rows(spark, d), cal), save(v.stacks(spark, d)))
+    return products.band_points(spectra, cal, v.bands(spark), pad=1.0)
+
+
 def _core(spark, d):
-    return bands.subtract_line(_slices(spark, d))
+    return packed.points_of(_packed_core(spark, d))
 
 
 def band_slice(spark, d):
@@ -606,11 +621,11 @@ def als_baseline(spark, d):
 
 
 def line_baseline(spark, d):
-    return rounded(_core(spark, d))
+    return rounded(bands.subtract_line(_slices(spark, d)))
 
 
 def band_intensity(spark, d):
-    return rounded(bands.integrate(_core(spark, d)))
+    return rounded(packed.integrate(_packed_core(spark, d)))
 
 
 def signal_detect(spark, d):
@@ -697,11 +712,10 @@ def shot_lookup(spark, d):
 
 def full_chain(spark, d):
     """From images to the time by band table of every shot."""
-    stacks = save(v.stacks(spark, d))
-    spectra, _ = products.calibrated_spectra(
-        v.frame_rows(spark, d), _calibration(spark, d, True), stacks, k=QUIET_K)
+    stacks, cal = save(v.stacks(spark, d)), _calibration(spark, d, True, True)
+    spectra, _ = products.calibrated_spectra(v.frame_rows(spark, d), cal, stacks, k=QUIET_K)
     table = v.bands(spark)
-    values = products.intensities(spectra, table.select("band", "lo", "hi"), stacks, pad=1.0)
+    values = products.intensities(spectra, cal, table.select("band", "lo", "hi"), stacks, pad=1.0)
     return rounded(products.intensity_table(values, stacks, ["b692", "b684", "b668", "b650", "b630"]))
 
 
