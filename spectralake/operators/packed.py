@@ -69,7 +69,9 @@ def frame_sums(frame_rows, runs):
 
     rows = attach(frame_rows, runs, ["cal_id", "y"], row_bytes=4096).select("shot", "frame", "cal_id", "row", "runs")
     parts = rows.mapInArrow(added, "shot long, frame long, cal_id long, ord long, counts array<double>")
-    lists = parts.repartition("shot", "frame").groupBy("shot", "frame", "cal_id", "ord").agg(F.collect_list("counts").alias("parts"))
+    # as many partitions as a store has buckets, so that writing one moves nothing again
+    n = int(frame_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = parts.repartition(n, "shot", "frame").groupBy("shot", "frame", "cal_id", "ord").agg(F.collect_list("counts").alias("parts"))
     both = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x + y, x, y))
     return lists.select("shot", "frame", "cal_id", "ord", F.aggregate(
         F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0], both).alias("counts"))

@@ -7,6 +7,7 @@ never joined or shuffled one by one.
 from pyspark.sql import functions as F
 
 from spectralake.operators import background, bands, packed
+from spectralake.sources.bucketed import save_store
 from spectralake.storage import attach, save
 
 
@@ -22,10 +23,11 @@ def stitched(frame_rows, calibration):
 def calibrated_spectra(frame_rows, calibration, shots, k=5.0, units=("wm",)):
     """Background-free spectra in ``units``; ``shots`` is saved, one row per shot.
 
-    The stitched counts are saved: the background run and the subtraction both
-    read them, and images must not be cut twice.
+    The stitched counts are a store by shot and frame: the background run and the
+    subtraction both read it, images must not be cut twice, and neither quiet frames nor
+    band slices need an exchange of it.
     """
-    counts = save(stitched(frame_rows, calibration).drop("px"))
+    counts = save_store(stitched(frame_rows, calibration).drop("px"), order=("ord",))
     runs = save(background.longest_run(packed.quiet_frames(counts, k)))
     level = save(packed.background_level(counts, runs))
     net = packed.subtract_level(counts, level, shots)

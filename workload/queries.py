@@ -13,7 +13,7 @@ from spectralake.operators import absolute, background, bands, extraction, frame
 from spectralake.plans import calibration as cal_plan
 from spectralake.plans import products
 from spectralake.sinks import text
-from spectralake.sources import catalogue, stacks, tables
+from spectralake.sources import bucketed, catalogue, stacks, tables
 from spectralake.sources import shots as source
 from spectralake.storage import save, shared_dir
 from spectralake.streaming import arrivals
@@ -399,6 +399,12 @@ def order_spectra(spark, d):
     return _sums(spark, d)
 
 
+def order_spectra_stored(spark, d):
+    """Order spectra of images stored in buckets: read, cut and added up without an exchange."""
+    stored = bucketed.write_store(v.frame_rows(spark, d), _folder(spark, "images"), order=("y",))
+    return extraction.order_spectra(stored, _runs(spark, d)).drop("cal_id")
+
+
 def pad_orders(spark, d):
     return extraction.pad_orders(_sums(spark, d), v.DIM_W, v.frame_rows(spark, d), v.pattern(spark, d))
 
@@ -628,6 +634,15 @@ def band_intensity(spark, d):
     return rounded(packed.integrate(_packed_core(spark, d)))
 
 
+def band_intensity_stored(spark, d):
+    """Band intensities of stitched spectra stored in buckets, packed; no exchange behind the store."""
+    cal = _calibration(spark, d, True, True)
+    path = _folder(spark, "stitched")
+    bucketed.write_store(products.stitched(v.frame_rows(spark, d), cal), path, order=("ord",))
+    spectra = packed.calibrate(bucketed.open_store(spark, path), save(v.stacks(spark, d)))
+    return rounded(packed.integrate(products.band_points(spectra, cal, v.bands(spark), pad=1.0)))
+
+
 def signal_detect(spark, d):
     return rounded(bands.detect(_core(spark, d), offset=2.0, top=40.0))
 
@@ -739,13 +754,13 @@ REGISTERED = [
     dim_mismatch, assign_cal, column_slice,
     sample_columns, savgol, amplify, poly_baseline, local_peaks, peaks, peak_count_check, peak_overrides,
     order_curve_fit, order_curve_eval, order_spacing, order_profile, profile_fit,
-    make_mask, truncate_mask, pattern_image, order_image, order_spectra, pad_orders, short_orders,
+    make_mask, truncate_mask, pattern_image, order_image, order_spectra, order_spectra_stored, pad_orders, short_orders,
     dispersion_fit, wavelength_map, wavelength_blank, direction, flat_field, line_center_seed, line_center_fit,
     calib_residuals, order_crossings, order_borders, stitched_spectra,
     irradiance_linear, irradiance_cubic, sphere_net, absolute_factors, calibrated, unit_unpivot, wavelength_order,
     bg_file_subtract,
     quiet_frames, longest_run, bg_subtract, bg_summary,
-    band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, line_baseline, band_intensity,
+    band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, line_baseline, band_intensity, band_intensity_stored,
     signal_detect, band_fit_grid, band_fit, fit_samples, fit_intensity, combined_intensity, frame_mask, time_axis,
     intensity_pivot, trace, band_groups,
     shot_batch, full_chain, shot_lookup, stream_shots,

@@ -597,6 +597,7 @@ sql("pattern_image", "mask", "select distinct cal_id, y, x from mask")
 sql("order_image", "frames mask", """
 select f.shot, f.frame, m.ord, f.y - m.yc + 2 as dy, m.x, f.counts from frames f join mask m using (cal_id, y, x)""")
 sql("order_spectra", "sums", "select shot, frame, ord, x, counts from sums")
+SQL["order_spectra_stored"] = SQL["order_spectra"]
 sql("pad_orders", "sums", """
 select o.shot, o.frame, o.ord, x.x, s.counts from (select distinct shot, frame, ord from sums) o cross join range(0, 64) x(x)
 left join sums s on s.shot = o.shot and s.frame = o.frame and s.ord = o.ord and s.x = x.x""")
@@ -669,6 +670,7 @@ from atomic_g join at_bounds using (band) group by band""")
 sql("band_slice", "cal_slices", f"select shot, frame, band, {R('wl')} as wl, seq, {R('y')} as y, core from cal_slices")
 sql("line_baseline", "cal_core", f"select shot, frame, band, {R('wl')} as wl, seq, {R('y')} as y from cal_core")
 sql("band_intensity", "cal_int", f"select shot, frame, band, {R('intensity')} as intensity from cal_int")
+SQL["band_intensity_stored"] = SQL["band_intensity"]
 sql("signal_detect", "detected", f"""
 select shot, frame, band, {R('top')} as top, {R('mean')} as mean, {R('sd')} as sd, signal from detected""")
 sql("band_fit_grid", "best2", f"""
