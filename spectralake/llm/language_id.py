@@ -10,12 +10,15 @@ probability of each word's own best language. A text of several languages, each
 has a low score and sure words; ``known`` keeps it.
 
 Training reads the texts of at most ``TRAIN_DOCS`` ids of each language, those of smallest
-hash, from rows that are given as training rows, with a bound on the rows of an id and on
-the length taken of a text. Their words are cut into runs of 8 to 40 and
-shuffled into mixed sequences so that transitions between languages are learned.
-
-Null texts and texts without a letter are ``und`` with score 0. A letter is what
-``str.isalpha`` says; letters join to words, everything else separates them. Nothing but
+hash, from rows that are given as training rows: two rows an id, and of a text longer than
+``TRAIN_RUN`` characters a run of that length that begins anywhere in it. Of these, texts
+are taken until ``TRAIN_WORDS`` words of each language are there; only they become
+features. Their words are cut into runs of 8 to 40 and shuffled into mixed sequences so
+that transitions between languages are learned.
+
+Null texts and texts without a letter are ``und`` with score 0; a letter is there what
+``str.isalpha`` says. Words are cut at ASCII characters that are no letters; whatever lies
+beyond ASCII joins to a word, and lower-casing reaches ASCII and Latin-1. Nothing but
 the text enters a prediction; other columns stay. No training row: all are ``und``.
 """
 
@@ -29,6 +32,7 @@ from spectralake.llm import text as T
 from spectralake.llm.tables import free_name, sampled
 
 TRAIN_DOCS = 250
+TRAIN_RUN = 1 << 12     # characters of a text
 TRAIN_WORDS = 60_000    # words of each language taken from them
 GRAMS = 1 << 16
 WORDS = 1 << 16
@@ -96,11 +100,18 @@ def train(rows, seed=7):
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
+    random = np.random.default_rng(seed)
+    left, few = dict.fromkeys(languages, TRAIN_WORDS), []
+    for i in random.permutation(len(rows)):
+        text, lang = rows[i]
+        if left[lang] > 0:
+            left[lang] -= len(text.split())
+            few.append((text, lang))
+    rows = few
     texts = pa.array([text for text, _ in rows], pa.large_string())
     code = np.array([languages.index(lang) for _, lang in rows])
     data, offsets = T.strings(texts)
     words = _Words(data, offsets)
-    random = np.random.default_rng(seed)
     label = code[words.doc]
     runs = []
     for doc in range(len(rows)):
@@ -140,7 +151,7 @@ def training_rows(docs, most=TRAIN_DOCS):
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select(
         "lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("lang", "doc_id")
-    return sorted((r["text"], r["lang"]) for r in sampled(docs, ids).collect())
+    return sorted((r["text"], r["lang"]) for r in sampled(docs, ids, characters=TRAIN_RUN).collect())
 
 
 def word_labels(model, texts):

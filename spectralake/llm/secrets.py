@@ -40,6 +40,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 TRAIN_DOCS = 400
+TRAIN_RUN = 1 << 13     # characters of a text
 FEATURES = 1 << 15
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
@@ -180,7 +181,7 @@ def train(texts, seed=11):
 
 def training_texts(docs, most=TRAIN_DOCS):
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return sorted(r["text"] for r in sampled(docs, ids).collect())
+    return sorted(r["text"] for r in sampled(docs, ids, characters=TRAIN_RUN).collect())
 
 
 def tagged(tokens, weights, trans):

@@ -22,15 +22,22 @@ def free_name(df, name):
     return name
 
 
-def sampled(docs, ids, each=2, characters=1 << 15):
-    """The texts of ``docs`` at the few ``ids``, bounded before they are collected.
+def sampled(docs, ids, each=2, characters=1 << 12):
+    """Runs of the texts of ``docs`` at the few ``ids``, bounded before they are collected.
 
-    Of rows that share an id ``each`` at most, by hash, and of a text its first ``characters``.
+    Of rows that share an id ``each`` at most, by hash. A text of up to ``characters`` is
+    taken whole; of a longer one a run of that length that begins anywhere in it, by hash,
+    without the words that its ends cut.
     """
     keys = ids.columns
-    rows = docs.where("text is not null").select(*keys, F.substring("text", 1, characters).alias("text")).join(F.broadcast(ids), keys)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
+    rows = docs.where("text is not null").select(*keys, "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    rows = rows.withColumn("at", F.pmod("h", F.greatest(F.col("n") - characters, F.lit(0)) + 1))
+    run = F.substr("text", F.col("at").cast("int") + 1, F.lit(characters))
+    run = F.when(F.col("at") > 0, F.regexp_replace(run, r"^\S+\s", "")).otherwise(run)
+    run = F.when(F.col("at") + characters < F.col("n"), F.regexp_replace(run, r"\s\S+$", "")).otherwise(run)
+    rows = rows.select(*keys, run.alias("text"), "h").join(F.broadcast(ids), keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "text"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth", "h")
 
 
 def sized(df, rows, each=200_000):
