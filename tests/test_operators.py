@@ -13,7 +13,7 @@ from spectralake.sinks import text
 from spectralake.sources import catalogue, tables
 from spectralake.sources import shots as source
 from spectralake.storage import attach, save
-from spectralake.streaming import arrivals
+from spectralake.streaming import arrivals, completeness
 
 PROFILE = "shot long, frame long, x long, y long, counts long"
 
@@ -333,19 +333,43 @@ def test_stream_takes_up_a_shot_once_it_is_complete(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "shot long, frame long, y long"
     part = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-    expected = spark.createDataFrame([(1, 2), (2, 2)], "shot long, n_rows long")
+    expected = save(spark.createDataFrame([(1, 2, 2), (2, 1, 3)], "shot long, n_frames long, height long"))
     count = lambda df: df.groupBy("shot").agg(F.count("*").alias("n"))
 
-    def step():
+    def step(keep_ms=10**9):
         stream = arrivals.arriving_rows(spark, folder, spark.createDataFrame([], schema).schema)
-        arrivals.process_arrivals(stream, expected, count, out).awaitTermination()
-        return arrivals.results(spark, out, "shot long, n long")
-
-    part([(1, 0, 0), (2, 0, 0)])
-    part([(1, 1, 0)])
-    assert rows_of(step(), "shot", "n") == [(1, 2)]
-    part([(2, 1, 0)])
-    assert rows_of(step(), "shot", "n") == [(1, 2), (2, 2)]
+        query = arrivals.process_arrivals(stream, expected, count, out, keep_ms=keep_ms)
+        query.awaitTermination()
+        held = sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) if query.lastProgress else None
+        return rows_of(arrivals.results(spark, out, "shot long, n long"), "shot", "n"), held
+
+    part([(1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 0, 0), (2, 0, 1), (1, 7, 0), (9, 0, 0)])
+    assert step()[0] == []
+    part([(1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 0, 1), (2, 0, 0)])      # sent again: as many rows as shot 2 needs
+    assert step()[0] == []
+    part([(1, 1, 1)])
+    assert step()[0] == [(1, 4)]
+    part([(1, 1, 1), (2, 0, 2)])
+    done, held = step()
+    assert done == [(1, 4), (2, 3)] and held
+    part([(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)])                 # all of it once more
+    assert step()[0] == [(1, 4), (2, 3)]
+
+
+def test_state_of_what_is_done_or_stale_is_dropped(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "shot long, frame long, y long"
+    expected = save(spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 1, 3)], "shot long, n_frames long, height long"))
+    rows = [[(1, 0, 0), (1, 0, 1), (3, 0, 0)], [(2, 0, 0)], [(2, 0, 1)], [(3, 0, 1), (3, 0, 2)]]
+    for some in rows:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        query = completeness.complete_shots(stream, expected, keep_ms=1).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = spark.read.schema("shot long, n_frames long, arrived timestamp").parquet(out)
+    assert rows_of(found, "shot") == [(1,)]        # shot 3 forgot its first rows before its last one came
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 4
 
 
 def test_fitted_intensities_replace_integrals_only_where_a_line_stands_out(spark):

@@ -740,7 +740,7 @@ def stream_shots(spark, d):
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     runs = _runs(spark, d)
     rows = v.frame_rows_of(arrivals.arriving_rows(spark, d, vectors.schema, glob="embeddings.parquet"))
-    expected = v.frame_rows(spark, d).groupBy("shot").agg(F.count("*").alias("n_rows"))
+    expected = save(v.stacks(spark, d).select("shot", "n_frames", F.col("dim_o").alias("height")))
     query = arrivals.process_arrivals(
         rows, expected, lambda complete: extraction.order_spectra(complete, runs).drop("cal_id"), folder)
     query.awaitTermination()
