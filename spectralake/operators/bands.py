@@ -7,8 +7,8 @@ so windows and grouped jobs over it stay small however long a shot is.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectralake.functions import solver
-from spectralake.storage import attach, spread
+from spectralake.functions import batched
+from spectralake.storage import attach
 
 SLICE = ("shot", "frame", "band")
 
@@ -149,22 +149,24 @@ def subtract_line(slices):
 def subtract_als(slices, stiffness=1e7, weight=1e-5, rounds=5):
     """Subtract the mean of an asymmetric-least-squares baseline; keeps the core.
 
-    Grouped job per slice. ``baseline`` is that mean; missing points have no say in it.
-    ``converged`` tells whether the curve had settled after ``rounds``.
+    Slices are swept side by side. ``baseline`` is that mean; missing points have no say
+    in it. ``converged`` tells whether the curve had settled after ``rounds``.
     """
     import numpy as np
 
-    def fit(pdf):
-        pdf = pdf.sort_values(["wl", "seq"])
-        y = pdf["y"].to_numpy(float)
-        here = np.isfinite(y)
-        curve, settled = solver.smooth_below(y[here], stiffness, weight, rounds)
-        level = float(curve.mean()) if len(curve) else np.nan
-        return pdf.assign(y=y - level, baseline=level, converged=settled)[pdf["core"].to_numpy()].drop(columns="core")
+    def fit(points, batch, rows):
+        y, _ = points.padded("y", rows)
+        there = np.isfinite(y)
+        sizes = there.sum(1)
+        # present points to the front, in order
+        y = np.take_along_axis(y, np.argsort(~there, axis=1, kind="stable"), axis=1)
+        curve, settled = batched.smooth_below(y, sizes, stiffness, weight, rounds)
+        here = np.arange(y.shape[1]) < sizes[:, None]
+        return np.where(sizes > 0, np.where(here, curve, 0.0).sum(1) / np.maximum(sizes, 1), np.nan), settled
 
-    rows = slices.select(*SLICE, "wl", "seq", "y", "core")
-    return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
-        fit, "shot long, frame long, band string, wl double, seq long, y double, baseline double, converged boolean")
+    found = batched.solved(batched.pack(slices, SLICE, ["wl", "seq", "y", "core"]), fit, ["baseline"])
+    rows = found.select(*SLICE, F.explode("points").alias("p"), "baseline", "converged").where("p.core")
+    return rows.select(*SLICE, "p.wl", "p.seq", (F.col("p.y") - F.col("baseline")).alias("y"), "baseline", "converged")
 
 
 def integrate(slices):
@@ -242,7 +244,7 @@ def fit_bands_grid(slices, ratios, reach=0.1, sigma=SIGMA_RANGE, steps=21):
 
 
 def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
-    """Tied Gaussians by bounded least squares; grouped job per slice.
+    """Tied Gaussians by bounded least squares, many slices at once.
 
     Three parameters: centre of line 0, common width in ``sigma``, amplitude >= 0. One row
     per slice: with fewer than three points, or none above zero, all are NULL. Missing
@@ -250,31 +252,29 @@ def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
     """
     import numpy as np
 
-    def fit(pdf):
-        x, y = pdf["wl"].to_numpy(float), pdf["y"].to_numpy(float)
+    def fit(points, batch, rows):
+        x, y = points.padded("wl", rows)[0], points.padded("y", rows)[0]
+        lines = batched.Lists(batch.column(batch.schema.get_field_index("lines")))
+        offset, ratio = (np.nan_to_num(lines.padded(f, rows)[0]) for f in ("offset", "ratio"))
+        wl0 = batch.column(batch.schema.get_field_index("wl0")).to_numpy(zero_copy_only=False)[rows]
         here = np.isfinite(y)
-        x, y = x[here], y[here]
-        top = y.max(initial=0.0)
-        lines = pdf["lines"].iloc[0]
-        offsets = np.array([l["offset"] for l in lines])
-        ratio = np.array([l["ratio"] for l in lines])
-        key = pdf[list(SLICE)].iloc[:1]
-        if len(x) < 3 or not top > 0:
-            return key.assign(centre=np.nan, sigma=np.nan, delta=np.nan, converged=None)
-        model = lambda p, t: solver.gaussian(
-            t, (p[..., 2:] * ratio)[..., None], (p[..., :1] + offsets)[..., None], p[..., 1:2, None]).sum(axis=-2)
-        wl0 = float(pdf["wl0"].iloc[0])
-        start = [wl0, sigma_start, 1.0]
+        top = np.max(np.where(here, y, 0.0), axis=1, initial=0.0)
+        able = (here.sum(1) >= 3) & (top > 0)
+        x, y = np.nan_to_num(x), np.where(here, y, 0.0) / np.where(able, top, 1.0)[:, None]
+
+        def model(p, k):
+            return batched.gaussians(x[k], p[..., 2:] * ratio[k][:, None], p[..., :1] + offset[k][:, None], np.repeat(p[..., 1:2], ratio.shape[1], axis=2))
+
+        start = np.column_stack([wl0, np.full(len(rows), sigma_start), np.ones(len(rows))])
         # the amplitude is linear: start from its best value at the starting shape
-        m = model(np.array(start), x)
-        start[2] = max(float(m @ (y / top)) / max(float(m @ m), 1e-300), 1e-6)
-        p, _, settled = solver.bounded_least_squares(
-            model, start, [-np.inf, sigma[0], 0.0], [np.inf, sigma[1], np.inf], x, y / top)
-        return key.assign(centre=p[0], sigma=p[1], delta=p[2] * top, converged=settled)
-
-    rows = attach(slices, pack_ratios(ratios), ["band"])
-    return spread(rows, *SLICE).groupBy(*SLICE).applyInPandas(
-        fit, "shot long, frame long, band string, centre double, sigma double, delta double, converged boolean")
+        m = model(start[:, None], np.arange(len(rows)))[:, 0] * here
+        start[:, 2] = np.maximum((m * y).sum(1) / np.maximum((m * m).sum(1), 1e-300), 1e-6)
+        p, _, settled = batched.least_squares(model, y, here & able[:, None], start, [-np.inf, sigma[0], 0.0], [np.inf, sigma[1], np.inf])
+        p[~able] = np.nan
+        return p[:, 0], p[:, 1], p[:, 2] * top, settled
+
+    packed = attach(batched.pack(slices, SLICE, ["wl", "y"]), pack_ratios(ratios), ["band"])
+    return batched.solved(packed, fit, ["centre", "sigma", "delta"]).select(*SLICE, "centre", "sigma", "delta", "converged")
 
 
 def fit_samples(fits, ratios, slices, factor=10):

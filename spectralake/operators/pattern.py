@@ -6,12 +6,12 @@ the sensor's height, so windows and grouped jobs over ``PROFILE`` stay small.
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectralake.functions import polyfit, solver
+from spectralake.functions import batched, polyfit
 from spectralake.operators.frames import column_slice
-from spectralake.storage import spread
 
 PROFILE = ("shot", "frame", "x")
 
@@ -64,17 +64,28 @@ def amplify(profiles, kind, strength, length=None, value="smooth", order="y"):
 
 
 def poly_baseline(profiles, degree=6, value="amplified", keys=PROFILE, order="y"):
-    """Polynomial under each profile, as column ``base``; grouped job per profile."""
-    def fit(pdf):
-        pdf = pdf.sort_values(order)
-        base, settled = solver.polynomial_below(pdf["v"].to_numpy(), degree)
-        return pdf.assign(base=base, converged=settled)
+    """Polynomial under each profile, as column ``base``; profiles of one size are projected together."""
+    import numpy as np
 
-    source = profiles.select(*keys, F.col(order).cast("long").alias(order),
+    def run(batches):
+        for batch in batches:
+            points, base, settled = batched.Lists(batch.column(0)), [None] * len(batch), [None] * len(batch)
+            for size in np.unique(points.sizes[points.sizes > 0]):
+                alike = np.flatnonzero(points.sizes == size)
+                for rows in np.array_split(alike, max(1, len(alike) * size // batched.CHUNK)):
+                    curves, done = batched.polynomial_below(points.padded("v", rows)[0], degree)
+                    for i, curve, d in zip(rows, curves, done):
+                        base[i], settled[i] = curve, bool(d)
+            columns = [pa.array(base, pa.list_(pa.float64())), pa.array(settled, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "base", "converged"])
+
+    source = profiles.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(order).cast("long").alias(order),
                              F.col(value).cast("double").alias("v"))
-    kinds = "".join(f"{k} long, " for k in keys)
-    rows = source.select(*[F.col(k).cast("long").alias(k) for k in keys], order, "v")
-    return spread(rows, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}{order} long, v double, base double, converged boolean")
+    packed = batched.pack(source, keys, [order, "v"]).select("points", *keys)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    found = packed.mapInArrow(run, f"{fields}, base array<double>, converged boolean")
+    rows = found.select(*keys, F.explode(F.arrays_zip("points", "base")).alias("p"), "converged")
+    return rows.select(*keys, F.col(f"p.points.{order}").alias(order), F.col("p.points.v").alias("v"), F.col("p.base").alias("base"), "converged")
 
 
 def local_peaks(profiles, threshold, value="counts", keys=PROFILE, order="y"):
@@ -219,7 +230,7 @@ def order_profile(profiles, spacing, height, margin=10):
 
 def fit_profile(profiles, extra=2):
     """Order shape as tied Gaussians: main, left and right neighbour and ``extra``
-    shifted copies of the main one; grouped job per order cross-section.
+    shifted copies of the main one; many cross-sections at once.
 
     Fixed parameter boxes: widths 10..15 pixels (right neighbour from 0),
     amplitudes up to 200, neighbour distance ``w``..``1.5 w``, shift up to ``w / 5``. One
@@ -227,24 +238,27 @@ def fit_profile(profiles, extra=2):
     """
     import numpy as np
 
-    def model(p, x):
-        centre, shift, distance = p[..., :1], p[..., 1:2], p[..., 2:3]
-        middles = np.concatenate([centre, centre - distance, centre + distance,
-                                  *[centre + shift * (k + 1) for k in range(extra)]], axis=-1)
-        return solver.gaussian(x, p[..., 3::2, None], middles[..., None], p[..., 4::2, None]).sum(axis=-2)
-
-    def fit(pdf):
-        key = pdf[["shot", "frame", "x", "ord"]].iloc[:1]
-        pdf = pdf.sort_values("dy").dropna(subset=["z"])
-        if len(pdf) < 5 + 2 * (3 + extra):
-            return key.assign(centre=np.nan, sigma=np.nan, sse=np.nan, converged=None)
-        x, z, w = pdf["dy"].to_numpy(float), pdf["z"].to_numpy(float), float(-pdf["dy"].min())
-        start = [0.0, 0.0, w] + [100.0, 10.0] * (3 + extra)
-        low = [-w / 2, -w / 5, w] + [1.0, 10.0, 0.0, 10.0, 0.0, 0.1] + [1.0, 10.0] * extra
-        high = [w / 2, w / 5, 1.5 * w] + [200.0, 15.0] * (3 + extra)
-        p, sse, settled = solver.bounded_least_squares(model, start, low, high, x, z)
-        return key.assign(centre=p[0], sigma=p[4], sse=np.float64(sse), converged=settled)
+    def fit(points, batch, rows):
+        x, z = points.padded("dy", rows)[0], points.padded("z", rows)[0]
+        here = np.isfinite(z)
+        w = -np.nanmin(np.where(here, x, np.nan), axis=1, initial=np.inf, where=here)
+        able = here.sum(1) >= 5 + 2 * (3 + extra)
+        w = np.where(able, w, 1.0)
+        x, pair, ones = np.nan_to_num(x), [100.0, 10.0] * (3 + extra), np.ones(len(rows))
+
+        def model(p, k):
+            centre, shift, distance = p[..., :1], p[..., 1:2], p[..., 2:3]
+            middles = np.concatenate([centre, centre - distance, centre + distance,
+                                      *[centre + shift * (i + 1) for i in range(extra)]], axis=-1)
+            return batched.gaussians(x[k], p[..., 3::2], middles, p[..., 4::2])
+
+        # the box of a cross-section depends on its own width
+        start = np.column_stack([0 * w, 0 * w, w, *[v * ones for v in pair]])
+        low = np.column_stack([-w / 2, -w / 5, w, *[v * ones for v in [1.0, 10.0, 0.0, 10.0, 0.0, 0.1] + [1.0, 10.0] * extra]])
+        high = np.column_stack([w / 2, w / 5, 1.5 * w, *[v * ones for v in [200.0, 15.0] * (3 + extra)]])
+        p, sse, settled = batched.least_squares(model, z, here & able[:, None], start, low, high)
+        p[~able], sse[~able] = np.nan, np.nan
+        return p[:, 0], p[:, 4], sse, settled
 
     key = ["shot", "frame", "x", "ord"]
-    return spread(profiles, *key).groupBy(*key).applyInPandas(
-        fit, "shot long, frame long, x long, ord long, centre double, sigma double, sse double, converged boolean")
+    return batched.solved(batched.pack(profiles, key, ["dy", "z"]), fit, ["centre", "sigma", "sse"]).drop("points")

@@ -6,8 +6,7 @@ Every table is keyed by ``cal_id`` and the order number; missing is NULL.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectralake.functions import polyfit, solver
-from spectralake.storage import spread
+from spectralake.functions import batched, polyfit
 
 ORDER = ("cal_id", "ord")
 
@@ -84,32 +83,32 @@ def line_center_seed(windows):
 
 
 def fit_line_centers(windows):
-    """Gaussian centre, width and area of each line window; grouped job per line.
+    """Gaussian centre, width and area of each line window, many windows at once.
 
     One row per window: with too few points, or none above zero, the values and
     ``converged`` are NULL.
     """
     import numpy as np
 
-    names = ["cal_id", "ord", "px0"]
-
-    def fit(pdf):
-        pdf = pdf.sort_values("x")
-        x, y = pdf["x"].to_numpy(float), pdf["level"].to_numpy(float)
-        key = pdf[names[:3]].iloc[:1]
+    def fit(points, batch, rows):
+        x, y = points.padded("x", rows)[0], points.padded("level", rows)[0]
         here = np.isfinite(y)
-        x, y = x[here], y[here]
-        if len(x) < 4 or y.max() <= 0:
-            return key.assign(centre=np.nan, sigma=np.nan, area=np.nan, converged=None)
-        wide = x[-1] - x[0]
-        start = [y.sum(), x[y.argmax()], max(wide / 8, 0.5)]
-        p, _, settled = solver.bounded_least_squares(
-            lambda q, t: solver.gaussian(t, q[..., :1], q[..., 1:2], q[..., 2:3]), start,
-            [0.0, x[0] - wide, 0.05], [np.inf, x[-1] + wide, 4 * wide], x, y)
-        return key.assign(centre=p[1], sigma=p[2], area=p[0], converged=settled)
-
-    return spread(windows, *ORDER, "px0").groupBy(*ORDER, "px0").applyInPandas(
-        fit, "cal_id long, ord long, px0 long, centre double, sigma double, area double, converged boolean")
+        able = (here.sum(1) >= 4) & (np.max(np.where(here, y, 0.0), axis=1, initial=0.0) > 0)
+        first, last = (of(np.where(here, x, bad), axis=1, initial=bad) for of, bad in ((np.min, np.inf), (np.max, -np.inf)))
+        first, last = np.where(able, first, 0.0), np.where(able, last, 1.0)
+        wide, x, level = last - first, np.nan_to_num(x), np.where(here, y, -np.inf)
+        peak = np.take_along_axis(x, level.argmax(1)[:, None], axis=1)[:, 0] if x.shape[1] else first
+
+        def model(p, k):
+            return batched.gaussians(x[k], p[..., :1], p[..., 1:2], p[..., 2:3])
+
+        start = np.column_stack([np.where(here, y, 0.0).sum(1), peak, np.maximum(wide / 8, 0.5)])
+        low, high = np.column_stack([0 * wide, first - wide, 0 * wide + 0.05]), np.column_stack([0 * wide + np.inf, last + wide, 4 * wide])
+        p, _, settled = batched.least_squares(model, y, here & able[:, None], start, low, high)
+        p[~able] = np.nan
+        return p[:, 1], p[:, 2], p[:, 0], settled
+
+    return batched.solved(batched.pack(windows, [*ORDER, "px0"], ["x", "level"]), fit, ["centre", "sigma", "area"]).drop("points")
 
 
 def residuals(line_list, fits, origin=0.0):
