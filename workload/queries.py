@@ -466,6 +466,11 @@ def line_center_fit(spark, d):
     return rounded(wavelength.fit_line_centers(_windows(spark, d)), 3)
 
 
+def line_center_planted(spark, d):
+    """Fits of lamp lines with known centre, width and area, four per calibration set."""
+    return rounded(wavelength.fit_line_centers(v.planted_windows(spark, d)), 3)
+
+
 def calib_residuals(spark, d):
     lines = v.line_list(spark, d)
     return rounded(wavelength.residuals(lines, wavelength.fit_dispersion(lines, origin=32), origin=32), 6)
@@ -626,6 +631,11 @@ def als_baseline(spark, d):
     return rounded(bands.subtract_als(_slices(spark, d)))
 
 
+def als_planted(spark, d):
+    """Baselines of slices without a line: straight, so the curve is the slice itself."""
+    return rounded(bands.subtract_als(v.straight_slices(spark, d)), 2, wl=4).drop("converged")
+
+
 def line_baseline(spark, d):
     return rounded(bands.subtract_line(_slices(spark, d)))
 
@@ -665,6 +675,13 @@ def band_fit(spark, d):
     return rounded(bands.fit_bands(core, bands.line_ratios(v.band_lines_small(spark)), sigma=(0.3, 1.5), sigma_start=0.6), 3)
 
 
+def band_fit_planted(spark, d):
+    """Fits of lines with known centre, width and amplitude, one slice per customer."""
+    ratios = bands.line_ratios(v.band_lines_small(spark))
+    return rounded(bands.fit_bands(v.planted_slices(spark, d, ratios), ratios, sigma=(0.3, 1.5), sigma_start=0.6), 3).withColumn(
+        "frame", F.col("frame").cast("long"))
+
+
 def _samples(spark, d):
     core, ratios, fits = _fits(spark, d)
     return core, bands.fit_samples(save(fits), ratios, core, factor=3)
@@ -755,13 +772,13 @@ REGISTERED = [
     sample_columns, savgol, amplify, poly_baseline, local_peaks, peaks, peak_count_check, peak_overrides,
     order_curve_fit, order_curve_eval, order_spacing, order_profile, profile_fit,
     make_mask, truncate_mask, pattern_image, order_image, order_spectra, order_spectra_stored, pad_orders, short_orders,
-    dispersion_fit, wavelength_map, wavelength_blank, direction, flat_field, line_center_seed, line_center_fit,
+    dispersion_fit, wavelength_map, wavelength_blank, direction, flat_field, line_center_seed, line_center_fit, line_center_planted,
     calib_residuals, order_crossings, order_borders, stitched_spectra,
     irradiance_linear, irradiance_cubic, sphere_net, absolute_factors, calibrated, unit_unpivot, wavelength_order,
     bg_file_subtract,
     quiet_frames, longest_run, bg_subtract, bg_summary,
-    band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, line_baseline, band_intensity, band_intensity_stored,
-    signal_detect, band_fit_grid, band_fit, fit_samples, fit_intensity, combined_intensity, frame_mask, time_axis,
+    band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, als_planted, line_baseline, band_intensity, band_intensity_stored,
+    signal_detect, band_fit_grid, band_fit, band_fit_planted, fit_samples, fit_intensity, combined_intensity, frame_mask, time_axis,
     intensity_pivot, trace, band_groups,
     shot_batch, full_chain, shot_lookup, stream_shots,
 ]

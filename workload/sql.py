@@ -703,3 +703,18 @@ sql("full_chain", "netb_int stacks", f"select shot, frame, {R('trig_delay_s + fr
     f"{R(f'''max(case when band = '{b}' then intensity end)''')} as {b}" for b in FULL_BANDS)
     + " from netb_int join stacks using (shot) where frame >= 1 and n_frames > 1 group by shot, frame, trig_delay_s, cycle_s")
 sql("stream_shots", "sums", "select shot, frame, ord, x, counts from sums")
+
+# What was planted is what a fit must find.
+sql("band_fit_planted", "", f"""
+select c_custkey::bigint as shot, 0::bigint as frame, ['b692', 'b684', 'b668', 'b650', 'b630'][c_custkey % 5 + 1] as band,
+       {R('[692e0, 683.5e0, 667.4e0, 650e0, 630.2e0][c_custkey % 5 + 1] + (c_custkey % 7 - 3) * 0.02e0', 3)} as centre,
+       {R('0.4e0 + 0.05e0 * (c_custkey % 9)', 3)} as sigma, {R('1e0 + c_custkey % 13', 3)} as delta, true as converged from customer""")
+sql("line_center_planted", "", f"""
+select s_suppkey::bigint as cal_id, o::bigint as ord, (20 + (s_suppkey + 3 * o) % 30)::bigint as px0,
+       {R('20e0 + (s_suppkey + 3 * o) % 30 + 0.25e0 * (s_suppkey % 11 - 5)', 3)} as centre,
+       {R('1.2e0 + 0.1e0 * ((s_suppkey + o) % 7)', 3)} as sigma, {R('50e0 + s_suppkey % 30', 3)} as area, true as converged
+from supplier, range(4) t(o)""")
+sql("als_planted", "", f"""
+select s_suppkey::bigint as shot, 0::bigint as frame, 'flat' as band, {R('500e0 + i / 8e0')} as wl, i::bigint as seq,
+       {R('(i - 19.5e0) * (s_suppkey % 4) / 5e0', 2)} as y, {R('3e0 + s_suppkey % 5 + 19.5e0 * (s_suppkey % 4) / 5e0', 2)} as baseline
+from supplier, range(10, 30) t(i)""")

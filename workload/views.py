@@ -213,3 +213,38 @@ def order_peaks(spark, sf_dir):
         (_long("l_linenumber") - 1).alias("ord"), x.alias("x"),
         F.when(F.col("l_partkey") % 10 != 9, 3 + 6.0 * (F.col("l_linenumber") - 1) + F.lit(0.05) * x
                + F.lit(0.001) * x * x + (F.col("l_quantity") % 3) / 2).alias("y"))
+
+
+def _bell(x, area, centre, sigma):
+    return area / (F.lit(2.5066282746310002) * sigma) * F.exp(-(x - centre) * (x - centre) / (2 * sigma * sigma))
+
+
+def planted_slices(spark, sf_dir, ratios):
+    """Slices of one band each, made of its lines with known parameters, one per customer."""
+    k = F.col("shot")
+    lines = ratios.groupBy("band").agg(F.first("wl0").alias("wl0"), F.collect_list(F.struct("offset", "ratio")).alias("lines"))
+    truth = table(spark, sf_dir, "customer").select(
+        _long("c_custkey").alias("shot"), F.lit(0).cast("long").alias("frame"),
+        F.get(F.array(*[F.lit(b) for b in ("b692", "b684", "b668", "b650", "b630")]), (F.col("c_custkey") % 5).cast("int")).alias("band"))
+    rows = truth.join(F.broadcast(lines), "band").withColumn("seq", F.explode(span(66)))
+    wl = F.col("wl0") - 2.5 + F.lit(0.1) * F.col("seq")
+    centre, sigma, delta = F.col("wl0") + (k % 7 - 3) * F.lit(0.02), 0.4 + F.lit(0.05) * (k % 9), 1.0 + k % 13
+    y = F.aggregate("lines", F.lit(0.0), lambda s, l: s + _bell(wl, delta * l["ratio"], centre + l["offset"], sigma))
+    return rows.select("shot", "frame", "band", wl.alias("wl"), "seq", y.alias("y"))
+
+
+def planted_windows(spark, sf_dir):
+    """Windows around lamp lines with known parameters, four per calibration set."""
+    k, o = F.col("cal_id"), F.col("ord")
+    rows = table(spark, sf_dir, "supplier").select(_long("s_suppkey").alias("cal_id"), F.explode(span(4)).alias("ord"))
+    rows = rows.withColumn("px0", 20 + (k + 3 * o) % 30).withColumn("x", F.explode(F.sequence(F.col("px0") - 10, F.col("px0") + 9)))
+    level = _bell(F.col("x").cast("double"), 50.0 + k % 30, F.col("px0") + F.lit(0.25) * (k % 11 - 5), 1.2 + F.lit(0.1) * ((k + o) % 7))
+    return rows.select("cal_id", "ord", "px0", "x", level.alias("level"))
+
+
+def straight_slices(spark, sf_dir):
+    """Slices whose points lie on a line, one per calibration set; the middle is the core."""
+    k, i = _long("s_suppkey"), F.col("seq")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("shot"), F.lit(0).cast("long").alias("frame"), F.lit("flat").alias("band"), F.explode(span(40)).alias("seq"))
+    return rows.select("shot", "frame", "band", (500.0 + i / 8).alias("wl"), "seq", (3.0 + F.col("shot") % 5 + i * (F.col("shot") % 4) / 5).alias("y"),
+                       i.between(10, 29).alias("core"))
