@@ -20,6 +20,7 @@ UNITS = {
 }
 
 PIXEL = ("cal_id", "ord", "x")
+CELL_NM = 8.0       # wavelengths and knot intervals meet in cells of this width
 
 
 def _segments(knots):
@@ -34,13 +35,18 @@ def _segments(knots):
 def _in_segment(points, segments, value, strict):
     """Value at each wavelength from the one knot interval that holds it, upper end included.
 
-    Wavelengths no interval holds are NULL, or stop the job when ``strict``.
+    An interval is unfolded to the cells it touches, so a pixel meets the one or two
+    intervals of its own cell and not all of the lamp. Wavelengths no interval holds are
+    NULL, or stop the job when ``strict``.
     """
-    p, k = points.select(*PIXEL, "wl").alias("p"), segments.alias("k")
+    cell = lambda c: F.floor(c / F.lit(CELL_NM))
+    p = points.select(*PIXEL, "wl", cell(F.col("wl")).alias("cell")).alias("p")
+    k = segments.withColumn("cell", F.explode(F.sequence(cell(F.col("nm")), cell(F.col("nm1"))))).alias("k")
     nm, wl = F.col("nm"), F.col("wl")
     inside = ((wl > nm) & (wl <= F.col("nm1"))) | (F.col("first") & (wl == nm))
     outside = F.raise_error(F.lit("wavelength outside the lamp's irradiance table")).cast("double")
-    return p.join(k, (F.col("p.cal_id") == F.col("k.cal_id")) & inside, "left").select(
+    same = (F.col("p.cal_id") == F.col("k.cal_id")) & (F.col("p.cell") == F.col("k.cell"))
+    return p.join(k, same & inside, "left").select(
         *[F.col(f"p.{c}") for c in PIXEL], "wl",
         F.when(nm.isNotNull(), value).otherwise(outside if strict else F.lit(None)).alias("irradiance"))
 

@@ -207,12 +207,19 @@ def order_profile(profiles, spacing, height, margin=10):
     """Cross-section ``[Y - w, Y + w)`` of each order, scaled to 0..1.
 
     ``w`` is half the order spacing plus ``margin``, shrunk until it fits the
-    image. Profiles are cut by array slicing: a column is one array. An order without
+    image. Profiles are cut by array slicing: a column is one array with a place for
+    every image row, NULL where the row is lost. An order without
     spacing, or at the image's edge, has one row with NULL ``dy`` and ``z``.
     """
-    columns = profiles.groupBy("shot", "frame", "x").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("y", "counts"))),
-                    lambda p: p["counts"]).alias("column"))
+    found = profiles.select("shot", "frame", "x", F.col("y").cast("long").alias("y"), "counts").groupBy("shot", "frame", "x").agg(
+        F.collect_list(F.struct("y", "counts")).alias("found"))
+    # rows that are lost keep their place
+    rows = F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))
+    lost = F.array_except(rows, F.transform("found", lambda p: p["y"]))
+    kind = found.schema["found"].dataType.elementType["counts"].dataType
+    lost = F.transform(lost, lambda y: F.struct(y.alias("y"), F.lit(None).cast(kind).alias("counts")))
+    columns = found.select("shot", "frame", "x", F.transform(
+        F.array_sort(F.concat("found", lost)), lambda p: p["counts"]).alias("column"))
     half = (F.col("smooth_spacing") / 2).cast("long") + margin
     w = F.when(half.isNotNull(), F.least(half, F.col("yc"), F.lit(height).cast("long") - F.col("yc")))
     span = F.col("high") - F.col("low")

@@ -184,6 +184,42 @@ def order_crossings(wavelengths, sphere):
     )
 
 
+def all_crossings(wavelengths, sphere):
+    """Every place where the sphere spectra of neighbouring orders cross: ``(cal_id, ord, next_ord, wl, level)``.
+
+    Both spectra are lines between their points. Between neighbouring points of either of
+    them both are straight, so they cross there once at most, where the sign of their
+    difference changes; a common point is one crossing. Points of a pair of orders are
+    sorted together once and each spectrum is read between its nearest points, as in
+    ``order_crossings``; pairs without a crossing have no row.
+    """
+    points = wavelengths.select(*ORDER, "x", "wl").join(
+        sphere.select(*ORDER, "x", F.col("counts").cast("double").alias("s")), [*ORDER, "x"]
+    ).where("wl is not null and s is not null").select(*ORDER, "wl", "s")
+    present = points.select(*ORDER).distinct()
+    pairs = present.withColumn("next_ord", F.lead("ord").over(W.partitionBy("cal_id").orderBy("ord"))).where("next_ord is not null")
+    none = F.lit(None).cast("double")
+    upper = points.join(pairs, list(ORDER)).select(*ORDER, "next_ord", "wl", F.col("s").alias("s0"), none.alias("s1"))
+    lower = points.withColumnRenamed("ord", "next_ord").join(pairs, ["cal_id", "next_ord"]).select(
+        *ORDER, "next_ord", "wl", none.alias("s0"), F.col("s").alias("s1"))
+    both = upper.unionByName(lower).groupBy(*ORDER, "next_ord", "wl").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    line = W.partitionBy(*ORDER, "next_ord").orderBy("wl")
+    so_far, ahead = line.rowsBetween(W.unboundedPreceding, 0), line.rowsBetween(0, W.unboundedFollowing)
+    for k in (0, 1):
+        here = F.when(F.col(f"s{k}").isNotNull(), F.struct("wl", F.col(f"s{k}").alias("s")))
+        both = both.withColumn(f"p{k}", F.last(here, ignorenulls=True).over(so_far)).withColumn(f"q{k}", F.first(here, ignorenulls=True).over(ahead))
+    for k in (0, 1):
+        p, q = F.col(f"p{k}"), F.col(f"q{k}")
+        between = p["s"] + (q["s"] - p["s"]) / F.nullif(q["wl"] - p["wl"], F.lit(0.0)) * (F.col("wl") - p["wl"])
+        both = both.withColumn(f"v{k}", F.coalesce(f"s{k}", between))
+    d, share = F.col("d"), F.col("d") / (F.col("d") - F.col("d1"))
+    rows = both.where("v0 is not null and v1 is not null").withColumn("d", F.col("v0") - F.col("v1")).select(
+        *ORDER, "next_ord", "wl", "v0", "d", F.lead("wl").over(line).alias("wl1"), F.lead("v0").over(line).alias("w0"), F.lead("d").over(line).alias("d1"))
+    crossed = (d < 0) & (F.col("d1") > 0) | (d > 0) & (F.col("d1") < 0)
+    at = lambda a, b: F.when(d == 0, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * share)
+    return rows.where((d == 0) | crossed).select(*ORDER, "next_ord", at("wl", "wl1").alias("wl"), at("v0", "w0").alias("level"))
+
+
 def order_borders(wavelengths, crossings, directions, width):
     """First and last column of each order, both inclusive.
 

@@ -485,6 +485,10 @@ def order_crossings(spark, d):
     return rounded(_crossings(spark, d)[1])
 
 
+def all_crossings(spark, d):
+    return rounded(wavelength.all_crossings(save(_wl(spark, d)), _image_sums(spark, d)[0]))
+
+
 def order_borders(spark, d):
     wl, crossings = _crossings(spark, d)
     return wavelength.order_borders(wl, crossings, wavelength.direction(wl), v.DIM_W)
@@ -773,7 +777,7 @@ REGISTERED = [
     order_curve_fit, order_curve_eval, order_spacing, order_profile, profile_fit,
     make_mask, truncate_mask, pattern_image, order_image, order_spectra, order_spectra_stored, pad_orders, short_orders,
     dispersion_fit, wavelength_map, wavelength_blank, direction, flat_field, line_center_seed, line_center_fit, line_center_planted,
-    calib_residuals, order_crossings, order_borders, stitched_spectra,
+    calib_residuals, order_crossings, all_crossings, order_borders, stitched_spectra,
     irradiance_linear, irradiance_cubic, sphere_net, absolute_factors, calibrated, unit_unpivot, wavelength_order,
     bg_file_subtract,
     quiet_frames, longest_run, bg_subtract, bg_summary,

@@ -242,6 +242,18 @@ join segs b on b.cal_id = g.cal_id and b.ord = g.next_ord and g.g <= b.wl1 and (
 view("crossings", "pairs gap", """
 select p.cal_id, p.ord, p.next_ord, c.crossing from pairs p
 left join (select cal_id, ord, arg_min(g, {'d': abs(v0 - v1), 'i': i}) as crossing from gap group by all) c using (cal_id, ord)""")
+view("knots_of_pairs", "pairs pts segs", """
+select g.*, case when g.g = a.wl1 then a.s1 when g.g = a.wl then a.s else a.s + (a.s1 - a.s) / (a.wl1 - a.wl) * (g.g - a.wl) end as v0,
+       case when g.g = b.wl1 then b.s1 when g.g = b.wl then b.s else b.s + (b.s1 - b.s) / (b.wl1 - b.wl) * (g.g - b.wl) end as v1
+from (select distinct p.cal_id, p.ord, p.next_ord, t.wl as g from pairs p join pts t on t.cal_id = p.cal_id and t.ord in (p.ord, p.next_ord)) g
+join segs a on a.cal_id = g.cal_id and a.ord = g.ord and g.g <= a.wl1 and (g.g > a.wl or (a.first and g.g = a.wl))
+join segs b on b.cal_id = g.cal_id and b.ord = g.next_ord and g.g <= b.wl1 and (g.g > b.wl or (b.first and g.g = b.wl))""")
+view("every_crossing", "knots_of_pairs", """
+select cal_id, ord, next_ord, case when d = 0 then g else g + (g1 - g) * (d / (d - d1)) end as wl,
+       case when d = 0 then v0 else v0 + (w0 - v0) * (d / (d - d1)) end as level
+from (select *, v0 - v1 as d, lead(g) over k as g1, lead(v0) over k as w0, lead(v0 - v1) over k as d1
+      from knots_of_pairs window k as (partition by cal_id, ord, next_ord order by g))
+where d = 0 or (d < 0 and d1 > 0) or (d > 0 and d1 < 0)""")
 view("borders", "wl turn crossings", """
 select o.cal_id, o.ord, coalesce(s.x_from, 0) as x_from, coalesce(e.x_to, 64) as x_to,
        (s.x_from is not null or o.ord = o.lowest) and (e.x_to is not null or o.ord = o.highest) as trimmed
@@ -619,6 +631,7 @@ select cal_id, ord, px0, {R('x + case when bend < 0 then (a - c) / 2 / bend else
 sql("calib_residuals", "line_list wl_fit", f"""
 select cal_id, ord, count(*) as n, {R('max(abs(miss))', 6)} as worst, {R('sqrt(avg(miss * miss))', 6)} as rms from (
   select l.cal_id, l.ord, l.wl - {poly('l.px')} as miss from line_list l join wl_fit using (cal_id, ord)) group by all""")
+sql("all_crossings", "every_crossing", f"select cal_id, ord, next_ord, {R('wl')} as wl, {R('level')} as level from every_crossing")
 sql("order_crossings", "crossings", f"select cal_id, ord, next_ord, {R('crossing')} as cross from crossings")
 sql("order_borders", "borders", "select cal_id, ord, x_from, x_to, trimmed from borders")
 sql("stitched_spectra", "stitched", f"select shot, frame, ord, x, seq, {R('wl')} as wl, counts from stitched")
