@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spectralake.functions import polyfit
 from spectralake.operators import absolute, background, bands, extraction, frames, packed, pattern, shots, wavelength
 from spectralake.plans import calibration as cal_plan
-from spectralake.plans import products
+from spectralake.plans import products, run
 from spectralake.sinks import text
 from spectralake.sources import bucketed, catalogue, stacks, tables
 from spectralake.sources import shots as source
@@ -494,10 +494,10 @@ def order_borders(spark, d):
     return wavelength.order_borders(wl, crossings, wavelength.direction(wl), v.DIM_W)
 
 
-def _calibration(spark, d, absolute_too=False, used=False):
+def _calibration(spark, d, absolute_too=False, used=False, cubic=False):
     """All calibration sets, or those that the image stacks use."""
     sets = save(v.frame_rows(spark, d).select("cal_id").distinct()) if used else None
-    given = dict(knots=v.knots(spark, d), exposures=v.exposures(spark, d), cubic=False) if absolute_too else {}
+    given = dict(knots=v.knots(spark, d), exposures=v.exposures(spark, d), cubic=cubic) if absolute_too else {}
     return cal_plan.calibrate(v.pattern(spark, d), v.line_list(spark, d), v.images(spark, d),
                               v.DV, v.DIM_W, v.DIM_O, **given, sets=sets)
 
@@ -755,6 +755,36 @@ def full_chain(spark, d):
     return rounded(products.intensity_table(values, stacks, ["b692", "b684", "b668", "b650", "b630"]))
 
 
+FULL_BANDS = ["b692", "b684", "b668", "b650", "b630"]
+
+
+def _run(spark, d, fitted=(), lines=None):
+    """A run over the stored image stacks, stopped after the first shots and taken up twice."""
+    stacks, cal, folder = save(v.stacks(spark, d)), _calibration(spark, d, True, True, True), _folder(spark, "run")
+    rows = bucketed.write_store(v.frame_rows(spark, d), _folder(spark, "images"), order=("y",))
+    first = save(stacks.where("shot < 1"))
+    for some in (first, stacks, stacks):
+        run.process(rows, some, cal, v.bands(spark).select("band", "lo", "hi"), folder, DATE, QUIET_K, 1.0, lines, fitted)
+    return stacks, folder
+
+
+def resumed_run(spark, d):
+    """Time by band table of a resumed run, with the cubic lamp curve."""
+    stacks, folder = _run(spark, d)
+    return rounded(run.table(spark, folder, stacks, FULL_BANDS))
+
+
+def resumed_files(spark, d):
+    """Text files that a resumed run leaves, read back."""
+    return text.read_shot_files(spark, f"{_run(spark, d)[1]}/text")
+
+
+def fitted_run(spark, d):
+    """As ``resumed_run``, with carbon and helium bands fitted where a line stands out."""
+    stacks, folder = _run(spark, d, ["b668", "b650", "b630"], v.band_lines_small(spark))
+    return rounded(run.table(spark, folder, stacks, FULL_BANDS), 2)
+
+
 def stream_shots(spark, d):
     """Order spectra of the stacks, read as a stream of arriving rows."""
     vectors = v.table(spark, d, "embeddings")
@@ -784,6 +814,6 @@ REGISTERED = [
     band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, als_planted, line_baseline, band_intensity, band_intensity_stored,
     signal_detect, band_fit_grid, band_fit, band_fit_planted, fit_samples, fit_intensity, combined_intensity, frame_mask, time_axis,
     intensity_pivot, trace, band_groups,
-    shot_batch, full_chain, shot_lookup, stream_shots,
+    shot_batch, full_chain, resumed_run, resumed_files, fitted_run, shot_lookup, stream_shots,
 ]
 QUERIES = {f.__name__: f for f in REGISTERED}

@@ -281,11 +281,15 @@ from knots window w as (partition by cal_id order by um)""")
 view("irr", "pixels knot_segs", """
 select p.cal_id, p.ord, p.x, p.wl, k.mw + (p.wl - k.nm) / (k.nm1 - k.nm) * (k.mw1 - k.mw) as irradiance
 from pixels p join knot_segs k on k.cal_id = p.cal_id and p.wl > k.nm and p.wl <= k.nm1""")
-view("factors", "irr image_sums exposures", f"""
+# the knots lie on a cubic, which a not-a-knot spline gives back exactly
+view("irr_cubic", "pixels", """
+select cal_id, ord, x, wl, (i + 1) * (i + 1) * (30 - i) / 20 + cal_id % 7 as irradiance from (select *, (wl - 300) / 84e0 as i from pixels)""")
+for end in ("", "_cubic"):
+    view(f"factors{end}", f"irr{end} image_sums exposures", f"""
 select *, f_wmsr * {4 * 3.141592653589793!r}::double as f_wm,
        f_wmsr * wl * 1e-9 / {LIGHT_SPEED * PLANCK!r}::double as f_phmsr
 from (select i.cal_id, i.ord, i.x, i.wl, i.irradiance * e.exposure_s / nullif(m.sphere - m.dark, 0) * 1e-2 as f_wmsr
-      from irr i join image_sums m using (cal_id, ord, x) join exposures e using (cal_id))""")
+      from irr{end} i join image_sums m using (cal_id, ord, x) join exposures e using (cal_id))""")
 view("calibrated", "stitched factors stacks", """
 select s.shot, s.frame, s.ord, s.x, s.seq, s.wl, s.counts, s.counts * f.f_wm / k.exposure_s as wm,
        s.counts * f.f_wmsr / k.exposure_s as wmsr, s.counts * f.f_phmsr / k.exposure_s as phmsr
@@ -314,9 +318,10 @@ select s.shot, s.cal_id, s.frame, s.ord, s.x, s.seq, s.wl,
        s.counts - avg(case when s.frame between r.run_first and r.run_last then s.counts end)
          over (partition by s.shot, s.ord, s.x) as counts
 from stitched s left join st_run r using (shot)""")
-view("net_wm", "net factors stacks", """
+for end in ("", "_cubic"):
+    view(f"net_wm{end}", f"net factors{end} stacks", f"""
 select n.shot, n.frame, n.seq, n.wl, n.counts * f.f_wm / k.exposure_s as wm
-from net n join factors f on f.cal_id = n.cal_id and f.ord = n.ord and f.x = n.x join stacks k on k.shot = n.shot""")
+from net n join factors{end} f on f.cal_id = n.cal_id and f.ord = n.ord and f.x = n.x join stacks k on k.shot = n.shot""")
 
 
 def slices(name, source, pad):
@@ -345,6 +350,7 @@ def integral(source):
 
 slices("cal", "calibrated", 1.0)
 slices("netb", "net_wm", 1.0)
+slices("netc", "net_wm_cubic", 1.0)
 view("detected", "cal_core", """
 select *, not (top < sd + mean + 2e0 and top < 40e0) as signal from (
   select shot, frame, band, max(y) as top, avg(y) as mean, stddev_pop(y) as sd from cal_core group by all)""")
@@ -637,10 +643,7 @@ sql("order_borders", "borders", "select cal_id, ord, x_from, x_to, trimmed from
 sql("stitched_spectra", "stitched", f"select shot, frame, ord, x, seq, {R('wl')} as wl, counts from stitched")
 
 sql("irradiance_linear", "irr", f"select cal_id, ord, x, {R('wl')} as wl, {R('irradiance')} as irradiance from irr")
-# the knots lie on a cubic, which a not-a-knot spline gives back exactly
-sql("irradiance_cubic", "pixels", f"""
-select cal_id, ord, x, {R('wl')} as wl, {R('(i + 1) * (i + 1) * (30 - i) / 20 + cal_id % 7')} as irradiance
-from (select *, (wl - 300) / 84e0 as i from pixels)""")
+sql("irradiance_cubic", "irr_cubic", f"select cal_id, ord, x, {R('wl')} as wl, {R('irradiance')} as irradiance from irr_cubic")
 sql("sphere_net", "image_sums", "select cal_id, ord, x, sphere - dark as net from image_sums")
 sql("absolute_factors", "factors", f"""
 select cal_id, ord, x, {R('wl')} as wl, {R('f_wm', 6)} as f_wm, {R('f_wmsr', 6)} as f_wmsr, {R('f_phmsr / 1e15')} as f_phmsr_e15
@@ -712,9 +715,25 @@ where g.fit group by all""")
 sql("shot_batch", "shots", "select shot, path from shots where o_orderstatus <> 'F' and shot between 101000 and 109000")
 sql("shot_lookup", "shots", "select shot, path, n_frames from shots where shot = 100042")
 FULL_BANDS = ["b692", "b684", "b668", "b650", "b630"]
-sql("full_chain", "netb_int stacks", f"select shot, frame, {R('trig_delay_s + frame * cycle_s')} as time_s, " + ", ".join(
-    f"{R(f'''max(case when band = '{b}' then intensity end)''')} as {b}" for b in FULL_BANDS)
-    + " from netb_int join stacks using (shot) where frame >= 1 and n_frames > 1 group by shot, frame, trig_delay_s, cycle_s")
+for name, source in (("full_chain", "netb_int"), ("resumed_run", "netc_int")):
+    sql(name, f"{source} stacks", f"select shot, frame, {R('trig_delay_s + frame * cycle_s')} as time_s, " + ", ".join(
+        f"{R(f'''max(case when band = '{b}' then intensity end)''')} as {b}" for b in FULL_BANDS)
+        + f" from {source} join stacks using (shot) where frame >= 1 and n_frames > 1 group by shot, frame, trig_delay_s, cycle_s")
+view("run_table", "netc_int stacks", "select shot, frame, trig_delay_s + frame * cycle_s as time_s, " + ", ".join(
+    f"max(case when band = '{b}' then intensity end) as {b}" for b in FULL_BANDS)
+    + " from netc_int join stacks using (shot) where frame >= 1 and n_frames > 1 group by shot, frame, trig_delay_s, cycle_s")
+sql("resumed_files", "run_table", """
+select shot, row_number() over (partition by shot order by part, line) - 1 as number, text from (
+select shot, 1 as part, frame as line, printf('%.5f', time_s) || ', ' || """ + " || ', ' || ".join(
+    f"case when {b} is null then 'nan' else printf('%.6e', {b}) end" for b in sorted(FULL_BANDS)) + """ as text from run_table
+union all
+select shot, 0, unnest(range(0, len(h))), unnest(h) from (select shot, """ + header([
+    lit("# [Parameters]"), lit("# Name = 'lines'"), "'# ShotNo = ' || shot", lit(f"# Date = '{DATE}'"), lit("#"),
+    lit("# DimNo = 1"), lit("# DimName = 'Time'"), "'# DimSize = ' || n", lit("# DimUnit = 's'"), lit("#"),
+    lit("# ValNo = 5"), lit("# ValName = " + ",".join(f"'{b}'" for b in sorted(FULL_BANDS))),
+    lit("# ValUnit = " + ",".join(["'W/m^2'"] * 5)), lit("#"), lit("# [Comments]"),
+    lit("# time = 2.75 + frameNo*0.25 (s)"), lit("#"), lit("# [Data]")]) + """ as h
+  from (select shot, count(*) as n from run_table group by shot)))""")
 sql("stream_shots", "sums", "select shot, frame, ord, x, counts from sums")
 
 # What was planted is what a fit must find.
