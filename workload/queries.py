@@ -304,6 +304,11 @@ def _numbered(spark, d):
     return pattern.number_peaks(_peaks(spark, d))
 
 
+def _few_peaks(spark, d):
+    """The numbered peaks; one sampled column keeps a single one."""
+    return _numbered(spark, d).where("x <> 60 or ord = 0")
+
+
 def sample_columns(spark, d):
     return _profiles(spark, d)
 
@@ -352,16 +357,16 @@ def order_curve_eval(spark, d):
 
 
 def order_spacing(spark, d):
-    return rounded(pattern.order_spacing(_numbered(spark, d)))
+    return rounded(pattern.order_spacing(_few_peaks(spark, d)))
 
 
 def order_profile(spark, d):
-    spacing = pattern.order_spacing(_numbered(spark, d))
+    spacing = pattern.order_spacing(_few_peaks(spark, d))
     return rounded(pattern.order_profile(_profiles(spark, d), spacing, v.DIM_O, margin=2))
 
 
 def profile_fit(spark, d):
-    spacing = pattern.order_spacing(_numbered(spark, d))
+    spacing = pattern.order_spacing(_few_peaks(spark, d))
     return rounded(pattern.fit_profile(pattern.order_profile(_profiles(spark, d), spacing, v.DIM_O, margin=10)), 3)
 
 
@@ -406,7 +411,8 @@ def order_spectra_stored(spark, d):
 
 
 def pad_orders(spark, d):
-    return extraction.pad_orders(_sums(spark, d), v.DIM_W, v.frame_rows(spark, d), v.pattern(spark, d))
+    """All orders of the pattern, one of which lies off the sensor."""
+    return extraction.pad_orders(_sums(spark, d), v.DIM_W, v.frame_rows(spark, d), v.pattern(spark, d, 5))
 
 
 def short_orders(spark, d):

@@ -439,12 +439,14 @@ view("peaks", "greedy", """
 select shot, frame, x, p.y as y, p.h as height from (select shot, frame, x, unnest(kept) as p from greedy where len(rest) = 0)""")
 view("numbered", "peaks", """
 select *, row_number() over (partition by shot, frame, x order by y) - 1 as ord from peaks""")
-view("spacing0", "numbered", """
+# one sampled column keeps a single peak
+view("few_peaks", "numbered", "select * from numbered where x <> 60 or ord = 0")
+view("spacing0", "few_peaks", """
 select *, ord - (m - 1) / 2 as t from (
   select shot, frame, x, ord, y, count(*) over (partition by shot, frame, x)::double as m,
          (case when lag(y) over w is null then lead(y) over w - y when lead(y) over w is null then y - lag(y) over w
               else (lead(y) over w - lag(y) over w) / 2e0 end)::double as spacing
-  from numbered window w as (partition by shot, frame, x order by ord)) where m > 1""")
+  from few_peaks window w as (partition by shot, frame, x order by ord))""")
 _beta = lambda k: f"({float(k * k)!r}::double * (m * m - {float(k * k)!r}::double) / {float(4 * (4 * k * k - 1))!r}::double)"
 view("spacing", "spacing0", """
 select shot, frame, x, ord, y, spacing, """ + " + ".join(
@@ -602,12 +604,15 @@ select shot, frame, ord, x, case when v between 0 and 43 then trunc(v)::bigint e
 from (select shot, frame, ord, x.x, {poly('x.x')} as v from curve, range(0, 64) x(x))""")
 sql("order_spacing", "spacing", f"""
 select shot, frame, x, ord, y, {R('spacing')} as spacing, {R('smooth_spacing')} as smooth_spacing from spacing""")
-sql("order_profile", "spacing profiles", f"""
+view("cuts", "spacing", """
+select shot, frame, x, ord, y as yc, case when smooth_spacing is not null then least(trunc(smooth_spacing / 2)::bigint + 2, y, 25 - y) end as w
+from spacing""")
+sql("order_profile", "cuts profiles", f"""
 select shot, frame, x, ord, y - yc as dy,
        {R("(counts - min(counts) over k)::double / nullif(max(counts) over k - min(counts) over k, 0)")} as z
-from (select s.shot, s.frame, s.x, s.ord, s.y as yc, least(trunc(s.smooth_spacing / 2)::bigint + 2, s.y, 25 - s.y) as w, p.y, p.counts
-      from spacing s join profiles p using (shot, frame, x))
-where w > 0 and y >= yc - w and y < yc + w window k as (partition by shot, frame, x, ord)""")
+from cuts join profiles using (shot, frame, x)
+where w > 0 and y >= yc - w and y < yc + w window k as (partition by shot, frame, x, ord)
+union all select shot, frame, x, ord, null, null from cuts where w is null or w <= 0""")
 
 sql("make_mask", "pattern", "select cal_id, ord, x, d.y + yc - 2 as y from pattern, range(0, 5) d(y)")
 sql("truncate_mask", "mask", "select cal_id, ord, x, y from mask")
@@ -616,8 +621,10 @@ sql("order_image", "frames mask", """
 select f.shot, f.frame, m.ord, f.y - m.yc + 2 as dy, m.x, f.counts from frames f join mask m using (cal_id, y, x)""")
 sql("order_spectra", "sums", "select shot, frame, ord, x, counts from sums")
 SQL["order_spectra_stored"] = SQL["order_spectra"]
-sql("pad_orders", "sums", """
-select o.shot, o.frame, o.ord, x.x, s.counts from (select distinct shot, frame, ord from sums) o cross join range(0, 64) x(x)
+sql("pad_orders", "sums frames pattern", """
+select o.shot, o.frame, o.ord, x.x, s.counts
+from (select f.shot, f.frame, p.ord from (select distinct shot, frame, cal_id from frames) f
+      join (select distinct cal_id, ord from pattern union select cal_id, 4 from pattern) p using (cal_id)) o cross join range(0, 64) x(x)
 left join sums s on s.shot = o.shot and s.frame = o.frame and s.ord = o.ord and s.x = x.x""")
 sql("short_orders", "short", "select cal_id, ord, x_missing, lowest from short")
 

@@ -66,11 +66,11 @@ def shots(spark, sf_dir):
         F.when(k % 11 == 10, 100).when(k % 5 == 4, 2048).otherwise(1024).cast("long").alias("dim_o"))
 
 
-def pattern(spark, sf_dir):
-    """Four curved orders per calibration set; a set is one supplier row."""
+def pattern(spark, sf_dir, orders=4):
+    """Four curved orders per calibration set; a set is one supplier row. A fifth one would lie off the sensor."""
     s = table(spark, sf_dir, "supplier").select(_long("s_suppkey").alias("cal_id"))
     return (
-        s.select("cal_id", F.explode(span(4)).alias("ord"))
+        s.select("cal_id", F.explode(span(orders)).alias("ord"))
         .select("cal_id", "ord", F.explode(span(DIM_W)).alias("x"))
         .withColumn("yc", 3 + 6 * F.col("ord") + F.expr("x div 24") + F.col("cal_id") % 2)
     )
