@@ -52,15 +52,15 @@ def smooth_profile(profiles, window, value="counts", keys=PROFILE, order="y"):
     )
 
 
-def amplify(profiles, kind, strength, length=None, value="smooth", order="y"):
-    """Raise weak orders: ``exp(a y)``, or ``1 + (a (y - length // 2.5))^2``."""
+def amplify(profiles, kind, strength, length=None, value="smooth", order="y", name="amplified"):
+    """Raise weak orders: ``exp(a y)``, or ``1 + (a (y - length // 2.5))^2``, as column ``name``."""
     pos = F.col(order).cast("double")
     if kind == "exp":
         gain = F.exp(F.lit(float(strength)) * pos)
     else:
         arm = F.lit(float(strength)) * (pos - F.lit(float(length // 2.5)))
         gain = 1 + arm * arm
-    return profiles.withColumn("amplified", F.col(value) * gain)
+    return profiles.withColumn(name, F.col(value) * gain)
 
 
 def poly_baseline(profiles, degree=6, value="amplified", keys=PROFILE, order="y"):

@@ -4,6 +4,7 @@ Doubles are rounded so that both engines agree; each computed column is named as
 in ``sql.py``.
 """
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -275,6 +276,10 @@ def column_slice(spark, d):
     return frames.column_slice(v.frame_rows(spark, d), [32])
 
 
+def row_slice(spark, d):
+    return frames.row_slice(v.frames(spark, d), 12)
+
+
 # --- C: pattern discovery ---------------------------------------------------
 
 COLUMNS = pattern.centred_columns(v.DIM_W, 7, 4)
@@ -318,10 +323,8 @@ def savgol(spark, d):
 
 
 def amplify(spark, d):
-    curved = pattern.amplify(_smooth(spark, d), "arch", 1e-3, length=v.DIM_O).select(
-        "shot", "frame", "x", "y", r("amplified", 8).alias("arch"))
-    return _amplified(spark, d).select("shot", "frame", "x", "y", r("amplified").alias("exp")).join(
-        curved, ["shot", "frame", "x", "y"])
+    both = pattern.amplify(_amplified(spark, d), "arch", 1e-3, length=v.DIM_O, name="arch")
+    return both.select("shot", "frame", "x", "y", r("amplified").alias("exp"), r("arch", 8).alias("arch"))
 
 
 def poly_baseline(spark, d):
@@ -558,6 +561,14 @@ def unit_unpivot(spark, d):
     return rounded(absolute.unpivot_units(s.select("shot", "frame", "ord", "x", "counts", "wm", "wmsr", "phmsr")), 2)
 
 
+def select_unit(spark, d):
+    """Spectra in the unit of their shot, with its label."""
+    unit = {0: "counts", 1: "wm", 2: "wmsr"}
+    s = save(_calibrated(spark, d).select("shot", "frame", "ord", "x", "counts", "wm", "wmsr"))
+    parts = [absolute.select_unit(s.where(F.col("shot") % 3 == k), u) for k, u in unit.items()]
+    return rounded(functools.reduce(lambda a, b: a.unionByName(b), parts), 3)
+
+
 def wavelength_order(spark, d):
     return packed.unpacked(_stitched(spark, d), ["counts"], ("x", "pos")).drop("counts")
 
@@ -808,13 +819,13 @@ REGISTERED = [
     shot_index, unnumbered_files, file_index, frame_store, stack_scan, stack_range, spectra_store, shot_range, scan_frames, shots_meta, line_list, irradiance, pattern_scan, export_pattern,
     export_spectra, export_intensities, spectra_files, intensity_files, pending_shots, band_lines, cal_registry,
     transpose, crop, unbin, mean_frame, frame_diff, dark_subtract, contrast, extrema, subtract_min, blank_outside,
-    dim_mismatch, assign_cal, column_slice,
+    dim_mismatch, assign_cal, column_slice, row_slice,
     sample_columns, savgol, amplify, poly_baseline, local_peaks, peaks, peak_count_check, peak_overrides,
     order_curve_fit, order_curve_eval, order_spacing, order_profile, profile_fit,
     make_mask, truncate_mask, pattern_image, order_image, order_spectra, order_spectra_stored, pad_orders, short_orders,
     dispersion_fit, wavelength_map, wavelength_blank, direction, flat_field, line_center_seed, line_center_fit, line_center_planted,
     calib_residuals, order_crossings, all_crossings, order_borders, stitched_spectra,
-    irradiance_linear, irradiance_cubic, sphere_net, absolute_factors, calibrated, unit_unpivot, wavelength_order,
+    irradiance_linear, irradiance_cubic, sphere_net, absolute_factors, calibrated, unit_unpivot, select_unit, wavelength_order,
     bg_file_subtract,
     quiet_frames, longest_run, bg_subtract, bg_summary,
     band_bounds, stat_weights, avg_ak, band_report, band_slice, als_baseline, als_planted, line_baseline, band_intensity, band_intensity_stored,

@@ -579,6 +579,7 @@ from shots where shot % 13 = 0""")
 sql("assign_cal", "shots", """
 select shot, dim_w, dim_o, (case when dim_w = 1024 and dim_o = 1024 then 1 when dim_w = 2048 and dim_o = 2048 then 2 end)::bigint as cal_id
 from shots""")
+sql("row_slice", "frames", "select shot, frame, x, counts from frames where y = 12")
 sql("column_slice", "frames", "select shot, frame, x, y, counts from frames where x = 32")
 
 sql("sample_columns", "profiles", "select shot, frame, x, y, counts from profiles")
@@ -664,6 +665,10 @@ select shot, frame, ord, x, unit, {R('value', 2)} as value,
 from (select shot, frame, ord, x, unnest(['counts', 'wm', 'wmsr', 'phmsr']) as unit,
              unnest([counts::double, wm, wmsr, phmsr / 1e15]) as value from calibrated)""")
 sql("wavelength_order", "stitched", "select shot, frame, ord, x, pos from stitched")
+sql("select_unit", "calibrated", f"""
+select shot, frame, ord, x, ['counts', 'wm', 'wmsr'][shot % 3 + 1] as unit,
+       ['{UNITS['counts']}', '{UNITS['wm']}', '{UNITS['wmsr']}'][shot % 3 + 1] as label,
+       {R('case shot % 3 when 0 then counts::double when 1 then wm else wmsr end', 3)} as value from calibrated""")
 sql("bg_file_subtract", "calibrated", f"""
 select a.shot, a.frame, a.ord, a.x, {R('a.wm - b.wm')} as wm from calibrated a
 left join calibrated b on b.shot + 1 = a.shot and b.frame = 0 and b.ord = a.ord and b.x = a.x""")
