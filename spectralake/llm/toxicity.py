@@ -5,7 +5,8 @@ text (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased, each distinct
 hashed) and over the probabilities of all categories before it. In training those come
 from models that did not see the row (out of fold); in use from the models of all rows.
 
-The models are fitted on at most ``TRAIN_ROWS`` labelled rows, those of smallest id hash;
+The models are fitted on at most ``TRAIN_ROWS`` labelled ids, those of smallest id hash, two
+rows an id, and of a text longer than ``TRAIN_RUN`` characters a run anywhere in it;
 words in fewer than ``LEAST_DOCS`` of them, or about as common among positives as at large, have
 no weight. Scoring covers every row.
 
@@ -20,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spectralake.llm import text as T
+from spectralake.llm.tables import sampled
+from spectralake.storage import save
 
 TRAIN_ROWS = 6000
+TRAIN_RUN = 1 << 13     # characters of a text
 LEAST_DOCS = 8
 LEAST_Z = 4.5           # deviations from chance that give a word a weight
 FOLDS = 3
@@ -132,12 +136,12 @@ def train(examples, folds=FOLDS):
 
 
 def training_rows(docs, labels, chain=CHAIN, most=TRAIN_ROWS):
-    """(text, fold, labels) of at most ``most`` labelled rows with a text."""
+    """(text, fold, labels) of at most ``most`` labelled ids with a text; rows of an id and lengths are bounded by ``sampled``."""
     targets = [F.max(F.expr(e)).cast("double").alias(f"y{i}") for i, (_, e) in enumerate(chain)]
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(*targets).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn(
-        "fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 16)))
-    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, 2 * most)
+    known = save(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 16))))
+    rows = sampled(docs, known.select("doc_id"), characters=TRAIN_RUN).join(F.broadcast(known), "doc_id")
+    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return [(r["text"], r["fold"], [r[f"y{i}"] for i in range(len(chain))]) for r in found.to_pylist()]
 
 

@@ -220,6 +220,14 @@ def test_toxicity_on_rows_not_seen(spark):
     assert ((rows.p_low_quality >= 0.5) == (rows.quality == 0)).mean() > 0.97
 
 
+def test_toxicity_training_rows_are_bounded(spark):
+    rows = [(1, f"copy {i} " + "word " * 5000) for i in range(50)] + [(2, "short one"), (None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    texts = [t for t, _, _ in toxicity.training_rows(table, labels)]
+    assert len(texts) == 3 and max(map(len, texts)) <= toxicity.TRAIN_RUN and "short one" in texts
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (5, None, 0), (6, 0, None), (6, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.report(odd, labels).collect()
