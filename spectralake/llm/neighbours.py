@@ -8,13 +8,17 @@ scores are computed from the original vectors.
 
 ``reach`` is not a guess: for a bounded sample of queries the true neighbours are found by
 one pass over all vectors, their places on the curves are looked up, and the smallest
-reach that covers the share ``RECALL`` of them is taken. On clustered vectors that is a
+reach that covers the share ``RECALL`` of them is taken, raised by two standard errors of
+such a share among so many queries: few queries tell little, so the share of a small
+sample is 1. On clustered vectors that is a
 small part of a curve; on vectors without any structure no ordering helps, and reach
 becomes a large part of it (the search stays whole, and its work grows accordingly).
 
 Equal vectors are one class: only the class is placed and compared, its ``k`` + 1 smallest
 ids stand for it. A curve is cut in blocks of ``BLOCK`` places; a task holds one block and
-streams the queries that reach it.
+streams the queries that reach it, each of which is held against the places within its
+reach only. Finds are merged in two steps, ``MERGES`` lists a query in the second, so no
+list of finds grows with the table.
 
 Vectors that are null, zero, of another length than most, or hold nulls or numbers that
 are not finite take no part, nor do rows without an id. Rows that repeat an id with the
@@ -34,6 +38,7 @@ K = 20
 CURVES = 4
 AXES, BITS = 8, 7       # of a curve's grid
 BLOCK = 4096
+MERGES = 64
 SAMPLE = 128            # queries whose true neighbours set the reach
 RECALL = 0.94
 
@@ -137,15 +142,20 @@ def placed(points, dims, curves=CURVES):
         "curve", (F.col("start") + F.col("local")).alias("place"), "class_id", "vector")
 
 
-def _best(queries, vectors, ids, k):
-    """Score and id of the best ``k`` + 1 of ``vectors`` for each query; equal pairs score equally everywhere."""
+def _best(queries, vectors, ids, k, within=None):
+    """Score and id of the best ``k`` + 1 of ``vectors`` for each query, of those that ``within`` (query, vector) allows.
+
+    Equal pairs score equally everywhere.
+    """
     rough = queries @ vectors.T
+    if within is not None:
+        rough[~within] = -np.inf
     most = min(k + 1, len(ids))
     last = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
     # all that rounding could put among the best, so ties at the cut are settled by id
     error = 8 * vectors.shape[1] * np.finfo(float).eps * np.sqrt((queries ** 2).sum(1) * (vectors ** 2).sum(1).max())
     for q, near, least in zip(queries, rough, last - error):
-        row = np.flatnonzero(~(near < least))
+        row = np.flatnonzero(~(near < least) & (near > -np.inf))
         score = (vectors[row] * q).sum(1)
         order = np.lexsort((ids[row], -score))[:k + 1]
         yield score[order], ids[row][order]
@@ -170,15 +180,17 @@ def exact(points, queries, k=K):
 
 
 def _merged(found, k):
-    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best"))))
-    return found.groupBy("query").agg(F.slice(best, 1, k + 1).alias("best"))
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best")
+    if "salt" in found.columns:
+        found = found.groupBy("query", "salt").agg(best)
+    return found.groupBy("query").agg(best)
 
 
 def reach_of(places, points, queries, total, k=K, recall=RECALL, sample=SAMPLE):
-    """The smallest reach that covers the wanted share of the sample's true neighbours."""
+    """The smallest reach that covers the wanted share of the sample's true neighbours; ``k`` places at least."""
     picked = points.join(queries.orderBy(F.xxhash64("class_id"), "class_id").limit(sample), "class_id").select("class_id", "vector").collect()
     picked = [(r["class_id"], r["vector"]) for r in picked]
-    if not picked or total <= BLOCK:
+    if not picked:
         return total
     truth = {r["query"]: [b["class_id"] for b in r["best"] if b["class_id"] != r["query"]][:k] for r in exact(points, picked, k).collect()}
     wanted = sorted({c for q, near in truth.items() for c in (q, *near)})
@@ -187,7 +199,8 @@ def reach_of(places, points, queries, total, k=K, recall=RECALL, sample=SAMPLE):
     for r in places.select("curve", "place", "class_id").join(F.broadcast(ids), "class_id").collect():
         at.setdefault(r["class_id"], {})[r["curve"]] = r["place"]
     gaps = np.array([min(abs(at[q][c] - at[n][c]) for c in at[q]) for q, near in truth.items() for n in near])
-    return int(min(total, np.quantile(gaps, recall, method="higher") + 1))
+    share = min(1.0, recall + 2 * np.sqrt(recall * (1 - recall) / len(truth)))
+    return int(min(total, max(k, np.quantile(gaps, share, method="higher")) + 1)) if len(gaps) else total
 
 
 def search(rows, queries, k=K, curves=CURVES, recall=RECALL):
@@ -209,15 +222,13 @@ def search(rows, queries, k=K, curves=CURVES, recall=RECALL):
         return empty
     places = placed(points, first["n"], curves)
     reach = reach_of(places, points, wanted, total, k, recall)
-    held = places.select("curve", F.floor(F.col("place") / BLOCK).alias("block"), F.lit(0).alias("kind"), "class_id", "vector")
+    held = places.select("curve", F.floor(F.col("place") / BLOCK).alias("block"), F.lit(0).alias("kind"), "place", "class_id", "vector")
     low, high = F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + reach, F.lit(total - 1))
     moving = places.join(bounded(wanted, 64), "class_id", "left_semi").select(
-        "curve", F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("block"), F.lit(1).alias("kind"), "class_id", "vector")
-    if reach >= total:  # every curve would hold every pair: one is enough
-        held, moving = held.where("curve = 0"), moving.where("curve = 0")
+        "curve", F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("block"), F.lit(1).alias("kind"), "place", "class_id", "vector")
 
     def run(batches):
-        here, ids, vectors, ready = None, [], [], None
+        here, ids, vectors, at_places, ready = None, [], [], [], None
         for batch in batches:
             curve, block, kind = (batch.column(c).to_numpy() for c in ("curve", "block", "kind"))
             edge = np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
@@ -226,20 +237,23 @@ def search(rows, queries, k=K, curves=CURVES, recall=RECALL):
                     continue
                 part, key = batch.slice(a, b - a), (curve[a], block[a])
                 if key != here:
-                    here, ids, vectors, ready = key, [], [], None
+                    here, ids, vectors, at_places, ready = key, [], [], [], None
                 if kind[a] == 0:
                     ids.append(part.column("class_id").to_numpy())
                     vectors.append(_matrix(part.column("vector")))
+                    at_places.append(part.column("place").to_numpy())
                 elif ids:
-                    ready = ready or (np.concatenate(vectors), np.concatenate(ids))
+                    ready = ready or (np.concatenate(vectors), np.concatenate(ids), np.concatenate(at_places))
                     for at in range(0, len(part), 512):
                         some = part.slice(at, 512)
-                        found = _best(_matrix(some.column("vector")), *ready, k)
-                        yield pa.RecordBatch.from_arrays([some.column("class_id"), _pairs(found)], ["query", "best"])
+                        within = np.abs(some.column("place").to_numpy()[:, None] - ready[2]) <= reach
+                        found = _best(_matrix(some.column("vector")), *ready[:2], k, within)
+                        salt = pa.array(np.full(len(some), block[a] % MERGES, np.int32))
+                        yield pa.RecordBatch.from_arrays([some.column("class_id"), salt, _pairs(found)], ["query", "salt", "best"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = held.union(moving).repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "kind", "class_id")
-    found = _merged(groups.mapInArrow(run, "query long, best array<struct<less:double,class_id:bigint>>"), k)
+    found = _merged(groups.mapInArrow(run, "query long, salt int, best array<struct<less:double,class_id:bigint>>"), k)
     members = points.select("class_id", "members")
     listed = found.select("query", F.explode("best").alias("b")).select("query", "b.less", F.col("b.class_id").alias("class_id"))
     listed = listed.join(bounded(members, 512), "class_id").groupBy("query").agg(F.flatten(F.collect_list(F.transform(
