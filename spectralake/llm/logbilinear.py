@@ -49,6 +49,7 @@ SIZE = 32
 NOISE = 64              # noise classes of a batch
 BATCH = 1024
 RATE = 0.1
+ROWS = 64               # of a matrix product; larger ones would start threads of their own within a task
 POOL = 1 << 18          # tokens that are shuffled among each other
 ROUNDS = (1, 4, 16)     # of the 16 equal lots of training documents, up to which one each round goes
 SLICES = 16             # of the weights
@@ -135,18 +136,29 @@ class Weights:
         return other
 
 
-def _summed(ids, rows, n):
-    """Sums of ``rows`` by ``ids``, (n, width)."""
-    order = np.argsort(ids, kind="stable")
-    names = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[names[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+def _blocks(a):
+    """``a`` in blocks of ``ROWS`` rows, the last one filled up with zeros."""
+    n = -len(a) % ROWS
+    return (np.concatenate([a, np.zeros((n, a.shape[1]), a.dtype)]) if n else a).reshape(-1, ROWS, a.shape[1])
+
+
+def _times(a, b):
+    """``a @ b`` by blocks."""
+    return (_blocks(a) @ b).reshape(-1, b.shape[1])[:len(a)]
+
+
+def _across(a, b):
+    """``a.T @ b`` by blocks."""
+    return (_blocks(a).transpose(0, 2, 1) @ _blocks(b)).sum(0)
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """The logistic function, in the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Learner:
@@ -154,7 +166,8 @@ class Learner:
 
     def __init__(self, weights, share, seed):
         self.weights = weights.filled(weights.flat())
-        self.share, self.draw = share, np.random.default_rng(seed)
+        self.draw = np.random.default_rng(seed)
+        self.upto = np.cumsum(share) / share.sum()
         self.offset = np.log(NOISE * share).astype(np.float32)
         self.seen = [np.full(p.shape, 1e-3, np.float32) for p in self.weights.parts]
         self.tokens, self.pool, self.pooled = 0, [], 0
@@ -179,23 +192,32 @@ class Learner:
 
     def step(self, before, ids):
         vectors, classes, matrices, bias = self.weights.parts
-        n = len(bias)
-        noise = self.draw.choice(n, NOISE, p=self.share)
+        noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE), "right"), len(bias) - 1)
         context = [vectors[before[:, j]] for j in range(CONTEXT)]
-        x = sum(c @ m for c, m in zip(context, matrices))
-        own, false = classes[ids], classes[noise]
-        right = (_sigmoid((x * own).sum(1) + bias[ids] - self.offset[ids]) - 1).astype(np.float32)
-        wrong = _sigmoid(x @ false.T + (bias - self.offset)[noise]).astype(np.float32)
-        dx = right[:, None] * own + wrong @ false
-        by_class = _summed(ids, right[:, None] * x, n)
-        np.add.at(by_class, noise, wrong.T @ x)
-        by_vector = sum(_summed(before[:, j], dx @ matrices[j].T, n) for j in range(CONTEXT))
-        by_matrix = np.stack([c.T @ dx for c in context])
-        by_bias = np.bincount(ids, right, n) + np.bincount(noise, wrong.sum(0), n)
-        for part, seen, slope in zip(self.weights.parts, self.seen, (by_vector, by_class, by_matrix, by_bias)):
-            slope = (slope / len(ids)).astype(np.float32)
-            seen += slope ** 2
-            part -= RATE * slope / np.sqrt(seen)
+        x = sum(_times(c, m) for c, m in zip(context, matrices))
+        own, false, lead = classes[ids], classes[noise], bias - self.offset
+        right = (_sigmoid(np.einsum("ij,ij->i", x, own) + lead[ids]) - 1) / len(ids)
+        wrong = _sigmoid(_times(x, false.T) + lead[noise]) / len(ids)
+        dx = _times(wrong, false)
+        dx += own * right[:, None]
+        slopes = [_across(c, dx) for c in context]
+        before_slope = np.concatenate([_times(dx, m.T) for m in matrices])
+        self.change(1, np.concatenate([ids, noise]), np.concatenate([x * right[:, None], _across(wrong, x)]))
+        self.change(0, before.T.ravel(), before_slope)
+        by_bias = np.bincount(ids, right, len(bias)) + np.bincount(noise, wrong.sum(0), len(bias))
+        for part, slope in ((2, np.stack(slopes)), (3, by_bias.astype(np.float32))):
+            self.seen[part] += slope ** 2
+            self.weights.parts[part] -= RATE * slope / np.sqrt(self.seen[part])
+
+    def change(self, part, ids, slopes):
+        """Step the rows ``ids`` of a part, whose slopes are added up by row first."""
+        order = np.argsort(ids, kind="stable")
+        names = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        names, slope = names[first], np.add.reduceat(slopes[order], first, axis=0)
+        seen = self.seen[part][names] + slope * slope
+        self.seen[part][names] = seen
+        self.weights.parts[part][names] -= RATE * slope / np.sqrt(seen)
 
 
 def _contexts(ids, end):
@@ -279,8 +301,13 @@ class Scorer:
 
     def __init__(self, weights):
         vectors, self.classes, matrices, self.bias = weights.parts
-        self.moved = [vectors @ m for m in matrices]
+        self.moved = [_times(vectors, m) for m in matrices]
         self.n = len(self.bias)
+        # classes in blocks, too; what fills up the last one has no probability
+        more = -self.n % (2 * ROWS)
+        filled = np.concatenate([self.classes, np.zeros((more, self.classes.shape[1]), np.float32)])
+        self.by_block = filled.reshape(-1, 2 * ROWS, filled.shape[1]).transpose(0, 2, 1)
+        self.block_bias = np.concatenate([self.bias, np.full(more, -np.inf, np.float32)]).reshape(-1, 1, 2 * ROWS)
         self.whole = np.full(self.n ** CONTEXT, np.nan, np.float32)
 
     def predicted(self, keys):
@@ -296,9 +323,12 @@ class Scorer:
         distinct, which = np.unique(keys, return_inverse=True)
         new = distinct[np.isnan(self.whole[distinct])]
         for at in range(0, len(new), 2048):
-            scores = self.predicted(new[at:at + 2048]) @ self.classes.T + self.bias
-            top = scores.max(1, keepdims=True)
-            self.whole[new[at:at + 2048]] = top[:, 0] + np.log(np.exp(scores - top).sum(1))
+            some = new[at:at + 2048]
+            scores = _blocks(self.predicted(some))[:, None] @ self.by_block + self.block_bias
+            top = scores.max((1, 3), keepdims=True)
+            scores -= top
+            whole = top[:, 0, :, 0] + np.log(np.exp(scores, out=scores).sum((1, 3)))
+            self.whole[some] = whole.ravel()[:len(some)]
         own = np.einsum("ij,ij->i", self.predicted(distinct)[which], self.classes[ids]) + self.bias[ids]
         return own.astype(float) - self.whole[distinct][which]
 
