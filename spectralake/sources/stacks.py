@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -36,7 +37,11 @@ RAW_CODEC = "spectralake.sources.stacks:RawStack"
 
 
 class RawStack:
-    """One line of JSON, then the frames' pixels by row: little-endian numbers of one type."""
+    """One line of JSON, then the frames' pixels by row: little-endian numbers of one type.
+
+    Where a file's frames do not all have each row once, ``index`` is the length of a second
+    line: the stretches ``[frame, y, n]`` of rows that the file holds, in their order.
+    """
 
     @staticmethod
     def header(stream):
@@ -46,20 +51,35 @@ class RawStack:
             if not some:
                 raise ValueError("no header line")
             line = (line + some).split(b"\n")[0] + (b"\n" if b"\n" in some else b"")
-        return {"first": 0, **json.loads(line), "at": len(line)}
+        head = json.loads(line)
+        return {"first": 0, **head, "at": len(line) + head.get("index", 0)}
 
     @staticmethod
     def rows(stream, header, first, last):
         kind = np.dtype(header["dtype"]).newbyteorder("<")
         height, width = header["height"], header["width"]
         step = max(1, BLOCK_BYTES // (width * kind.itemsize))
-        for frame in range(first, last + 1):
-            stream.seek(header["at"] + (frame - header["first"]) * height * width * kind.itemsize)
-            for y in range(0, height, step):
-                n = min(step, height - y)
+        for frame, start, rows, before in RawStack.stretches(stream, header, first, last):
+            stream.seek(header["at"] + before * width * kind.itemsize)
+            for y in range(start, start + rows, step):
+                n = min(step, start + rows - y)
                 data = stream.read(n * width * kind.itemsize)
                 yield frame, y, np.frombuffer(data, kind).reshape(n, width)
 
+    @staticmethod
+    def stretches(stream, header, first, last):
+        """(frame, first y, rows, rows of the file before it) of what the frames hold."""
+        if not header.get("index"):
+            for frame in range(first, last + 1):
+                yield frame, 0, header["height"], (frame - header["first"]) * header["height"]
+            return
+        stream.seek(header["at"] - header["index"])
+        before = 0
+        for frame, y, n in json.loads(stream.read(header["index"])):
+            if first <= frame <= last:
+                yield frame, y, n, before
+            before += n
+
     @staticmethod
     def head(first, frames, height, width, dtype):
         """The header line of a file."""
@@ -211,10 +231,11 @@ def scan_stacks(spark, path, codec=RAW_CODEC, glob="*", frames=64):
 def write_stacks(frame_rows, path, dtype="uint16", frames=1024, suffix="stk"):
     """Write image rows as ``RawStack`` files, one for every ``frames`` frames of a shot.
 
-    Frames are numbered without gaps and all have the same rows; a hot shot is spread over
-    its files. The head of a file is one more row before its first image row.
+    All rows are as wide; frames and rows may be missing or come again, which the file's head
+    then lists. A hot shot is spread over its files. The head is one more row before the
+    first image row. Image rows without pixels (NULL) are not written.
     """
-    packed = frame_rows.select("shot", "frame", "y", F.transform("row", lambda v: v.cast("double")).alias("row")).withColumn(
+    packed = frame_rows.where(F.col("row").isNotNull()).select("shot", "frame", "y", F.transform("row", lambda v: v.cast("double")).alias("row")).withColumn(
         "file", F.concat_ws("_", "shot", F.format_string(f"%06d.{suffix}", F.floor(F.col("frame") / frames))))
 
     def encoded(batches):
@@ -225,9 +246,22 @@ def write_stacks(frame_rows, path, dtype="uint16", frames=1024, suffix="stk"):
 
     order = F.struct(F.col("frame").cast("long").alias("frame"), F.col("y").cast("long").alias("y"))
     pixels = packed.select("file", "frame", "y", "row").mapInArrow(encoded, "file string, frame long, y long, data binary")
-    heads = packed.groupBy("file").agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("frames"),
-                                       (F.max("y") + 1).alias("height"), F.max(F.size("row")).alias("width"))
-    line = F.concat(F.to_json(F.struct("first", "frames", "height", "width", F.lit(dtype).alias("dtype"))), F.lit("\n"))
+    # stretches of rows that follow each other; file rows lie by frame and y
+    lie = W.partitionBy("file").orderBy("frame", "y")
+    follows = (F.col("frame") == F.lag("frame").over(lie)) & (F.col("y") == F.lag("y").over(lie) + 1)
+    some = packed.select("file", F.col("frame").cast("long").alias("frame"), F.col("y").cast("long").alias("y"), F.size("row").alias("width"))
+    some = some.withColumn("starts", F.when(follows, 0).otherwise(1)).withColumn("stretch", F.sum("starts").over(lie.rowsBetween(W.unboundedPreceding, 0)))
+    some = some.groupBy("file", "stretch", "frame").agg(F.min("y").alias("y"), F.count("*").alias("n"), F.max("width").alias("width"))
+    heads = some.groupBy("file").agg(
+        F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("frames"), F.max(F.col("y") + F.col("n")).alias("height"),
+        F.max("width").alias("width"), F.count("*").alias("stretches"), F.max("y").alias("y"), F.min("y").alias("y0"), F.min("n").alias("n"),
+        F.array_sort(F.collect_list(F.struct("stretch", "frame", "y", "n"))).alias("held"))
+    whole = (F.col("stretches") == F.col("frames")) & (F.col("y") == 0) & (F.col("y0") == 0) & (F.col("n") == F.col("height"))
+    held = F.transform("held", lambda s: F.concat(F.lit("["), F.concat_ws(",", s["frame"], s["y"], s["n"]), F.lit("]")))
+    listed = F.when(~whole, F.concat(F.lit("["), F.array_join(held, ","), F.lit("]\n")))
+    fields = F.struct("first", "frames", "height", "width", F.lit(dtype).alias("dtype"), F.length("listed").alias("index"))
+    heads = heads.withColumn("listed", listed)
+    line = F.concat(F.to_json(fields), F.lit("\n"), F.coalesce("listed", F.lit("")))
     head = heads.select("file", F.struct(F.lit(-1).cast("long").alias("frame"), F.lit(-1).cast("long").alias("y")).alias("part"),
                         F.encode(line, "UTF-8").alias("data"))
     write_files(head.unionByName(pixels.select("file", order.alias("part"), "data")), path)

@@ -131,3 +131,18 @@ def test_header_may_be_long():
     head = stacks.RawStack.header(stream)
     assert head["at"] == len(extra) and [b.tolist() for *_, b in stacks.RawStack.rows(stream, head, 0, 0)] == [[[1, 2]]]
     assert np.dtype(head["dtype"]) == np.uint8
+
+
+def test_frames_with_missing_and_repeated_rows(spark, tmp_path):
+    """Lost rows and frames, a last frame that is cut short, rows that come twice and rows without pixels."""
+    lost = {(0, 0), (0, 2), (1, 1), (4, 1), (4, 2)}
+    rows = [(6, f, y, [float(f * 10 + y), 1.0]) for f in (0, 1, 2, 4) for y in range(3) if (f, y) not in lost]
+    rows += [(6, 2, 1, [7.0, 8.0]), (9, 0, 0, [1.0, 2.0])]
+    path = str(tmp_path / "ragged")
+    given = spark.createDataFrame([*rows, (6, 0, 2, None)], "shot long, frame long, y long, row array<double>")
+    stacks.write_stacks(given, path, frames=3)
+    assert sorted(os.listdir(path)) == ["6_000000.stk", "6_000001.stk", "9_000000.stk"]
+    for frames in (1, 2, 64):
+        assert sorted(map(tuple, stacks.scan_stacks(spark, path, frames=frames).collect())) == sorted(rows)
+    some = stacks.scan_stacks(spark, path, frames=2).where("shot = 6 and frame between 1 and 2").collect()
+    assert sorted(map(tuple, some)) == sorted(r for r in rows if r[0] == 6 and r[1] in (1, 2))
