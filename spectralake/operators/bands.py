@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectralake.functions import batched
-from spectralake.storage import attach
+from spectralake.storage import attach, spread
 
 SLICE = ("shot", "frame", "band")
 
@@ -273,7 +273,7 @@ def fit_bands(slices, ratios, sigma=SIGMA_RANGE, sigma_start=SIGMA_START):
         p[~able] = np.nan
         return p[:, 0], p[:, 1], p[:, 2] * top, settled
 
-    packed = attach(batched.pack(slices, SLICE, ["wl", "y"]), pack_ratios(ratios), ["band"])
+    packed = attach(batched.pack(spread(slices, *SLICE), SLICE, ["wl", "y"]), pack_ratios(ratios), ["band"])
     return batched.solved(packed, fit, ["centre", "sigma", "delta"]).select(*SLICE, "centre", "sigma", "delta", "converged")
 
 
