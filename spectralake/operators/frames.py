@@ -68,10 +68,12 @@ def subtract_dark(frames, dark, keys=("y", "x")):
 def subtract_dark_rows(frame_rows, dark_rows, keys=("y",)):
     """Subtract a saved dark image of array rows ``(keys, dark)``, image row by image row.
 
-    Both rows are as long as the sensor is wide; no pixel becomes a row of its own.
+    Both rows are as long as the sensor is wide; no pixel becomes a row of its own. Dark
+    rows that no frame asks for are left out before the wide ones are sorted.
     """
     keys = list(keys)
-    return attach(frame_rows, dark_rows.select(*keys, "dark"), keys).withColumn(
+    dark = save(dark_rows.select(*keys, "dark").join(frame_rows.select(*keys).distinct(), keys, "left_semi"))
+    return attach(frame_rows, dark, keys).withColumn(
         "row", F.zip_with("row", "dark", lambda a, b: a - b)).drop("dark")
 
 
