@@ -11,19 +11,25 @@ How it works, and why no link is lost:
    in one fixed order, which is enough for two linked sets to share one (prefix
    argument). Sets too dense for that give single shingles as well. Pairs without a
    common key are thereby pruned by their maximum possible overlap before any
-   comparison. Parts made only of shingles found in many documents come last in the
-   order: that choice changes the work, never the result.
-   Documents connected through keys form one subtree.
+   comparison. Parts with more shingles that are rare come first in the order, those
+   made only of shingles found in many documents last: that choice changes the work,
+   never the result. A set gives up to ``SPARE`` keys more, and two linked sets share as
+   many more. So two sets tied by few keys, as by a passage or by chance, are left alone
+   where all their keys are in groups of up to ``PAIRED`` sets, whose pairs are counted;
+   the sets of a larger group are all tied to its first one, the hub. Sets connected
+   through ties form one subtree.
 2. *Signature tree.* Within a subtree every leaf holds a set, every node the OR of its
    sets' bitmaps and their size range. A dual traversal visits pairs of nodes and prunes
    those whose sizes cannot match, whose common bits allow too little overlap, or whose
    sets are all connected already; surviving leaves are compared exactly.
 3. *Hot subtrees* are cut by hash into blocks of ``FANOUT`` sets: first each block with
-   itself and with block 0, then, against all blocks, only the sets which that left
-   outside the subtree's largest component. A group of copies of any size is done after
-   the first pass, which is linear in its size.
+   itself and with block 0, then only the sets which that left outside the subtree's
+   largest component, each with the sets tied to the same hub. A group of copies of any
+   size is done after the first pass, which is linear in its size; a subtree of sets that
+   are hardly alike costs as much as it has ties, not the square of its size.
 
-Equal sets are one class from the start: within a task they are sent once.
+Equal sets are one class from the start: within a task they are sent once, and keys go
+by a hash of the set, so that copies in many tasks are one member of a key.
 """
 
 import math
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spectralake.llm import text as T
-from spectralake.llm.tables import bounded, components
+from spectralake.llm.tables import BROADCAST_BYTES, bounded, components
 from spectralake.storage import save
 
 WIDTH = 5
@@ -45,6 +51,10 @@ SLOT_SHIFT = np.uint64(42)
 SLOT_ROWS = 16
 COMMON_LEAST = 16      # documents beyond the mean of a slot
 KEYS_A_BUCKET = 100_000
+SPARE = 8              # keys that a large set gives beyond those it must
+PAIRED = 8             # sets of a key whose pairs are counted
+PLAN_BYTES = 128       # a row of a plan in memory
+SLICES = 16            # times at most that texts are read again to keep plans small
 EMITTED = "bucket int, doc_id long, n long, a long, b long, keys binary, ids binary"
 MATCHED = "doc_id long, n long, a long, b long, hub long"
 
@@ -109,33 +119,37 @@ def common_slots(docs, width=WIDTH):
 
 
 def _ordered(keys, rare, most):
-    """The first keys: those with a rare shingle before the others, then by hash."""
-    keys = np.where(rare, keys >> np.uint64(1), keys | np.uint64(1 << 63))
+    """The first keys: those with most rare shingles, up to three, before the others, then by hash."""
+    keys = (keys >> np.uint64(2)) | ((3 - np.minimum(rare, 3)).astype(np.uint64) << np.uint64(62))
     return np.sort(keys)[:most]
 
 
 def keys_of(values, rare, slack):
-    """Keys of one set of which two linked sets share at least one.
+    """(keys of one set, ``need``): two linked sets share at least the lesser ``need`` of both.
 
     ``slack`` is how much of the smaller set two linked sets may differ in.
     """
     n = len(values)
-    most = int(math.floor(slack * n + 1e-9)) + 1
     level = n.bit_length() - 1
-    levels = [level, level - 1] if level and n <= (1 + slack) * (1 << level) else [level]
-    result = []
+    levels = [(level, n)]
+    if level and n <= (1 + slack) * (1 << level):
+        levels.append((level - 1, (1 << level) - 1))  # only for sets below this level: the smaller ones
+    result, need = [], min(SPARE, max(1, n >> 4))
+    spare = need
     mixed = T.mix(values + np.uint64(7))
-    for level in levels:
+    for level, size in levels:
+        differ = int(math.floor(slack * size + 1e-9))
         parts = max(1, (2 << level) // 3)
         part = mixed % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         ranked = part[order]
         heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         keys = T.mix(np.add.reduceat(mixed[order], heads) + ranked[heads] * T.PLACES[3] + np.uint64(level))
-        result.append(_ordered(keys, np.logical_or.reduceat(rare[order], heads), most))
-        if len(heads) < most:
-            result.append(_ordered(T.mix(mixed + T.PLACES[5]), rare, most))
-    return np.unique(np.concatenate(result))
+        result.append(_ordered(keys, np.add.reduceat(rare[order].astype(np.int64), heads), differ + spare))
+        need = max(1, min(need, len(heads) - differ))
+        if len(heads) <= differ:
+            result.append(_ordered(T.mix(mixed + T.PLACES[5]), rare.astype(np.int64), differ + 1))
+    return np.unique(np.concatenate(result)), 1 << (need.bit_length() - 1)
 
 
 def _emit(common, buckets, width, slack):
@@ -143,7 +157,7 @@ def _emit(common, buckets, width, slack):
         seen, flags = set(), np.unpackbits(common)
         for batch in batches:
             ids_out, n_out, a_out, b_out = [], [], [], []
-            key_parts, id_parts = [], []
+            parts = {}
             for ids, sets in _sets(batch, width):
                 flat = np.concatenate(sets)
                 rare = flags[(flat >> SLOT_SHIFT).astype(np.int64)] == 0
@@ -159,17 +173,16 @@ def _emit(common, buckets, width, slack):
                     if not len(values) or doc_id is None or (a, b) in seen:
                         continue
                     seen.add((a, b))
-                    keys = keys_of(values, mine, slack)
-                    key_parts.append(keys)
-                    id_parts.append(np.full(len(keys), doc_id, np.int64))
+                    keys, need = keys_of(values, mine, slack)
+                    parts.setdefault(need, []).append((keys, np.full(len(keys), a_out[-1], np.int64)))
             n = len(ids_out)
             empty = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.abs(np.array(a_out, np.int64) % buckets).astype(np.int32)), pa.array(ids_out, pa.int64()),
                  pa.array(n_out, pa.int64()), pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), empty, empty],
                 ["bucket", "doc_id", "n", "a", "b", "keys", "ids"])
-            if key_parts:
-                keys, owners = np.concatenate(key_parts), np.concatenate(id_parts)
+            for need, found in parts.items():
+                keys, owners = (np.concatenate(x) for x in zip(*found))
                 bucket = T.mix(keys) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 keys, owners, bucket = keys[order], owners[order], bucket[order].astype(np.int32)
@@ -177,43 +190,73 @@ def _emit(common, buckets, width, slack):
                 ends = np.append(heads[1:], len(keys))
                 none = pa.nulls(len(heads), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[heads]), none, none, none, none,
+                    [pa.array(bucket[heads]), none, pa.array(np.full(len(heads), need, np.int64)), none, none,
                      pa.array([keys[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary()),
                      pa.array([owners[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary())],
                     ["bucket", "doc_id", "n", "a", "b", "keys", "ids"])
     return run
 
 
+def _ties(keys, ids, needs):
+    """(id, hub, need, count) of the sets that share keys, once each.
+
+    Sets of a key of up to ``PAIRED`` are tied each with each, where ``count`` is the
+    number of keys seen and ``need`` that of the keys they share at least if they are
+    linked. The others, and all of a key with a set whose ``need`` is 0, are tied to the smallest of their
+    key with a ``need`` of 0.
+    """
+    order = np.lexsort((needs, ids, keys))
+    keys, ids, needs = keys[order], ids[order], needs[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+    keys, ids, needs = keys[first], ids[first], needs[first]
+    head = np.concatenate([[True], keys[1:] != keys[:-1]])
+    heads, group = np.flatnonzero(head), np.cumsum(head) - 1
+    sizes = np.diff(np.append(heads, len(keys)))
+    star = ((sizes > PAIRED) | (np.minimum.reduceat(needs, heads) == 0))[group]
+    at = np.flatnonzero(star & ~head)
+    found = [(ids[at], ids[heads[group[at]]], np.zeros(len(at), np.int64))]
+    for step in range(1, PAIRED):
+        at = np.flatnonzero((group[step:] == group[:-step]) & ~star[step:])
+        found.append((ids[at + step], ids[at], np.minimum(needs[at], needs[at + step])))
+    docs, hubs, needs = (np.concatenate(x) for x in zip(*found))
+    if not len(docs):
+        return docs, hubs, needs, needs
+    order = np.lexsort((needs, hubs, docs))
+    docs, hubs, needs = docs[order], hubs[order], needs[order]
+    heads = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (hubs[1:] != hubs[:-1])]))
+    return docs[heads], hubs[heads], needs[heads], np.diff(np.append(heads, len(docs)))
+
+
 def _match(batches):
-    """Star links between the documents of each key; rows of documents pass through."""
+    """Ties between the sets of each key (ids as doc_id and hub, ``need`` as n, ``count`` as a); rows of documents pass through.
+
+    Rows of keys hold the ``need`` of their sets as n; without one all are tied to hubs.
+    """
     names = ["doc_id", "n", "a", "b", "hub"]
 
-    def stars(keys, ids):
-        keys, ids = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(ids), np.int64)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        hub = ids[head][np.cumsum(head) - 1]
-        pairs = np.unique(np.stack([ids, hub])[:, ids != hub], axis=1)
-        none = pa.nulls(pairs.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), none, none, none, pa.array(pairs[1])], names)
-
-    bucket, keys, ids = None, [], []
+    def ties(keys, ids, needs):
+        needs = np.repeat([n or 0 for n in needs], [len(k) // 8 for k in keys])
+        docs, hubs, needs, counts = _ties(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(ids), np.int64), needs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(docs), pa.array(needs), pa.array(counts), pa.nulls(len(docs), pa.int64()), pa.array(hubs)], names)
+
+    bucket, keys, ids, needs = None, [], [], []
     for batch in batches:
         plain = batch.filter(batch.column("keys").is_null())
         if len(plain):
             yield pa.RecordBatch.from_arrays(
                 [*(plain.column(c) for c in names[:4]), pa.nulls(len(plain), pa.int64())], names)
         packed = batch.filter(batch.column("keys").is_valid())
-        for b, k, i in zip(*(packed.column(c).to_pylist() for c in ("bucket", "keys", "ids"))):
+        for b, k, i, n in zip(*(packed.column(c).to_pylist() for c in ("bucket", "keys", "ids", "n"))):
             if b != bucket and keys:
-                yield stars(keys, ids)
-                keys, ids = [], []
+                yield ties(keys, ids, needs)
+                keys, ids, needs = [], [], []
             bucket = b
             keys.append(k)
             ids.append(i)
+            needs.append(n)
     if keys:
-        yield stars(keys, ids)
+        yield ties(keys, ids, needs)
 
 
 class Tree:
@@ -327,19 +370,32 @@ def _packed(batches, width):
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
 
-def _compare(fetch, plan, num, den, parts):
-    """Links of the sets that ``plan`` (doc_id, label, block, hub, known) deals to groups."""
-    wanted = save(plan.select("doc_id").distinct())
-    rows = fetch(wanted).join(bounded(plan, 128), "doc_id").select("label", "block", "hub", "doc_id", "known", "shingles")
-    rows = rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block")
-    return save(rows.mapInArrow(lambda b: _grouped(b, num, den), "a long, b long"))
+def _compare(fetch, plan, num, den, parts, most=None):
+    """Links of the sets that ``plan`` (doc_id, label, block, hub, known) deals to groups.
 
-
-def grow(stars, fetch, parts, num=NUM, den=DEN, fanout=FANOUT):
+    A plan of more than ``most`` rows is taken in slices of whole groups: each is small
+    enough for a broadcast, where a join by shuffle would move all texts and then the sets.
+    """
+    slices = -(-plan.count() // most) if most else 1
+    links = None
+    for i in range(slices if 1 < slices <= SLICES else 1):
+        mine = save(plan.where(F.pmod(F.xxhash64("label", "block", F.lit(7)), F.lit(slices)) == i)) if 1 < slices <= SLICES else plan
+        wanted = save(mine.select("doc_id").distinct())
+        rows = fetch(wanted).join(bounded(mine, PLAN_BYTES), "doc_id").select("label", "block", "hub", "doc_id", "known", "shingles")
+        rows = rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block")
+        found = save(rows.mapInArrow(lambda b: _grouped(b, num, den), "a long, b long"))
+        links = found if links is None else links.union(found)
+    return links
+
+
+def grow(stars, fetch, parts, num=NUM, den=DEN, fanout=FANOUT, most=None):
     """Links (a, b) that connect all linked sets within the subtrees that ``stars`` (a, b) tie.
 
-    ``fetch`` takes a table of doc_id and returns (doc_id, shingles) of these.
+    Two linked sets have a star (a, b) between them or each one to the same b. ``fetch``
+    takes a table of doc_id and returns (doc_id, shingles) of these; ``most`` is how many
+    rows of a plan meet them at once.
     """
+    stars = save(stars.where("a <> b").distinct())
     subtrees = components(stars)
     sizes = subtrees.groupBy("root").agg(F.ceil(F.count("*") / fanout).alias("blocks"))
     plan = save(subtrees.join(bounded(save(sizes), 64), "root").select(
@@ -348,29 +404,36 @@ def grow(stars, fetch, parts, num=NUM, den=DEN, fanout=FANOUT):
     others = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own")))
     dealt = plan.select("doc_id", "label", others.alias("block"), "own", "known").withColumn(
         "hub", (F.col("own") == 0) & (F.col("block") > 0)).drop("own")
-    links = _compare(fetch, save(dealt), num, den, parts)
+    links = _compare(fetch, save(dealt), num, den, parts, most)
     hot = plan.where("blocks > 1")
     if hot.isEmpty():
         return links
     found = components(links).withColumnRenamed("vertex", "doc_id")
     state = save(hot.join(bounded(found, 64), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id")).drop("root"))
     top = state.groupBy("label", "known").count().groupBy("label").agg(F.max(F.struct("count", "known"))["known"].alias("main"))
-    state = state.join(bounded(save(top), 64), "label")
-    # only sets outside the largest component, and of blocks that met block 0 alone so far
-    minor = (F.col("known") != F.col("main")) & (F.col("own") > 0)
-    outside = save(state.where(minor).groupBy("label").agg(F.ceil(F.count("*") / fanout).alias("minors")))
-    if outside.isEmpty():
+    # block 0 has met all; of the others only sets outside the largest component have links to find
+    state = state.where("own > 0").join(bounded(save(top), 64), "label")
+    state = save(state.select("doc_id", "known", (F.col("known") != F.col("main")).alias("minor")))
+    ties = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("label"))
+    ties = ties.union(stars.select(F.col("b").alias("doc_id"), F.col("b").alias("label")).distinct())
+    members = save(ties.join(bounded(state, 64), "doc_id"))
+    sizes = members.groupBy("label").agg(
+        F.ceil(F.count("*") / fanout).alias("blocks"), F.ceil(F.count_if("minor") / fanout).alias("minors"),
+        F.min("known").alias("low"), F.max("known").alias("high"))
+    sizes = save(sizes.where("minors > 0 and low < high").select("label", "blocks", "minors"))
+    if sizes.isEmpty():
         return links
-    state = state.join(bounded(outside, 64), "label").withColumn(
-        "minor", F.when(minor, F.pmod(F.xxhash64("doc_id", F.lit(1)), "minors")))
-    # each minor block meets every block of its subtree: group = minor * blocks + own
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m")
-    sides = state.where("own > 0").select("doc_id", "label", "known", every, "blocks", "own").select(
+    members = save(members.join(bounded(sizes, 64), "label").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")))
+    # the sets of a hub in one block meet each other; of more, each block of minor sets meets each block: group = minor * blocks + own
+    every = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.col("minors") - 1))).alias("m")
+    sides = members.select("doc_id", "label", "known", every, "blocks", "own").select(
         "doc_id", "label", (F.col("m") * F.col("blocks") + F.col("own")).alias("block"), "known", F.lit(False).alias("hub"))
-    other = F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("o")
-    minors = state.where("minor is not null").select("doc_id", "label", "known", "minor", other, "blocks").select(
-        "doc_id", "label", (F.col("minor") * F.col("blocks") + F.col("o")).alias("block"), "known", F.lit(True).alias("hub"))
-    return links.union(_compare(fetch, save(sides.union(minors)), num, den, parts))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
+    minors = members.where("minor and blocks > 1").withColumn("m", F.pmod(F.xxhash64("doc_id", F.lit(1)), "minors")).select(
+        "doc_id", "label", "known", "m", other, "blocks").select(
+        "doc_id", "label", (F.col("m") * F.col("blocks") + F.col("o")).alias("block"), "known", F.lit(True).alias("hub"))
+    return links.union(_compare(fetch, save(sides.union(minors)), num, den, parts, most))
 
 
 def near_components(docs, width=WIDTH, num=NUM, den=DEN, fanout=FANOUT):
@@ -395,15 +458,17 @@ def near_components(docs, width=WIDTH, num=NUM, den=DEN, fanout=FANOUT):
 
     owner = named.where("doc_id is not null and n > 0").select("doc_id", "class_id").distinct()
     owner = bounded(save(owner), 64)
-    stars = matched.where("hub is not null").select("doc_id", "hub")
-    stars = stars.join(owner, "doc_id").select("hub", F.col("class_id").alias("a"))
-    stars = stars.join(owner.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("b")), "hub").select("a", "b")
+    stars = matched.where("hub is not null").groupBy("doc_id", "hub").agg(F.min("n").alias("need"), F.sum("a").alias("shared"))
+    stars = stars.where("shared >= need").select("doc_id", "hub")
+    stars = stars.join(bounded(classes, 64).select(F.col("a").alias("doc_id"), F.col("class_id").alias("a")), "doc_id").select("hub", "a")
+    stars = stars.join(bounded(classes, 64).select(F.col("a").alias("hub"), F.col("class_id").alias("b")), "hub").select("a", "b")
 
     def fetch(wanted):
         texts = docs.where("doc_id is not null").join(bounded(wanted, 64), "doc_id", "left_semi")
         return texts.mapInArrow(lambda b: _packed(b, width), "doc_id long, shingles binary").where(F.length("shingles") > 0)
 
-    links = grow(stars, fetch, parts, num, den, fanout)
+    # a fifth less than a broadcast holds, for slices are uneven
+    links = grow(stars, fetch, parts, num, den, fanout, BROADCAST_BYTES // PLAN_BYTES * 4 // 5)
     # one doc_id with several texts ties their classes together
     ties = owner.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count("*").alias("k")).where("k > 1")
     ties = owner.join(ties.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b"))
